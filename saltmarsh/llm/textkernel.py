@@ -21,8 +21,10 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD_BASE = 0xD1342543DE82EF95
 _WORD_BASE_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Which bytes part words: white space, or every ASCII character that is no letter.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -76,15 +78,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words of several texts, maximal runs of bytes other than space and 0x09 to 0x0D.
+    """The words of several texts: maximal runs of bytes that are no separators (space and 0x09 to 0x0D).
 
     ``start`` and ``end`` index ``data``; text d has words first[d] to first[d + 1] - 1; ``hash`` has 64 bits for each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
         n = len(data)
         self.data, self.offsets = data, offsets
-        gap = _SEPARATOR[data]
+        gap = separators[data]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -170,8 +172,3 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
         step *= 2
     rest = width - step
     return better(have[: len(have) - rest], have[rest:]) if rest else have
-
-
-def lower_ascii(data: np.ndarray) -> np.ndarray:
-    """ASCII capitals made small; other bytes stay."""
-    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint8)
