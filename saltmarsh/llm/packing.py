@@ -21,7 +21,7 @@ from .common import batches, saved, table
 LENGTH, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps at most; beyond that it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 _encoders: dict[str, "Encoder"] = {}
 
