@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -207,6 +207,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity:
     return checked.where(F.col("similarity") >= similarity - 1e-9)
 
 
+def text_node(text: Column) -> Column:
+    """128 bits that equal texts share, case aside; null for texts without words."""
+    words = F.regexp_replace(F.lower(text), r"^[ \t-\r]+$", "")
+    return F.when(F.length(words) > 0, F.unhex(F.md5(words.cast("binary"))))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size and text_id.
 
@@ -215,9 +221,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     to nobody and have the class of their own doc_id.  Where all doc_ids of a class are null its class_id is null.  Columns of
     docs other than doc_id and text are not read.  Rows repeated in whole are equal texts and give a row each.
     """
-    words = F.regexp_replace(F.lower("text"), r"^[ \t-\r]+$", "")
-    keyed = docs.select("doc_id", words.cast("binary").alias("text"))
-    keyed = keyed.select("doc_id", "text", F.when(F.length("text") > 0, F.unhex(F.md5("text"))).alias("node"))
+    keyed = docs.select("doc_id", F.lower("text").cast("binary").alias("text"), text_node(F.col("text")).alias("node"))
     texts = keyed.where("node is not null").select("text", "node")
     total = docs.count()
     weights = Weights(*frequent_shingles(texts.select("text"), total, share, size), total, share)
@@ -253,6 +257,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     return classes.where("class is not null").join(named, "class").select("doc_id", "class_id", "class_size", F.lower(F.hex("node")).alias("text_id")).unionByName(alone)
 
 
+def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs (doc_id, text, any others) that stay: of each near-duplicate class the one with the least doc_id.
+
+    Rows repeated in whole are one; documents without words all stay.  ``how`` goes to near_duplicates.
+    """
+    classes = near_duplicates(docs.select("doc_id", "text"), **how)
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_d"), F.lower(F.hex(text_node(F.col("text")))).alias("_t"))
+    kept = row.join(stay, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_text")), "left_semi").dropDuplicates(["_d", "_t"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: five-word shingles, weighted similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
