@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables, the shared folder, and documents' keys."""
+"""What the operators of this subpackage share: tables and the shared folder."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +50,3 @@ def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
                 yield out
 
     return run
-
-
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Two longs that tell documents apart, null ids and repeated ids with other texts included."""
-    return [F.xxhash64(doc_id, text).alias("_k1"), F.xxhash64(F.lit("saltmarsh"), text, doc_id).alias("_k2")]

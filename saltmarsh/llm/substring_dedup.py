@@ -10,32 +10,33 @@ are judged on the input.  Two exact filters keep the shuffles small:
 2. Only windows with a repeated anchor are hashed as a whole (64 bits from the window, with the anchor as a check) and
    counted.
 
-Before either shuffle every Arrow batch settles what repeats inside it and sends one row for each hash, so a passage that a
-third of all documents share reaches the shuffle once per batch.
+Both are done on distinct texts: all windows of a text that several documents have are repeated anyway.  Before either shuffle
+every Arrow batch settles what repeats inside it and sends one row for each hash, so a passage that a third of all documents
+share reaches the shuffle once per batch.  The texts themselves are shuffled once, by a hash of theirs, which both the counting and
+the removal read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, row_key, table
+from .common import batches, table
 
 WINDOW = 35
 
 _FOUND = "h long, twice boolean, k1 long, k2 long, s int, n int"
 
 
-def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.ndarray, last: np.ndarray) -> pa.RecordBatch | None:
+def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.ndarray, last: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch | None:
     """One row for each hash of the batch, and the rows whose hash repeats inside it.
 
     twice: false: occurs once here, the row says where; true: occurs more than once here.  Rows already settled have a null
-    h.  ``last`` marks rows whose predecessor does not touch them, so that settled neighbours are sent as one.
+    h.  ``last`` marks rows whose predecessor does not touch them, so that settled neighbours are sent as one.  ``shared`` marks
+    rows of texts with copies: these count as repeated and are not reported back.
     """
     if not len(h):
         return None
@@ -46,10 +47,13 @@ def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(h)))
     many = np.zeros(len(h), bool)
-    many[order] = np.repeat(count > 1, count)
+    repeated = count > 1
+    if shared is not None:
+        repeated |= np.logical_or.reduceat(shared[order], at)
+    many[order] = np.repeat(repeated, count)
     once = np.flatnonzero(~many)
-    heads = order[at[count > 1]]
-    local = np.flatnonzero(many)
+    heads = order[at[repeated]]
+    local = np.flatnonzero(many if shared is None else many & ~shared)
     if len(local):
         cut = last[local].copy()
         cut[0] = True
@@ -70,18 +74,21 @@ def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """(k1, k2, s, n) of the rows of _settle whose hash occurs more than once in all batches."""
+    """(k1, k2, s, n) of the rows of _settle whose hash occurs at more than one place in all batches."""
     spread = F.when(F.col("h").isNull(), F.xxhash64("k1", "s")).otherwise(F.col("h"))
     keyed = found.withColumn("settled", F.col("h").isNull()).withColumn("h", spread)
     by = Window.partitionBy("h", "settled")
-    counted = keyed.withColumn("total", F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(by))
-    return counted.where("settled or (total > 1 and not twice)").select("k1", "k2", "s", "n")
+    # Copies of a text in other batches send the same place again, so what counts is that places differ.
+    other = [F.min(c).over(by) != F.max(c).over(by) for c in ("k1", "k2", "s")]
+    many = F.max("twice").over(by) | other[0] | other[1] | other[2]
+    return keyed.withColumn("many", many).where("settled or (many and not twice)").select("k1", "k2", "s", "n")
 
 
 def _runs(window: int, gram: int):
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        part = part.take(pa.array(np.sort(np.unique(part.column(1).to_numpy(), return_index=True)[1])))
         data, off = K.utf8(part.column(0))
-        k1, k2 = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        k1, k2 = (part.column(i).to_numpy() for i in (1, 2))
         out: list[list[np.ndarray]] = []
         for i, j in K.slices(off):
             words = K.Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -125,7 +132,9 @@ def _windows(window: int):
         data, off = K.utf8(part.column(0))
         k1, k2 = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
         row, s, n = _spread(part.column(3))
+        copies = part.column(4).to_numpy() > 1
         out: list[list[np.ndarray]] = []
+        shared: list[np.ndarray] = []
         for i, j in K.slices(off):
             words = K.Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
             here = (row >= i) & (row < j)
@@ -139,7 +148,8 @@ def _windows(window: int):
             last[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
             h = K.gram_hashes(words.hash, window)[at]
             out.append([h, k1[i:j][text], k2[i:j][text], at - words.first[text], np.ones(len(at), np.int64), last])
-        return _settle(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else None
+            shared.append(copies[i:j][text])
+        return _settle(*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(shared)) if out else None
 
     return kernel
 
@@ -150,6 +160,7 @@ def _kept(window: int):
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         data, off = K.utf8(part.column(0))
         row, s, n = _spread(part.column(1))
+        copies = part.column(2).to_numpy() > 1
         texts: list[bytes] = []
         counts: list[np.ndarray] = []
         removed: list[np.ndarray] = []
@@ -158,8 +169,9 @@ def _kept(window: int):
             words = K.Words(body, off[i : j + 1] - off[i])
             here = (row >= i) & (row < j)
             gone = _covered(row[here] - i, s[here], n[here], words.first, window - 1) if here.any() else np.zeros(len(words.start), bool)
-            stay = ~gone
             total = np.diff(words.first)
+            gone |= np.repeat(copies[i:j] & (total >= window), total)
+            stay = ~gone
             sums = np.concatenate([[0], np.cumsum(gone)])
             lost = sums[words.first[1:]] - sums[words.first[:-1]]
             counts.append(total)
@@ -179,22 +191,30 @@ def _kept(window: int):
             whole = joined.tobytes()
             texts += [whole[a : b - 1] if b > a else b"" for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed).astype(np.int64)), *part.columns[2:]],
-            names=["kept", "n_words", "n_removed", *part.schema.names[2:]],
+            [pa.array(texts, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed).astype(np.int64)), *part.columns[3:]],
+            names=["kept", "n_words", "n_removed", *part.schema.names[3:]],
         )
 
     return kernel
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
-    """(k1, k2, spans): for each document with repeated windows, the runs (s, n) of word numbers at which they start."""
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("saltmarsh"), text).alias("k2")]
+
+
+def kept_texts(docs: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
+    """(k1, k2, kept, n_words, n_removed) for each distinct text; the keys are hashes of the text, kept is binary."""
     gram = gram or (window + 1) // 2
-    keyed = docs.select(F.col("text").cast("binary").alias("text"), *row_key(F.col("doc_id"), F.col("text")))
+    raw = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    keyed = raw.select("text", *_keys(F.col("text")))
     runs = keyed.mapInArrow(batches(_runs(window, gram)), _FOUND)
-    spans = _repeated(runs).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
-    suspects = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("text", "k1", "k2", "spans")
+    spans = _repeated(runs).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    suspects = texts.join(spans, ["k1", "k2"]).select("text", "k1", "k2", "spans", "copies")
     windows = suspects.mapInArrow(batches(_windows(window)), _FOUND)
-    return _repeated(windows).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    found = _repeated(windows).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    joined = texts.join(found, ["k1", "k2"], "left").select("text", "spans", "copies", "k1", "k2")
+    return joined.mapInArrow(batches(_kept(window)), "kept binary, n_words long, n_removed long, k1 long, k2 long")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
@@ -202,24 +222,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = No
 
     docs needs doc_id and text; every other column is carried unchanged, and columns of docs named as the new ones are replaced.
     Null text counts as no words; fewer words than ``window`` make no window, so nothing goes.  Rows repeated in whole count as
-    documents of their own: each one's windows occur in the other.  An empty table gives an empty table.
+    documents of their own: each one's windows occur in the other.  An empty table gives an empty table.  Distinct texts are told
+    apart, and windows counted, by 128 and 64 bits of hash.
     """
     new = ("kept_text", "n_words", "n_removed")
-    spans = repeated_spans(docs, window, gram)
     others = [c for c in docs.columns if c not in new]
-    keyed = docs.select(F.col("text").cast("binary").alias("_text"), F.struct(*[F.col(c) for c in others if c != "text"]).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(spans, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_text", "spans", "row")
-    kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(batches(_kept(window)), f"kept binary, n_words long, n_removed long, row {kind}")
-    # The text itself went into the kernel as the first column; only its kept words come back.
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"), *_keys(text))
+    out = rows.join(kept_texts(docs, window, gram), ["k1", "k2"])
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others if c != "text"], F.col("kept").cast("string").alias("kept_text"), "n_words", "n_removed")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from, and kept in, every document; windows of 35 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = substring_dedup(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    digests = kept_texts(docs).select("k1", "k2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = docs.select("doc_id", *_keys(F.coalesce("text", F.lit("")).cast("binary")))
+    return rows.join(digests, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 OP6_SQL = r"""
