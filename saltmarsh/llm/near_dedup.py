@@ -8,8 +8,9 @@ most (mean shingles of a document) / (share / 2) names whatever the corpus size,
 
 Improved consistent weighted sampling draws, for each of ``bands * rows`` functions, one (shingle, level) of the set such that
 two sets draw the same with a probability equal to their weighted Jaccard similarity.  Equal texts are one node.  Nodes that
-share a band meet in a bucket: each is checked against the bucket's leader, and whatever those links leave in different
-components is checked pair by pair.  No bucket is capped.
+share a band meet in a bucket: each is checked against the bucket's leaders.  What those links leave in different components is
+checked pair by pair in small buckets, and in larger ones against further leaders out of the smaller components, turn by turn until
+a turn finds no link.  Every member of every bucket takes part, and the number of checks grows in proportion to the members.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .common import batches, saved, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SHARE = 5, 0.8, 14, 3, 1 / 200
+SMALL, TURNS = 32, 4
 U64 = np.uint64
 
 #: Each function reads its random triples from a pool of this many, by bits of the shingle's hash.  Ties that a pool brings
@@ -213,7 +215,21 @@ def text_node(text: Column) -> Column:
     return F.when(F.length(words) > 0, F.unhex(F.md5(words.cast("binary"))))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE) -> DataFrame:
+def _picked(members: DataFrame, turn: int, picks: int = 2) -> DataFrame:
+    """(bucket, leader): ``picks`` members of each bucket, by a hash that is another for each bucket and turn."""
+    out = None
+    for k in range(picks):
+        order = F.struct(F.xxhash64("bucket", "node", F.lit(turn * picks + k)), F.col("node"))
+        one = members.groupBy("bucket").agg(F.min(order).getField("node").alias("leader"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, small: int = SMALL, turns: int = TURNS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size and text_id.
 
     Classes are the connected components of the links: equal texts (ignoring case), and texts of at least ``similarity``.  A
@@ -228,28 +244,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     drawn = texts.mapInArrow(batches(_bands(weights, bands, rows, size)), "node binary, bucket long").distinct()
     drawn = saved(drawn, "bands")
-    order = F.struct(F.xxhash64("bucket", "node"), F.col("node"))
-    shared = drawn.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order).getField("node").alias("leader")).where("n > 1").drop("n")
-    members = saved(drawn.join(shared, "bucket"), "members")
-    pairs = members.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    shared = drawn.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = saved(drawn.join(shared, "bucket"), "met")
+    # A bucket is led by the node that meets most others in all its buckets (the original, where the rest are its variants) and
+    # by nodes that a hash picks, others in each bucket.
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = saved(met.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
+    hub = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("leader"))
+    leaders = hub.union(_picked(members, 0)).distinct()
+    pairs = _ordered(members.join(leaders, "bucket").where("node <> leader"), "node", "leader")
 
     # Texts that have a partner to be checked against, one row each; copies fall together before the shuffle.
     asked = members.select("node").distinct()
     known = saved(texts.groupBy("node").agg(F.first("text").alias("text")).join(asked, "node"), "texts")
-    links = saved(_verified(pairs, known, weights, similarity, size).select("a", "b"), "verified")
+    tried = saved(pairs, "pairs")
+    links = saved(_verified(tried, known, weights, similarity, size).select("a", "b"), "verified")
     component = saved(connected_components(links), "components")
 
-    # What a bucket still holds in several components: everything outside its largest one against all the others.
-    owner = members.join(component, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("component"))
-    sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).getField("component").alias("largest"), F.count("*").alias("components")).where("components > 1")
-    mixed = saved(owner.join(largest, "bucket").select("bucket", "node", "leader", "component", "largest"), "mixed")
-    few = mixed.where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    across = mixed.join(few, "bucket").where("component <> cx and (component = largest or node < x) and leader <> node and leader <> x")
-    rest = across.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = saved(_verified(rest, known, weights, similarity, size).select("a", "b"), "verified")
-    if not more.isEmpty():
-        component = connected_components(links.union(more))
+    for turn in range(1, turns + 1):
+        owner = members.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        mixed = saved(owner.join(largest, "bucket"), "mixed")
+        few = mixed.where("component <> largest")
+        # Small buckets: all that is outside the largest component against all others.  Large ones: some of it.
+        asking = few.where(F.col("n") <= small).select("bucket", F.col("node").alias("x")).union(_picked(few.where(F.col("n") > small), turn, 4))
+        asking = asking.distinct().join(few.select("bucket", F.col("node").alias("x"), F.col("component").alias("cx")), ["bucket", "x"])
+        across = mixed.join(asking, "bucket").where("component <> cx")
+        rest = saved(_ordered(across, "node", "x").join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = saved(_verified(rest, known, weights, similarity, size).select("a", "b"), "verified")
+        if more.isEmpty():
+            break
+        links, tried = links.union(more), tried.union(rest)
+        component = saved(connected_components(links), "components")
 
     classes = keyed.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
     named = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
