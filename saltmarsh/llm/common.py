@@ -50,3 +50,17 @@ def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
                 yield out
 
     return run
+
+
+def text_groups(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, in groups of at most about ``limit`` characters; a longer text is a group of its own."""
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > limit:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, table, text_groups
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the least score by so much: a character that no piece covers.
 PENALTY = 10.0
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bytes of new words handled at once.
 _SLICE = 1 << 16
@@ -236,6 +236,9 @@ class Segmenter:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian 32-bit."""
+        return [ids for group in text_groups(texts) for ids in self._encode(group)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         chunks = []
