@@ -41,13 +41,15 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: applies kernel to each batch that has rows."""
+def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: applies kernel to each batch that has rows, or to each ``rows`` of its rows, to bound what it holds."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if part.num_rows and (out := kernel(part)) is not None:
-                yield out
+            step = rows or max(part.num_rows, 1)
+            for at in range(0, part.num_rows, step):
+                if (out := kernel(part.slice(at, step))) is not None:
+                    yield out
 
     return run
 

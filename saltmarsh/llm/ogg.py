@@ -221,7 +221,7 @@ def encode_ogg(docs: DataFrame) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
     row = docs.select(F.col("text").cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-    out = row.mapInArrow(batches(_encode), f"row {row.schema['row'].dataType.simpleString()}, n_bytes long, media binary")
+    out = row.mapInArrow(batches(_encode, 1000), f"row {row.schema['row'].dataType.simpleString()}, n_bytes long, media binary")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "n_bytes", "media")
 
 
@@ -245,7 +245,7 @@ def inspect_ogg(files: DataFrame) -> DataFrame:
     new = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
     others = [c for c in files.columns if c != "media" and c not in new]
     row = files.select("media", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-    out = row.mapInArrow(batches(_decode), f"row {row.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in new.items()))
+    out = row.mapInArrow(batches(_decode, 1000), f"row {row.schema['row'].dataType.simpleString()}, " + ", ".join(f"{k} {v}" for k, v in new.items()))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *new)
 
 

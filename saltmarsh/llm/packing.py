@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = EN
     new = ("piece", "start", "length", "ids")
     others = [c for c in docs.columns if c != "text" and c not in new]
     row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
-    out = row.mapInArrow(batches(_pieces(path, length, end)), f"row {row.schema['row'].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    out = row.mapInArrow(batches(_pieces(path, length, end), 1000), f"row {row.schema['row'].dataType.simpleString()}, piece int, start long, length long, ids binary")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *new)
 
 

@@ -23,7 +23,9 @@ MODEL = "piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the least score by so much: a character that no piece covers.
 PENALTY = 10.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
+#: Rows of a batch handled at once.
+_ROWS = 500
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bytes of new words handled at once.
 _SLICE = 1 << 16
@@ -134,6 +136,7 @@ class Segmenter:
         self.poor = np.float32((model.scores[usable].min() if usable.any() else 0) - PENALTY)
         self.longest = max((len(p.encode()) for p, u in zip(model.pieces, usable, strict=True) if u), default=1)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         marker = MARK.encode()
         self.bytes_of = [p.encode().replace(marker, b" ") for p in model.pieces]
         for i, k in enumerate(model.kinds):
@@ -240,7 +243,7 @@ class Segmenter:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         chunks = []
         for text in texts:
             marked = text.replace(" ", MARK)
@@ -254,8 +257,10 @@ class Segmenter:
                 chunks.append([MARK + w for w in marked[1:].split(MARK)])
         known = self.words
         new = {w for c in chunks for w in c if w not in known}
+        known.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in known]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 
@@ -292,15 +297,15 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary()
     others = [c for c in docs.columns if c != "ids"]
-    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    row = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in others if c != "text"]).alias("row"))
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(0).to_pylist()
         ids = _segmenter(path).encode([t or "" for t in texts])
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.binary())], names=["row", "ids"])
+        return pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array([None if t is None else x for t, x in zip(texts, ids, strict=True)], pa.binary())], names=["row", "text", "ids"])
 
-    out = row.mapInArrow(batches(kernel), f"row {row.schema['row'].dataType.simpleString()}, ids binary")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "ids")
+    out = row.mapInArrow(batches(kernel, _ROWS), f"row {row.schema['row'].dataType.simpleString()}, text string, ids binary")
+    return out.select(*[F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in others], "ids")
 
 
 def decode_pieces(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -314,7 +319,7 @@ def decode_pieces(rows: DataFrame, path: str | None = None) -> DataFrame:
         texts = _segmenter(path).decode([x or b"" for x in ids])
         return pa.RecordBatch.from_arrays([part.column(1), pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())], names=["row", "decoded"])
 
-    out = row.mapInArrow(batches(kernel), f"row {row.schema['row'].dataType.simpleString()}, decoded string")
+    out = row.mapInArrow(batches(kernel, _ROWS), f"row {row.schema['row'].dataType.simpleString()}, decoded string")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "decoded")
 
 
