@@ -138,11 +138,11 @@ def train_severity_model(docs: DataFrame, labels: DataFrame, toxic_rows: int = T
     toxic = np.array([t for _, t, _ in sample], float)
     if not toxic.any() or toxic.all():
         return empty
-    ats = [np.frombuffer(b, np.int32).astype(np.int64) for _, _, b in sample]
+    ats = [np.frombuffer(b, np.int32) for _, _, b in sample]
     df = np.bincount(np.concatenate(ats), minlength=1 << bits)
     clean = np.bincount(np.concatenate([a for a, t in zip(ats, toxic, strict=True) if not t]), minlength=1 << bits)
     useful = (df >= max(MIN_ROWS, MIN_SHARE * len(ats))) & (clean <= MAX_SHARE * (toxic == 0).sum())
-    rows = Rows.of([(a[useful[a]], np.ones(int(useful[a].sum()))) for a in ats])
+    rows = Rows.of([(a[useful[a]].astype(np.int64), np.ones(int(useful[a].sum()))) for a in ats])
     grade = severity_grades(rows, toxic, np.array([len(a) for a in ats]))
     weights, thresholds = fit_ordinal(rows, grade, 1 << bits, 3)
     return SeverityModel(weights, thresholds, bits, prefixes)
