@@ -8,9 +8,9 @@ most (mean shingles of a document) / (share / 2) names whatever the corpus size,
 
 Improved consistent weighted sampling draws, for each of ``bands * rows`` functions, one (shingle, level) of the set such that
 two sets draw the same with a probability equal to their weighted Jaccard similarity.  Equal texts are one node.  Nodes that
-share a band meet in a bucket: each is checked against the bucket's leaders.  What those links leave in different components is
-checked pair by pair in small buckets, and in larger ones against further leaders out of the smaller components, turn by turn until
-a turn finds no link.  Every member of every bucket takes part, and the number of checks grows in proportion to the members.
+share a band meet in a bucket: each is checked against the bucket's leaders.  All texts of the buckets that this leaves in several
+components then go through an exact join by prefixes (see _unmet), so that no link between components is lost, and pairs that
+cannot be similar enough are not made.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from .common import batches, saved, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SHARE = 5, 0.8, 14, 3, 1 / 200
-SMALL, TURNS = 32, 4
 U64 = np.uint64
 
+#: For the exact join: cells that tell rare from common shingles (2 bytes each are broadcast), and weight classes to a factor of 1 / similarity.
+ORDER_BITS, CLASSES = 20, 4
+
 #: Each function reads its random triples from a pool of this many, by bits of the shingle's hash.  Ties that a pool brings
 #: are settled by the shingle's hash.
 POOL_BITS = 15
@@ -215,11 +217,11 @@ def text_node(text: Column) -> Column:
     return F.when(F.length(words) > 0, F.unhex(F.md5(words.cast("binary"))))
 
 
-def _picked(members: DataFrame, turn: int, picks: int = 2) -> DataFrame:
-    """(bucket, leader): ``picks`` members of each bucket, by a hash that is another for each bucket and turn."""
+def _picked(members: DataFrame) -> DataFrame:
+    """(bucket, leader): two members of each bucket, by hashes that are others for each bucket."""
     out = None
-    for k in range(picks):
-        order = F.struct(F.xxhash64("bucket", "node", F.lit(turn * picks + k)), F.col("node"))
+    for k in range(2):
+        order = F.struct(F.xxhash64("bucket", "node", F.lit(k)), F.col("node"))
         one = members.groupBy("bucket").agg(F.min(order).getField("node").alias("leader"))
         out = one if out is None else out.union(one)
     return out
@@ -229,7 +231,79 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE, small: int = SMALL, turns: int = TURNS) -> DataFrame:
+def _cells(size: int):
+    """(cell, n): how many shingles of the texts of a batch fall into each of 2**ORDER_BITS cells."""
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = K.utf8(part.column(0))
+        n = np.zeros(1 << ORDER_BITS, np.int64)
+        for i, j in parts(off):
+            _, shingle, _ = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+            n += np.bincount((K.mix(shingle) >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+    return kernel
+
+
+def _prefixes(weights: Weights, similarity: float, size: int, counts: np.ndarray):
+    """(node, component, apart, key, side) for the shingles by which a text has to meet a similar one (see _unmet)."""
+    step = -np.log(similarity - 1e-6) / CLASSES
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = K.utf8(part.column(0))
+        at, keys, sides = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+        for i, j in parts(off):
+            text, shingle, count = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+            often = counts[(K.mix(shingle) >> U64(64 - ORDER_BITS)).astype(np.int64)]
+            order = np.lexsort((shingle, often, text))
+            text, shingle, often, weight = text[order], shingle[order], often[order], weights(shingle, count)[order]
+            total = np.bincount(text, weight, j - i)
+            before = np.cumsum(weight) - weight
+            rest = total[text] - before + before[np.searchsorted(text, text)]
+            grade = np.floor(np.log(np.maximum(total, 1e-300)) / step)
+            for d in range(-CLASSES, CLASSES + 1):
+                least = np.maximum(total, np.exp((grade + d) * step))
+                need = np.maximum(similarity * least, similarity / (1 + similarity) * (total + np.exp((grade + d) * step)))
+                on = np.flatnonzero((rest >= need[text] * (1 - 1e-6)) & (often > 1))
+                low = (grade[text[on]] + min(d, 0)).astype(np.int64).view(U64)
+                keys.append(K.mix(K.mix(shingle[on]) + low * U64(0x9E3779B97F4A7C15) + U64(abs(d))))
+                at.append(text[on] + i)
+                sides.append(np.full(len(on), np.sign(d), np.int32))
+        rows = pa.array(np.concatenate(at))
+        columns = [part.column(k).take(rows) for k in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sides))], names=["node", "component", "apart", "key", "side"])
+
+    return kernel
+
+
+def _unmet(members: DataFrame, component: DataFrame, known: DataFrame, weights: Weights, similarity: float, size: int) -> DataFrame:
+    """Pairs (a, b) of the texts of buckets that hold several components, such that no link between components is lost.
+
+    An exact set-similarity join by prefixes.  Two sets as similar as t have t / (1 + t) of their weights' sum in common.  With
+    the shingles of all sets in one order, what they share begins at one shingle, behind which both still hold that much weight.
+    So each text names the shingles behind which enough is left for a partner of weight class j, and both meet by (classes,
+    shingle).  The order is by how many of these texts hold a shingle, counted in 2**ORDER_BITS cells: any order is exact, and
+    rare shingles first make few meet.
+    """
+    owner = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = owner.join(largest, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("apart"))
+    asked = saved(known.join(mixed, "node").select("text", "node", "component", "apart"), "mixed")
+    cells = asked.select("text").mapInArrow(batches(_cells(size)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.uint16)
+    counts[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), 65535)
+
+    named = saved(asked.mapInArrow(batches(_prefixes(weights, similarity, size, counts)), "node binary, component binary, apart boolean, key long, side int"), "prefixes")
+    shared = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max("apart").alias("some")).where("first <> last and some").select("key")
+    rows = named.join(shared, "key")
+    asking = rows.where("apart").select("key", F.col("node").alias("x"), F.col("component").alias("of"), F.col("side").alias("facing"))
+    facing = rows.join(asking, "key").where("side = -facing and component <> of and (not apart or node < x)")
+    return saved(_ordered(facing, "node", "x"), "pairs")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size and text_id.
 
     Classes are the connected components of the links: equal texts (ignoring case), and texts of at least ``similarity``.  A
@@ -251,7 +325,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     members = saved(met.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
     hub = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("leader"))
-    leaders = hub.union(_picked(members, 0)).distinct()
+    leaders = hub.union(_picked(members)).distinct()
     pairs = _ordered(members.join(leaders, "bucket").where("node <> leader"), "node", "leader")
 
     # Texts that have a partner to be checked against, one row each; copies fall together before the shuffle.
@@ -261,22 +335,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     links = saved(_verified(tried, known, weights, similarity, size).select("a", "b"), "verified")
     component = saved(connected_components(links), "components")
 
-    for turn in range(1, turns + 1):
-        owner = members.join(component, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        mixed = saved(owner.join(largest, "bucket"), "mixed")
-        few = mixed.where("component <> largest")
-        # Small buckets: all that is outside the largest component against all others.  Large ones: some of it.
-        asking = few.where(F.col("n") <= small).select("bucket", F.col("node").alias("x")).union(_picked(few.where(F.col("n") > small), turn, 4))
-        asking = asking.distinct().join(few.select("bucket", F.col("node").alias("x"), F.col("component").alias("cx")), ["bucket", "x"])
-        across = mixed.join(asking, "bucket").where("component <> cx")
-        rest = saved(_ordered(across, "node", "x").join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = saved(_verified(rest, known, weights, similarity, size).select("a", "b"), "verified")
-        if more.isEmpty():
-            break
-        links, tried = links.union(more), tried.union(rest)
-        component = saved(connected_components(links), "components")
+    rest = _unmet(members, component, known, weights, similarity, size)
+    more = saved(_verified(rest.join(tried, ["a", "b"], "left_anti"), known, weights, similarity, size).select("a", "b"), "verified")
+    if not more.isEmpty():
+        component = saved(connected_components(links.union(more)), "components")
 
     classes = keyed.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
     named = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -93,6 +93,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_join_by_prefixes(spark):
+    rng = random.Random(5)
+    base, rows = [passage(rng, 150).split() for _ in range(2)], []
+    for k in range(160):
+        words = list(base[k % 2])
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(40)}"
+        rows.append((bytearray(k.to_bytes(16, "big")), bytearray(" ".join(words[: rng.randrange(138, 151)]).encode())))
+    known = spark.createDataFrame(rows, "node binary, text binary")
+    members = known.select(F.lit(1).cast("long").alias("bucket"), "node")
+    none = spark.createDataFrame([], "node binary, component binary")
+    counts, bags = Counter(), {}
+    for node, text in rows:
+        w = text.decode().split()
+        bags[bytes(node)] = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        counts.update(bags[bytes(node)].keys())
+    weights = near_dedup.Weights(*near_dedup.frequent_shingles(known.select("text"), len(rows)), len(rows), near_dedup.SHARE)
+    weigh = lambda s: np.log1p(len(rows) / max(counts[s], near_dedup.SHARE * len(rows)))
+    want, ids = set(), sorted(bags)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = bags[a], bags[b]
+            if sum(n * weigh(s) for s, n in (x & y).items()) >= 0.8 * sum(n * weigh(s) for s, n in (x | y).items()):
+                want.add((a, b))
+    pairs = near_dedup._unmet(members, none, known, weights, 0.8, 5)
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dedup._verified(pairs, known, weights, 0.8, 5).collect()}
+    assert len(want) > 20 and got == want and pairs.count() < len(ids) * (len(ids) - 1) // 4
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
