@@ -14,35 +14,44 @@ from .text import nfc, normalize_for_cer
 HIGH_CONFIDENCE = 0.85
 
 
+#: Of the numbers in _align: bits of the substitutions; above them two for the kind of step, above these the edits.
+_SUBS = 20
+
+
 def _align(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Edits and substitutions of each pair, all pairs at once over one grid padded to the longest.
 
-    Of equally cheap steps the diagonal comes first, then the deletion, then the insertion.
+    Of equally cheap steps the diagonal comes first, then the deletion, then the insertion.  The grid is filled by
+    anti-diagonals, of which each is one array: edits and substitutions of a cell are one number, so that one minimum decides.
     """
     n, rows, cols = len(refs), max(map(len, refs)), max(map(len, hyps))
     r, h = np.zeros((n, rows), np.uint32), np.ones((n, cols), np.uint32)
     for i, (a, b) in enumerate(zip(refs, hyps, strict=True)):
         r[i, : len(a)] = np.frombuffer(a.encode("utf-32-le"), np.uint32)
-        h[i, : len(b)] = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+        h[i, cols - len(b) :] = np.frombuffer(b.encode("utf-32-le"), np.uint32)[::-1]  # from its end: h[:, cols - j] is character j
     nr, nh = np.array([len(x) for x in refs]), np.array([len(x) for x in hyps])
-    cost, subs = np.tile(np.arange(cols + 1), (n, 1)), np.zeros((n, cols + 1), np.int64)
-    edits, swapped = np.where(nr == 0, nh, 0), np.zeros(n, np.int64)
-    for i in range(1, rows + 1):
-        new, news = np.empty_like(cost), np.empty_like(subs)
-        new[:, 0], news[:, 0] = i, 0
-        differ = (r[:, i - 1 : i] != h).astype(np.int64)
-        for j in range(1, cols + 1):
-            diagonal = cost[:, j - 1] + differ[:, j - 1]
-            best, s = diagonal, subs[:, j - 1] + differ[:, j - 1]
-            down = cost[:, j] + 1
-            best, s = np.where(down < best, down, best), np.where(down < best, subs[:, j], s)
-            right = new[:, j - 1] + 1
-            best, s = np.where(right < best, right, best), np.where(right < best, news[:, j - 1], s)
-            new[:, j], news[:, j] = best, s
-        cost, subs = new, news
-        done = np.flatnonzero(nr == i)
-        edits[done], swapped[done] = cost[done, nh[done]], subs[done, nh[done]]
-    return edits, swapped
+    edit, kind = 1 << (_SUBS + 2), 1 << _SUBS
+    ends: dict[int, list[int]] = {}
+    for i, d in enumerate((nr + nh).tolist()):
+        ends.setdefault(d, []).append(i)
+    found = np.zeros(n, np.int64)
+    older, last, new = (np.zeros((n, rows + 1), np.int64) for _ in range(3))
+    for d in range(max(ends) + 1):
+        first, end = max(1, d - cols), min(rows, d - 1)  # cells (i, d - i) off the borders
+        if first <= end:
+            step = (r[:, first - 1 : end] != h[:, cols - d + first : cols - d + end + 1]) * np.int64(edit + 1)
+            step += older[:, first - 1 : end]
+            np.minimum(step, last[:, first - 1 : end] + (edit + kind), out=step)
+            np.minimum(step, last[:, first : end + 1] + (edit + 2 * kind), out=step)
+            np.bitwise_and(step, ~(3 * kind), out=new[:, first : end + 1])
+        if d <= cols:
+            new[:, 0] = d * edit
+        if d <= rows:
+            new[:, d] = d * edit
+        if d in ends:
+            found[ends[d]] = new[ends[d], nr[ends[d]]]
+        older, last, new = last, new, older
+    return found >> (_SUBS + 2), found & (kind - 1)
 
 
 _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "reference_characters")])
@@ -52,13 +61,13 @@ _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutio
 def _edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     refs, hyps = ref.fillna("").tolist(), hyp.fillna("").tolist()
     out = np.zeros((len(refs), 4), np.int32)
-    # Pairs of like size share a grid; a grid has at most about four million cells.
+    # Pairs of like size share a grid; a diagonal of all has at most about half a million cells.
     order = sorted(range(len(refs)), key=lambda i: (max(len(refs[i]), len(hyps[i])), i))
     at = 0
     while at < len(order):
         size = max(len(refs[order[at]]), len(hyps[order[at]]), 1)
         end = at
-        while end < len(order) and max(len(refs[order[end]]), len(hyps[order[end]])) <= size + 8 and (end == at or (end - at) * (size + 8) < 4_000_000):
+        while end < len(order) and max(len(refs[order[end]]), len(hyps[order[end]])) <= size + 8 and (end == at or (end - at) * (size + 8) < 500_000):
             end += 1
         group = order[at:end]
         a, b = [refs[i] for i in group], [hyps[i] for i in group]

@@ -16,12 +16,13 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored cases: each turn against the next one, 40 characters of each, where both are ASCII."""
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next is not null")
-    reference, hypothesis = F.substring("text", 1, 40), F.substring("next", 1, 40)
-    rows = turns.where(is_ascii(F.col("text")) & is_ascii(F.col("next"))).select(
+    return table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next is not null")
+
+
+def _scored(turns: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
+    rows = turns.select(
         F.concat_ws(":", "conv_id", "turn").alias("case_id"), "conv_id", "turn", "role", reference.alias("reference"), hypothesis.alias("hypothesis"),
         F.when(F.col("turn") % 4 != 3, ((F.col("conv_id") * 7 + F.col("turn") * 13) % 100) / 100.0).alias("confidence"), (F.length("next") * 1.5 + F.col("turn")).alias("latency_ms"), (F.length("text") * 2.0 + 10).alias("duration_ms"),
     )
@@ -31,6 +32,17 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("flags", failure_flags(F.col("overcorrected"), F.col("high_confidence_wrong")))
 
 
+def whole_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored cases: each whole turn against the whole next one, of every script."""
+    return _scored(_pairs(spark, sf_dir), F.col("text"), F.col("next"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What CASES scores: 40 characters of each turn against 40 of the next one, where both are ASCII; whole_cases has all."""
+    turns = _pairs(spark, sf_dir).where(is_ascii(F.col("text")) & is_ascii(F.col("next")))
+    return _scored(turns, F.substring("text", 1, 40), F.substring("next", 1, 40))
+
+
 CASES = r"""turns AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
 pairs AS (SELECT conv_id || ':' || turn AS case_id, conv_id, turn, role, substr(text, 1, 40) AS reference, substr(nxt, 1, 40) AS hypothesis,
   CASE WHEN turn % 4 <> 3 THEN ((conv_id * 7 + turn * 13) % 100) / 100.0 END::DOUBLE AS confidence, (length(nxt) * 1.5 + turn)::DOUBLE AS latency_ms, (length(text) * 2.0 + 10)::DOUBLE AS duration_ms

@@ -27,36 +27,51 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def scored(sql: str) -> Callable[[Callable], Callable]:
+    """Registers a query over scored cases twice: as the SQL has it (lenses.cases), and NAME_whole over whole turns of every script.
+
+    DuckDB's distance counts bytes and is too slow on whole turns, so those have no SQL.
+    """
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, d: f(spark, d, lenses.cases(spark, d))
+        QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, lenses.whole_cases(spark, d))
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 _AGGREGATE = """count(*) AS utterance_count, round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer,
  round(sum(preserved) / sum(expressions), 6) AS dialect_preservation_rate, round(sum(overcorrected) / sum(expressions), 6) AS context_overcorrection_rate,
  count(*) FILTER (hcw) AS high_confidence_wrong_count, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms"""
 
 
-@query(f"WITH {CASES} SELECT {_AGGREGATE} FROM scored")
-def aggregate_report(spark, d):
-    return reports.aggregate_report(lenses.cases(spark, d))
+@scored(f"WITH {CASES} SELECT {_AGGREGATE} FROM scored")
+def aggregate_report(spark, d, cases):
+    return reports.aggregate_report(cases)
 
 
-@query(f"WITH {CASES} SELECT role, {_AGGREGATE} FROM scored GROUP BY role")
-def aggregate_report_by_role(spark, d):
-    return reports.aggregate_report(lenses.cases(spark, d), "role")
+@scored(f"WITH {CASES} SELECT role, {_AGGREGATE} FROM scored GROUP BY role")
+def aggregate_report_by_role(spark, d, cases):
+    return reports.aggregate_report(cases, "role")
 
 
-@query(f"WITH {CASES} SELECT case_id, edits::INT AS edits, ref_chars::INT AS ref_chars, round(cer, 6) AS cer, hcw AS high_confidence_wrong, overcorrected, preserved FROM scored")
-def case_scores(spark, d):
-    return lenses.cases(spark, d).select("case_id", "edits", "ref_chars", F.round("cer", 6).alias("cer"), "high_confidence_wrong", "overcorrected", "preserved")
+@scored(f"WITH {CASES} SELECT case_id, edits::INT AS edits, ref_chars::INT AS ref_chars, round(cer, 6) AS cer, hcw AS high_confidence_wrong, overcorrected, preserved FROM scored")
+def case_scores(spark, d, cases):
+    return cases.select("case_id", "edits", "ref_chars", F.round("cer", 6).alias("cer"), "high_confidence_wrong", "overcorrected", "preserved")
 
 
-@query(f"WITH {CASES} SELECT case_id, edits::INT AS edits, (length(nh) - length(nr))::INT AS longer FROM scored")
-def edit_counts(spark, d):
+@scored(f"WITH {CASES} SELECT case_id, edits::INT AS edits, (length(nh) - length(nr))::INT AS longer FROM scored")
+def edit_counts(spark, d, cases):
     """Substitutions, deletions and insertions add up to the distance; insertions less deletions are the difference in length."""
-    c = lenses.cases(spark, d).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
+    c = cases.withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
     return c.select("case_id", F.expr("k.substitutions + k.deletions + k.insertions").alias("edits"), F.expr("k.insertions - k.deletions").alias("longer"))
 
 
-@query(f"WITH {CASES} SELECT role, conv_id % 4 AS part, count(*) AS cases, round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer FROM scored GROUP BY ROLLUP (role, conv_id % 4)")
-def group_cer(spark, d):
-    return reports.group_cer(lenses.cases(spark, d).withColumn("part", F.col("conv_id") % 4), "role", "part")
+@scored(f"WITH {CASES} SELECT role, conv_id % 4 AS part, count(*) AS cases, round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer FROM scored GROUP BY ROLLUP (role, conv_id % 4)")
+def group_cer(spark, d, cases):
+    return reports.group_cer(cases.withColumn("part", F.col("conv_id") % 4), "role", "part")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events GROUP BY event_type")
@@ -93,9 +108,9 @@ def label_version(spark, d):
     return history.label_versions(r).select(F.col("revision_id").alias("review_id"), "label_version")
 
 
-@query(f"WITH {CASES}, {REVIEWS} SELECT case_id FROM scored WHERE (overcorrected > 0 OR hcw) AND conv_id + 120 NOT IN (SELECT prediction_id FROM reviews)")
-def review_queue(spark, d):
-    predictions = lenses.cases(spark, d).withColumn("prediction_id", F.col("conv_id") + 120)
+@scored(f"WITH {CASES}, {REVIEWS} SELECT case_id FROM scored WHERE (overcorrected > 0 OR hcw) AND conv_id + 120 NOT IN (SELECT prediction_id FROM reviews)")
+def review_queue(spark, d, cases):
+    predictions = cases.withColumn("prediction_id", F.col("conv_id") + 120)
     return history.review_queue(predictions, lenses.reviews(spark, d)).select("case_id")
 
 
@@ -210,9 +225,9 @@ def outcome_counts(spark, d):
     return reports.outcome_counts(reports.compare_predictions(_arm(spark, d, 1), _arm(spark, d, 2)), "cer_delta")
 
 
-@query(f"WITH {CASES} SELECT CASE WHEN turn % 2 = 0 THEN 'pretrained' ELSE 'fine_tuned' END AS arm, round(sum(edits) / sum(ref_chars), 6) AS cer, round(sum(preserved) / sum(expressions), 6) AS dialect_preservation, count(*) FILTER (trim(hypothesis) = '') AS empty_outputs, round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM scored GROUP BY 1")
-def arm_metrics(spark, d):
-    return reports.arm_metrics(lenses.cases(spark, d).withColumn("arm", F.when(F.col("turn") % 2 == 0, "pretrained").otherwise("fine_tuned")))
+@scored(f"WITH {CASES} SELECT CASE WHEN turn % 2 = 0 THEN 'pretrained' ELSE 'fine_tuned' END AS arm, round(sum(edits) / sum(ref_chars), 6) AS cer, round(sum(preserved) / sum(expressions), 6) AS dialect_preservation, count(*) FILTER (trim(hypothesis) = '') AS empty_outputs, round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM scored GROUP BY 1")
+def arm_metrics(spark, d, cases):
+    return reports.arm_metrics(cases.withColumn("arm", F.when(F.col("turn") % 2 == 0, "pretrained").otherwise("fine_tuned")))
 
 
 @query("WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'B' WHEN 'signup' THEN 'tie' WHEN 'error' THEN 'uncertain' END AS p, CASE WHEN event_id % 2 = 0 THEN 'fine_tuned' ELSE 'pretrained' END AS a FROM events), w AS (SELECT CASE WHEN p = 'A' THEN a WHEN p = 'B' THEN CASE WHEN a = 'fine_tuned' THEN 'pretrained' ELSE 'fine_tuned' END ELSE p END AS w FROM r) SELECT count(*) AS items, count(*) FILTER (w = 'fine_tuned') AS wins, count(*) FILTER (w = 'pretrained') AS losses, count(*) FILTER (w = 'tie') AS ties, count(*) FILTER (w = 'uncertain') AS uncertain, count(*) FILTER (w IS NULL) AS open, round(count(*) FILTER (w = 'fine_tuned') / count(*) FILTER (w IN ('fine_tuned', 'pretrained')), 6) AS preference_rate FROM w")
@@ -225,34 +240,32 @@ def ab_tally(spark, d):
     return reports.ab_tally(reports.ab_unblind(results, key), "fine_tuned", "pretrained")
 
 
-@query(f"WITH {CASES}, c AS (SELECT *, CASE WHEN contains(nh, substr(nr, 1, 4)) THEN 'EXACT_SURFACE' WHEN contains(nh, substr(nr, 1, 3)) THEN 'ACCEPTABLE_VARIANT' WHEN contains(nh, substr(nr, 5, 2)) THEN 'STANDARD_EQUIVALENT' ELSE 'MISSING' END AS kind, turn % 2 = 0 AS good FROM scored) SELECT count(*) AS expressions, count(*) FILTER (kind = 'EXACT_SURFACE') AS exact, count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND good) AS approved_variants, count(*) FILTER (kind = 'STANDARD_EQUIVALENT') AS standard, count(*) FILTER (kind = 'MISSING') AS missing, count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good) AS ambiguous, round((count(*) FILTER (kind = 'EXACT_SURFACE') + count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND good)) / (count(*) - count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good)), 6) AS preservation_rate, round(count(*) FILTER (kind = 'STANDARD_EQUIVALENT') / (count(*) - count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good)), 6) AS overcorrection_rate FROM c")
-def calibrated_aggregate(spark, d):
-    return calibration.calibrated_aggregate(_classified(spark, d).select("x.*"))
-
+@scored(f"WITH {CASES}, c AS (SELECT *, CASE WHEN contains(nh, substr(nr, 1, 4)) THEN 'EXACT_SURFACE' WHEN contains(nh, substr(nr, 1, 3)) THEN 'ACCEPTABLE_VARIANT' WHEN contains(nh, substr(nr, 5, 2)) THEN 'STANDARD_EQUIVALENT' ELSE 'MISSING' END AS kind, turn % 2 = 0 AS good FROM scored) SELECT count(*) AS expressions, count(*) FILTER (kind = 'EXACT_SURFACE') AS exact, count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND good) AS approved_variants, count(*) FILTER (kind = 'STANDARD_EQUIVALENT') AS standard, count(*) FILTER (kind = 'MISSING') AS missing, count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good) AS ambiguous, round((count(*) FILTER (kind = 'EXACT_SURFACE') + count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND good)) / (count(*) - count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good)), 6) AS preservation_rate, round(count(*) FILTER (kind = 'STANDARD_EQUIVALENT') / (count(*) - count(*) FILTER (kind = 'ACCEPTABLE_VARIANT' AND NOT good)), 6) AS overcorrection_rate FROM c")
+def calibrated_aggregate(spark, d, cases):
+    return calibration.calibrated_aggregate(_classified(cases).select("x.*"))
 
-def _classified(spark, d):
-    c = lenses.cases(spark, d)
 
+def _classified(cases):
     def form(at, n, status):
         part = F.substring("nr", at, n)
         return F.array(F.struct(part.alias("form"), part.alias("plain"), status.alias("status")))
 
     variants = form(1, 3, F.when(F.col("turn") % 2 == 0, "approved").otherwise("candidate"))
-    return c.withColumn("x", calibration.classify_expression(F.col("nh"), F.substring("nr", 1, 4), variants, form(5, 2, F.lit("approved"))))
+    return cases.withColumn("x", calibration.classify_expression(F.col("nh"), F.substring("nr", 1, 4), variants, form(5, 2, F.lit("approved"))))
 
 
 @query()
 def human_agreement_summary(spark, d):
-    c = _classified(spark, d).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
+    c = _classified(lenses.whole_cases(spark, d)).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
     observed = F.concat(F.array("x.observed_error"), calibration.edit_observations(F.col("reference"), F.col("hypothesis"), F.col("k")))
     r = history.latest_by(lenses.reviews(spark, d), "prediction_id", "created_at", "review_id").select("prediction_id", "verdict", "confirmed_failure_types")
     cases = c.withColumn("automatic", calibration.failure_candidates(observed)).join(r, c.conv_id == r.prediction_id)
     return calibration.human_agreement_summary(cases.withColumn("agreement", calibration.human_agreement(F.col("automatic"), F.col("verdict"), F.col("confirmed_failure_types"))))
 
 
-@query(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 0), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
-def inference_summary(spark, d):
-    rows = lenses.cases(spark, d).select(F.col("conv_id").alias("utterance_id"), F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), "latency_ms", "duration_ms")
+@scored(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 0), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
+def inference_summary(spark, d, cases):
+    rows = cases.select(F.col("conv_id").alias("utterance_id"), F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), "latency_ms", "duration_ms")
     return reports.inference_summary(rows, table(spark, d, "conversations").where("conv_id % 7 <> 0").select(F.col("conv_id").alias("utterance_id")))
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import math
 import struct
+import unicodedata
 import zipfile
 
 import duckdb
@@ -88,6 +89,33 @@ def test_queries_match_sql(spark):
             assert rows(got) == rows(con.sql(plans.SQL[name]).df()), name
 
 
+@pytest.fixture(scope="module")
+def turns(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('turns')}"
+    same = "the same forty characters begin both turns, but then "
+    rows = [(1, 0, "user", same + "one ends here"), (1, 1, "assistant", same + "the other goes on, and on"), (2, 0, "user", "Où est la gare, là-bas\u00a0?"), (2, 1, "assistant", "Ou\u0300 est la guerre ?"), (7, 0, "user", "한국말 잘하네"), (7, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return folder, rows
+
+
+def test_whole_turns_are_scored(spark, turns):
+    folder, rows = turns
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFC", t) if unicodedata.category(c)[0] not in "ZP")
+    want = {f"{a[0]}:{a[1]}": (plain_counts(plain(a[3]), plain(b[3])), len(plain(a[3])), len(plain(b[3]))) for a, b in zip(rows[::2], rows[1::2], strict=True)}
+    q = plans.QUERIES
+    assert {r.case_id: (r.edits, r.ref_chars) for r in q["case_scores_whole"](spark, folder).collect()} == {k: (c[0], n) for k, (c, n, _) in want.items()}
+    assert {r.case_id: (r.edits, r.longer) for r in q["edit_counts_whole"](spark, folder).collect()} == {k: (c[0], m - n) for k, (c, n, m) in want.items()}
+    r = q["aggregate_report_whole"](spark, folder).first()
+    assert (r.utterance_count, r.cer) == (3, round(sum(c[0] for c, _, _ in want.values()) / sum(n for _, n, _ in want.values()), 6))
+
+
+def test_alignment_of_long_texts():
+    rng = np.random.default_rng(3)
+    pairs = [("".join(rng.choice(list("abcé"), n)), "".join(rng.choice(list("abcé"), m))) for n, m in ((300, 280), (150, 310), (1, 90), (200, 1), (0, 5), (5, 0))]
+    edits, swapped = scoring._align(*map(list, zip(*pairs)))
+    assert [(e, s) for e, s in zip(edits.tolist(), swapped.tolist(), strict=True)] == [plain_counts(a, b)[:2] for a, b in pairs]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
