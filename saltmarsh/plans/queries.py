@@ -141,6 +141,12 @@ def duplicate_surface_groups(spark, d):
     return governance.duplicate_surface_groups(lenses.entries(spark, d).where(lenses.is_ascii(F.col("surface_text"))))
 
 
+@query()
+def duplicate_surface_groups_whole(spark, d):
+    """Of all documents; the query above has what DuckDB can fold."""
+    return governance.duplicate_surface_groups(lenses.entries(spark, d))
+
+
 @query(f"WITH {ENTRIES}, r AS (SELECT DISTINCT utterance_id, unnest(lineage) AS sha FROM entries) SELECT 'duplicate_lineage' AS rule, sha AS key, count(*)::VARCHAR AS detail FROM r GROUP BY sha HAVING count(*) > 1")
 def duplicate_lineage(spark, d):
     return governance.duplicate_lineage(lenses.entries(spark, d))
@@ -376,8 +382,18 @@ def gate_assessment(spark, d):
 
 @query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS surface_key, regexp_replace(lower(text), '\\s', '', 'g') AS pool_key, regexp_replace(text, '[\\p{Z}\\p{P}]', '', 'g') AS plain, len(regexp_extract_all(regexp_replace(text, '\\p{P}', '', 'g'), '\\S+'))::INT AS tokens FROM documents WHERE strlen(text) = length(text)")
 def surface_keys(spark, d):
+    return _surface_keys(table(spark, d, "documents").where(lenses.is_ascii(F.col("text"))))
+
+
+@query()
+def surface_keys_whole(spark, d):
+    """Of all documents; the query above has what DuckDB can fold."""
+    return _surface_keys(table(spark, d, "documents"))
+
+
+def _surface_keys(docs):
     t = F.col("text")
-    return table(spark, d, "documents").where(lenses.is_ascii(t)).select("doc_id", text.surface_key(t).alias("surface_key"), text.pool_surface_key(t).alias("pool_key"), text.normalize_for_cer(t).alias("plain"), F.size(text.tokens_without_punct(t)).alias("tokens"))
+    return docs.select("doc_id", text.surface_key(t).alias("surface_key"), text.pool_surface_key(t).alias("pool_key"), text.normalize_for_cer(t).alias("plain"), F.size(text.tokens_without_punct(t)).alias("tokens"))
 
 
 @query("SELECT 'types_without_confirmation' AS rule, event_id::VARCHAR AS key FROM events WHERE event_id % 3 = 0 AND event_type = 'error' UNION ALL SELECT 'uncertain_without_notes', event_id::VARCHAR FROM events WHERE event_type IN ('view', 'click')")

@@ -116,6 +116,27 @@ def test_alignment_of_long_texts():
     assert [(e, s) for e, s in zip(edits.tolist(), swapped.tolist(), strict=True)] == [plain_counts(a, b)[:2] for a, b in pairs]
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('corpus')}"
+    docs = [(1, "Die Straße, ＡＢ!", "de", "src1"), (2, "die STRASSE ab", "de", "src5"), (3, "Cafe\u0301 No. ①", "fr", "src2"), (4, "café no 1", "fr", "src3"), (5, "plain words", "en", "src2"), (6, "Plain, words!", "en", "src2"), (7, None, "en", "src4"), (8, "", "es", "src4"), (9, "benchmark  ÍTEM", "es", "src6")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(50, "Benchmark ítem.")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, docs
+
+
+def folded(t):
+    return "".join(c for c in unicodedata.normalize("NFKC", t).casefold() if unicodedata.category(c)[0] in "LN")
+
+
+def test_surface_keys_of_every_script(spark, corpus):
+    folder, docs = corpus
+    assert {r.doc_id: r.surface_key for r in plans.QUERIES["surface_keys_whole"](spark, folder).collect()} == {d: t if t is None else folded(t) for d, t, *_ in docs}
+    got = {(r.surface, r.n, r.first_id, r.splits, r.level) for r in plans.QUERIES["duplicate_surface_groups_whole"](spark, folder).collect()}
+    assert got == {("diestrasseab", 2, 1, "train,validation", "error"), ("caféno1", 2, 3, "train", "warning"), ("plainwords", 2, 5, "train", "warning")}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
