@@ -165,6 +165,22 @@ def leakage_check(spark, d):
     return governance.leakage_check(train, bench.unionByName(copies))
 
 
+@query()
+def leakage_check_whole(spark, d):
+    """Training rows against the benchmark and the whole validation split, by surface keys (their hashes)."""
+    rows = lenses.entries(spark, d).withColumn("surface_key", _surface_hash(F.col("surface_text")))
+    bench = table(spark, d, "benchmark").select(
+        (F.col("item_id") * 25).alias("utterance_id"), F.concat(F.lit("src"), F.col("item_id") % 100 + 15).alias("speaker_id"), F.array(F.concat(F.lit("a"), F.col("item_id"))).alias("lineage"), _surface_hash(F.col("text")).alias("surface_key"), F.concat(F.lit("b"), F.col("item_id") % 3).alias("benchmark_id")
+    )
+    held = rows.where("split = 'validation'").select("utterance_id", "speaker_id", "lineage", "surface_key", F.lit("validation").alias("benchmark_id"))
+    return governance.leakage_check(rows.where("split = 'train'"), bench.unionByName(held))
+
+
+def _surface_hash(c):
+    key = text.surface_key(c)
+    return F.when(key != "", F.sha2(key, 256))
+
+
 @query(f"WITH {ENTRIES} SELECT split, count(*) AS rows, count(DISTINCT speaker_id) AS speakers, round(sum(duration_ms) / 3600000, 6) AS hours, concat_ws('; ', CASE WHEN count(*) < 300 THEN 'few rows' END, CASE WHEN split = 'validation' AND count(DISTINCT speaker_id) < 2 THEN 'few speakers' END) AS warnings FROM entries GROUP BY split")
 def training_report(spark, d):
     return governance.training_report(lenses.entries(spark, d))
@@ -189,6 +205,22 @@ def exclusion_check(spark, d):
     return governance.exclusion_check(lenses.entries(spark, d), registry, {"utterance": F.col("utterance_id"), "surface": F.col("surface_text")})
 
 
+@query()
+def exclusion_registry_whole(spark, d):
+    docs, labels, bench = (table(spark, d, t) for t in ("documents", "labels", "benchmark"))
+    return governance.exclusion_registry((docs, {"speaker": F.col("source"), "utterance": F.col("doc_id")}), (labels, {"utterance": F.col("doc_id")}), (bench, {"surface": text.surface_key(F.col("text"))}))
+
+
+@query()
+def exclusion_check_whole(spark, d):
+    """Entries against toxic labels, and by surface keys (their hashes) against the benchmark and all labelled documents."""
+    labels = table(spark, d, "labels")
+    labelled = table(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    surface = {"surface": _surface_hash(F.col("text"))}
+    registry = governance.exclusion_registry((labels.where("toxic = 1"), {"utterance": F.col("doc_id")}), (labelled, surface), (table(spark, d, "benchmark"), surface))
+    return governance.exclusion_check(lenses.entries(spark, d), registry, {"utterance": F.col("utterance_id"), "surface": _surface_hash(F.col("surface_text"))})
+
+
 @query("SELECT doc_id AS utterance_id, CASE WHEN quality = 1 THEN 'train' ELSE 'validation' END AS split, doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AS known FROM labels")
 def resolve_assignments(spark, d):
     assigned = table(spark, d, "labels").select(F.col("doc_id").alias("utterance_id"), F.when(F.col("quality") == 1, "train").otherwise("validation").alias("split"))

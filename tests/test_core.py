@@ -137,6 +137,15 @@ def test_surface_keys_of_every_script(spark, corpus):
     assert got == {("diestrasseab", 2, 1, "train,validation", "error"), ("caféno1", 2, 3, "train", "warning"), ("plainwords", 2, 5, "train", "warning")}
 
 
+def test_leakage_and_exclusions_by_surface_key(spark, corpus):
+    folder, _ = corpus
+    q = plans.QUERIES
+    surface = lambda name: {(r.key, r.detail) for r in q[name](spark, folder).where("rule = 'surface'").collect()}
+    assert surface("leakage_check_whole") == {("1", "validation"), ("9", "b2")}
+    assert surface("exclusion_check_whole") == {(k, "warning") for k in ("3", "4", "5", "6", "9")}
+    assert {r.value for r in q["exclusion_registry_whole"](spark, folder).where("kind = 'surface'").collect()} == {"benchmarkítem"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
