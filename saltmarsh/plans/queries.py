@@ -241,6 +241,12 @@ def coverage_check(spark, d):
     return governance.coverage_check(wanted, table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 13 <> 1").select(k.alias("k")), "k")
 
 
+@query()
+def coverage_check_whole(spark, d):
+    """All rows of lineitem against all orders."""
+    return governance.coverage_check(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+
+
 _ARM = "SELECT l_orderkey AS utterance_id, l_discount AS cer, l_tax AS preservation, l_quantity AS overcorrection, CASE WHEN l_linestatus = 'O' THEN l_extendedprice END AS confidence FROM lineitem WHERE l_linenumber = {}"
 
 
@@ -301,10 +307,20 @@ def human_agreement_summary(spark, d):
     return calibration.human_agreement_summary(cases.withColumn("agreement", calibration.human_agreement(F.col("automatic"), F.col("verdict"), F.col("confirmed_failure_types"))))
 
 
-@scored(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 0), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
-def inference_summary(spark, d, cases):
+@query(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 0), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
+def inference_summary(spark, d):
+    return _inference_summary(lenses.cases(spark, d), table(spark, d, "conversations").where("conv_id % 7 <> 0"))
+
+
+@query()
+def inference_summary_whole(spark, d):
+    """Whole turns against all conversations; one of a single turn has no case and is missing."""
+    return _inference_summary(lenses.whole_cases(spark, d), table(spark, d, "conversations"))
+
+
+def _inference_summary(cases, expected):
     rows = cases.select(F.col("conv_id").alias("utterance_id"), F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), "latency_ms", "duration_ms")
-    return reports.inference_summary(rows, table(spark, d, "conversations").where("conv_id % 7 <> 0").select(F.col("conv_id").alias("utterance_id")))
+    return reports.inference_summary(rows, expected.select(F.col("conv_id").alias("utterance_id")))
 
 
 @query("WITH s AS (SELECT page_id, sha256(html) AS h, CASE WHEN page_id % 11 = 3 THEN NULL WHEN page_id % 7 = 2 THEN 'x' ELSE sha256(html) END AS expected FROM pages) SELECT url || page_id AS path, CASE WHEN page_id % 5 = 4 THEN 'missing' WHEN page_id % 13 = 5 THEN 'unexpected' WHEN expected IS NULL THEN 'unpinned' WHEN expected = h THEN 'verified' ELSE 'mismatch' END AS status FROM s JOIN pages USING (page_id)")

@@ -146,6 +146,15 @@ def test_leakage_and_exclusions_by_surface_key(spark, corpus):
     assert {r.value for r in q["exclusion_registry_whole"](spark, folder).where("kind = 'surface'").collect()} == {"benchmarkítem"}
 
 
+def test_coverage_of_all_rows(spark, tmp_path, turns):
+    spark.createDataFrame([(k,) for k in (1, 14, 50, 60)], "o_orderkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1), *((14, k) for k in range(1, 6)), (50, 3), (70, 7)], "l_orderkey long, l_linenumber int").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = {(r.rule, r.key, r.detail) for r in plans.QUERIES["coverage_check_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {("duplicate", "14", "5"), ("missing", "60", "0"), ("unexpected", "70", "1")}
+    r = plans.QUERIES["inference_summary_whole"](spark, turns[0]).first()
+    assert (r.missing, r.unexpected, r.duplicate, r.failed, r.status) == (0, 0, 0, 0, "complete")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
