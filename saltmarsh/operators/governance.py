@@ -159,11 +159,17 @@ def single_valued(df: DataFrame, *columns: str) -> DataFrame:
 def benchmark_identity(manifests: DataFrame) -> DataFrame:
     """manifests (source, utterance_id, surface_text, expressions array): per source the counts and a hash of the meaning.
 
-    The hash is over the rows in order of id, with expressions sorted; equal hashes mean the same benchmark.
+    The hash is over the rows, with expressions sorted; equal hashes mean the same benchmark.  It is built in two levels: rows fall
+    into 4096 buckets by the hash of their id, each hashed in order of id, and a source's hash is over its buckets' in order.
     """
     line = F.sha2(F.to_json(F.struct("utterance_id", "surface_text", F.sort_array("expressions").alias("expressions"))), 256)
     rows = manifests.select("source", F.col("utterance_id").cast("string").alias("id"), line.alias("line"), F.size("expressions").alias("k"))
-    return rows.groupBy("source").agg(F.count("*").alias("entries"), F.sum("k").alias("expressions"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), ""), 256).alias("semantic_hash"))
+
+    def joined(*columns: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*columns))), lambda x: x[columns[-1]]), ""), 256)
+
+    buckets = rows.groupBy("source", F.substring(F.md5(F.coalesce("id", F.lit("")).cast("binary")), 1, 3).alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("k"), joined("id", "line").alias("hash"))
+    return buckets.groupBy("source").agg(F.sum("n").alias("entries"), F.sum("k").alias("expressions"), joined("bucket", "hash").alias("semantic_hash"))
 
 
 def asset_for_role(assets: Column, role: str, legacy: Column) -> Column:

@@ -1,7 +1,9 @@
 """Scoring, reports, governance, calibration, gate, audio, sources and streams on small inputs."""
 
 import datetime as dt
+import hashlib
 import io
+import json
 import math
 import struct
 import unicodedata
@@ -155,6 +157,23 @@ def test_coverage_of_all_rows(spark, tmp_path, turns):
     assert (r.missing, r.unexpected, r.duplicate, r.failed, r.status) == (0, 0, 0, 0, "complete")
 
 
+def test_benchmark_hash(spark, corpus):
+    folder, docs = corpus
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for source in {r[3] for r in docs}:
+        buckets = {}
+        for d, t, lang, s in sorted(docs, key=lambda r: str(r[0])):
+            if s == source:
+                row = {"utterance_id": d, "surface_text": t, "expressions": sorted(lang)}
+                buckets.setdefault(hashlib.md5(str(d).encode()).hexdigest()[:3], []).append(sha(json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))))
+        want[source] = sha("".join(sha("".join(buckets[b])) for b in sorted(buckets)))
+    assert {r.source: r.semantic_hash for r in plans.QUERIES["benchmark_identity_whole"](spark, folder).collect()} == want
+    rows = [("x", 1, "a", ["p", "q"]), ("x", 2, "b", ["p"]), ("y", 2, "b", ["p"]), ("y", 1, "a", ["q", "p"]), ("z", 1, "b", ["p", "q"]), ("z", 2, "a", ["p"])]
+    h = {r.source: r.semantic_hash for r in governance.benchmark_identity(spark.createDataFrame(rows, "source string, utterance_id int, surface_text string, expressions array<string>")).collect()}
+    assert h["x"] == h["y"] != h["z"]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
