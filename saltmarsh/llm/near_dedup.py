@@ -1,10 +1,9 @@
 """Near-duplicate documents: consistent weighted samples of TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is the weighted set of its five-word shingles (lower case).  A shingle weighs its count in the document times
-log(1 + N / max(df, share * N)): document frequencies below ``share`` of the documents are rounded up to it, so only the
-shingles above that share have to be known by name.  These are found exactly in two passes: every Arrow batch reports what is
-frequent inside it, which names each shingle that is frequent overall, and a second pass counts the named ones.  There are at
-most (mean shingles of a document) / (share / 2) names whatever the corpus size, which bounds what is broadcast.
+log(1 + N / df), with its real document frequency df.  All shingles are counted: every Arrow batch gives its counts as packed
+arrays by ranges of the hash, and each range is summed on its own.  Shingles of one document need no row; those of two or more
+(9 bytes each, about a ninth of the distinct ones) are broadcast, so that this table grows with the corpus.
 
 Improved consistent weighted sampling draws, for each of ``bands * rows`` functions, one (shingle, level) of the set such that
 two sets draw the same with a probability equal to their weighted Jaccard similarity.  Equal texts are one node.  Nodes that
@@ -24,9 +23,12 @@ from . import textkernel as K
 from .common import batches, saved, table
 from .components import connected_components
 
-SHINGLE, SIMILARITY, BANDS, ROWS, SHARE = 5, 0.8, 14, 3, 1 / 200
+SHINGLE, SIMILARITY, BANDS, ROWS, SHARE = 5, 0.8, 14, 3, 0.0
 U64 = np.uint64
 
+#: Ranges of the hash for each partition of the texts, to bound what is counted at once.
+_RANGES = 4
+
 #: For the exact join: cells that tell rare from common shingles (2 bytes each are broadcast), and weight classes to a factor of 1 / similarity.
 ORDER_BITS, CLASSES = 20, 4
 
@@ -55,57 +57,115 @@ def parts(offsets: np.ndarray):
             yield a, min(a + _TEXTS, j)
 
 
-def _counts(share: float | None, names: np.ndarray | None, size: int):
-    """Document frequencies in a batch: of shingles in at least ``share`` of its documents, or of the named ones."""
+def _packed(shingle: np.ndarray) -> bytes:
+    """48-bit numbers as 6 bytes each."""
+    return shingle.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _summed(shingle: np.ndarray, df: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and the sums of their counts (1 each where there are none)."""
+    if df is None:
+        shingle = np.sort(shingle)
+    else:
+        order = np.argsort(shingle)
+        shingle, df = shingle[order], df[order]
+    new = np.ones(len(shingle), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    at = np.flatnonzero(new)
+    return shingle[at], (np.diff(np.append(at, len(shingle))) if df is None else np.add.reduceat(df, at) if len(at) else df)
+
+
+def _counts(ranges: int, size: int):
+    """(range, shingles, dfs): the document frequencies in a batch, packed by range of the hash."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch | None:
         data, off = K.utf8(part.column(0))
-        found = []
+        found = [np.zeros(0, U64)]
         for i, j in parts(off):
-            _, shingle, _ = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            if names is not None:
-                at = np.searchsorted(names, shingle)
-                shingle = shingle[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == shingle)] if len(names) else shingle[:0]
-            found.append(shingle)
-        every = np.sort(np.concatenate(found))
-        if not len(every):
+            found.append(bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)[1])
+        shingle, df = _summed(np.concatenate(found))
+        if not len(shingle):
             return None
-        new = np.ones(len(every), bool)
-        new[1:] = every[1:] != every[:-1]
-        at = np.flatnonzero(new)
-        df = np.diff(np.append(at, len(every)))
-        if share is not None:
-            at, df = at[df >= share * part.num_rows], df[df >= share * part.num_rows]
-        return pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(df.astype(np.int64))], names=["shingle", "df"])
+        of = ((shingle >> U64(24)) * U64(ranges)) >> U64(24)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        ends = np.append(first[1:], len(of))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(of[first].astype(np.int32)), pa.array([_packed(shingle[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())],
+            names=["range", "shingles", "dfs"],
+        )
+
+    return kernel
+
+
+def _range_sums(least: float):
+    """The shingles of one range with a document frequency of at least ``least``, from the counts of all batches."""
+
+    def kernel(part: pa.Table) -> pa.Table:
+        shingle, df = (np.concatenate([read(x.as_py()) for x in part.column(k)]) for k, read in (("shingles", _unpacked), ("dfs", lambda x: np.frombuffer(x, "<u4").astype(np.int64))))
+        shingle, df = _summed(shingle, df)
+        shingle, df = shingle[df >= least], df[df >= least]
+        return pa.table({"range": part.column("range").slice(0, 1), "shingles": pa.array([_packed(shingle)], pa.binary()), "dfs": pa.array([df.astype("<u4").tobytes()], pa.binary())})
 
     return kernel
 
 
 def frequent_shingles(texts: DataFrame, total: int, share: float = SHARE, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least ``share`` of the ``total`` documents, sorted, and their exact document frequencies."""
-    local = texts.mapInArrow(batches(_counts(share / 2, None, size)), "shingle long, df long")
-    named = local.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= share / 2 * total)
-    names = np.sort(np.array([r[0] for r in named.select("shingle").collect()], np.int64).view(U64))
-    if not len(names):
-        return names, np.zeros(0)
-    exact = texts.mapInArrow(batches(_counts(None, names, size)), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
-    rows = sorted((r[0], r[1]) for r in exact.where(F.col("df") >= share * total).collect())
-    return np.array([r[0] for r in rows], np.int64).view(U64), np.array([r[1] for r in rows], float)
+    """Shingles in two or more of the ``total`` documents (and in at least ``share`` of them), sorted, and their exact document frequencies."""
+    ranges = max(16, _RANGES * texts.rdd.getNumPartitions())
+    local = texts.mapInArrow(batches(_counts(ranges, size)), "range int, shingles binary, dfs binary")
+    found = saved(local.groupBy("range").applyInArrow(_range_sums(max(2, share * total)), "range int, shingles binary, dfs binary"), "frequencies")
+    sizes = dict(found.select("range", F.octet_length("dfs") / 4).collect())
+    ends = dict(zip(sorted(sizes), np.cumsum([int(sizes[r]) for r in sorted(sizes)]).tolist(), strict=True))
+    n = max(ends.values(), default=0)
+    shingles, df = np.empty(n, U64), np.empty(n, np.uint32)
+    for r, packed, counts in found.toLocalIterator():  # the driver holds the table once
+        part = slice(ends[r] - int(sizes[r]), ends[r])
+        shingles[part], df[part] = _unpacked(packed), np.frombuffer(counts, "<u4")
+    return shingles, df
 
 
 class Weights:
-    """Weights of shingles: count times log(1 + N / max(df, share * N))."""
+    """Weights of shingles: count times log(1 + N / df), where shingles without a name have a df of 1.
+
+    ``share``: document frequencies below this share of the documents are rounded up to it; 0 rounds none.
+    """
 
     def __init__(self, shingles: np.ndarray, df: np.ndarray, total: int, share: float):
-        self.shingles = shingles
-        self.rare = float(np.log1p(1 / share))
-        self.idf = np.append(np.log1p(total / np.maximum(df, share * total)), self.rare)
+        least = max(1, share * total)
+        self.rare = float(np.log1p(total / least))
+        #: Few document frequencies are above 254; they are looked up by the place of their shingle.
+        high = np.flatnonzero(df > 254)
+        self.high, self.idf_high = high, np.log1p(total / np.maximum(df[high], least))
+        self.idf = np.log1p(total / np.maximum(np.arange(256), least))
+        self.table = (shingles, np.minimum(df, 255).astype(np.uint8))
+        self.shared = None
+
+    def broadcast(self, spark: SparkSession) -> Weights:
+        """The same, with the table sent once to each executor in place of once a task."""
+        self.shared, self.table = spark.sparkContext.broadcast(self.table), None
+        return self
 
     def __call__(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
+        shingles, df = self.shared.value if self.table is None else self.table
+        if not len(shingles):
             return count * self.rare
-        at = np.minimum(np.searchsorted(self.shingles, shingle), len(self.shingles) - 1)
-        return count * np.where(self.shingles[at] == shingle, self.idf[at], self.rare)
+        order = np.argsort(shingle)  # the search runs through the table once
+        asked = shingle[order]
+        at = np.minimum(np.searchsorted(shingles, asked), len(shingles) - 1)
+        known = np.flatnonzero(shingles[at] == asked)
+        at = at[known]
+        idf = self.idf[df[at]]
+        if len(often := np.flatnonzero(df[at] == 255)):
+            idf[often] = self.idf_high[np.searchsorted(self.high, at[often])]
+        out = np.full(len(shingle), self.rare)
+        out[order[known]] = idf
+        return count * out
 
 
 class Sampler:
@@ -123,11 +183,11 @@ class Sampler:
         self.odd = rng.integers(0, 1 << 63, functions, np.uint64) * U64(2) + U64(1)
         self.common = common
         #: Draws of the weight that nearly all shingles have, looked up instead of worked out.
-        self.table = np.stack([self.draws(k, np.arange(shape[1]), np.full(shape[1], common)) for k in range(functions)])
+        self.table = np.stack([self.draws(k, np.arange(shape[1]), np.full(shape[1], np.log(common), np.float32)) for k in range(functions)])
 
-    def draws(self, k: int, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def draws(self, k: int, at: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
         r, b = self.r[k][at], self.b[k][at]
-        t = np.floor(np.log(weight).astype(np.float32) / r + b)
+        t = np.floor(log_weight / r + b)
         bits = (self.log_c[k][at] - r * (t - b) - r).view(np.uint32)
         bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # unsigned order is that of the numbers
         return bits.astype(U64) << U64(32)
@@ -136,12 +196,13 @@ class Sampler:
         """Draws (texts x functions) of the sets that begin at ``first``; every set has a shingle."""
         low = shingle & U64(0xFFFFFFFF)
         other = np.flatnonzero(weight != self.common)
+        log_weight = np.log(weight[other]).astype(np.float32)
         spread = K.mix(shingle)
         out = np.empty((len(first), len(self.odd)), U64)
         for k, odd in enumerate(self.odd):
             at = ((spread * odd) >> U64(64 - POOL_BITS)).astype(np.int64)
             drawn = self.table[k][at]
-            drawn[other] = self.draws(k, at[other], weight[other])
+            drawn[other] = self.draws(k, at[other], log_weight)
             out[:, k] = np.minimum.reduceat(drawn | low, first)
         return out
 
@@ -314,7 +375,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     keyed = docs.select("doc_id", F.lower("text").cast("binary").alias("text"), text_node(F.col("text")).alias("node"))
     texts = keyed.where("node is not null").select("text", "node")
     total = docs.count()
-    weights = Weights(*frequent_shingles(texts.select("text"), total, share, size), total, share)
+    weights = Weights(*frequent_shingles(keyed.where("text is not null").select("text"), total, share, size), total, share).broadcast(docs.sparkSession)
 
     drawn = texts.mapInArrow(batches(_bands(weights, bands, rows, size)), "node binary, bucket long").distinct()
     drawn = saved(drawn, "bands")

@@ -122,6 +122,36 @@ def test_exact_join_by_prefixes(spark):
     assert len(want) > 20 and got == want and pairs.count() < len(ids) * (len(ids) - 1) // 4
 
 
+def test_weights_have_the_real_document_frequencies(spark):
+    # 1000 documents, so that frequencies of up to 5 are below half a percent of them.
+    rng = random.Random(12)
+    shared = {n: passage(rng, 40) for n in (2, 3, 5, 30, 400)}
+    docs = [passage(rng, 20) + "".join(" " + p for n, p in shared.items() if k % 1000 < n) for k in range(1000)]
+    counts = Counter()
+    for t in docs:
+        w = t.encode().split()
+        counts.update({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    df = spark.createDataFrame([(t,) for t in docs], "text string").select(F.col("text").cast("binary").alias("text"))
+    weights = near_dedup.Weights(*near_dedup.frequent_shingles(df, len(docs)), len(docs), near_dedup.SHARE)
+    for shipped in (weights, weights.broadcast(spark)):
+        for t in (docs[0], docs[4], docs[29], docs[999]):
+            w = t.encode().split()
+            words = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            data = np.frombuffer(t.encode(), np.uint8)
+            _, shingle, count = near_dedup.bags(data, np.array([0, len(data)]))
+            assert np.allclose(sorted(shipped(shingle, count)), sorted(n * np.log1p(len(docs) / counts[s]) for s, n in words.items()))
+
+
+def test_links_follow_the_real_document_frequencies(spark):
+    # Both texts share 85 shingles of weight log(1 + N / 4) and differ in 9 each of log(1 + N): 0.8 or more only where all weigh alike.
+    rng = random.Random(13)
+    shared = passage(rng, 89)
+    rows = [(0, f"{shared} {passage(rng, 9)}"), (1, f"{shared} {passage(rng, 9)}"), *((k, f"{shared} {passage(rng, 400)}") for k in (2, 3))]
+    rows += [(k, passage(rng, 12)) for k in range(10, 1010)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
