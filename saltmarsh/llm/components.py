@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import forget, saved
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type): the least node it is linked to.
 
     Loops and repeated edges are fine; an edge with a null end is left out.  Each round is written to the shared folder.  The
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     links = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u is linked to the least of u's neighbours.
@@ -31,6 +31,4 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v"), F.col("v"))).distinct()

@@ -1,13 +1,17 @@
 """Near-duplicate documents: consistent weighted samples of TF-IDF shingles, banded, verified by weighted Jaccard.
 
 A document is the weighted set of its five-word shingles (lower case).  A shingle weighs its count in the document times
-log(1 + N / df), with its real document frequency df.  All shingles are counted: every Arrow batch gives its counts as packed
-arrays by ranges of the hash, and each range is summed on its own.  Shingles of one document need no row; those of two or more
-(9 bytes each, about a ninth of the distinct ones) are broadcast, so that this table grows with the corpus.
+log(1 + N / df), with its real document frequency df.  Frequencies are joined to the texts in packed form: texts are dealt into
+groups, each group asks every range of the hash for the frequencies of its distinct shingles, and each range answers with those
+of two or more documents.  No table of all frequencies is ever in one place.
+
+Two texts as similar as t share at least the t-th part of either one's weight.  So a text that shares less than that with all
+other texts together is similar to none, which the frequencies tell exactly; only the others go on, and of them only the shingles
+that some other text has, beside the whole weight.
 
 Improved consistent weighted sampling draws, for each of ``bands * rows`` functions, one (shingle, level) of the set such that
 two sets draw the same with a probability equal to their weighted Jaccard similarity.  Equal texts are one node.  Nodes that
-share a band meet in a bucket: each is checked against the bucket's leaders.  All texts of the buckets that this leaves in several
+share a band meet in a bucket: each is checked against the bucket's leader.  All texts of the buckets that this leaves in several
 components then go through an exact join by prefixes (see _unmet), so that no link between components is lost, and pairs that
 cannot be similar enough are not made.
 """
@@ -20,24 +24,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, saved, table
+from .common import batches, forget, saved, table
 from .components import connected_components
 
-SHINGLE, SIMILARITY, BANDS, ROWS, SHARE = 5, 0.8, 14, 3, 0.0
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
 U64 = np.uint64
 
-#: Ranges of the hash for each partition of the texts, to bound what is counted at once.
-_RANGES = 4
+#: Bytes of text in a group, and of the texts whose shingles a range of the hash answers for: both bound the memory of a task.
+GROUP_BYTES, RANGE_BYTES = 4 << 20, 12 << 20
 
-#: For the exact join: cells that tell rare from common shingles (2 bytes each are broadcast), and weight classes to a factor of 1 / similarity.
-ORDER_BITS, CLASSES = 20, 4
+#: For the exact join: weight classes to a factor of 1 / similarity.
+CLASSES = 2
 
-#: Each function reads its random triples from a pool of this many, by bits of the shingle's hash.  Ties that a pool brings
-#: are settled by the shingle's hash.
-POOL_BITS = 15
 #: Rows handled at once; a shingle's hash is cut to 48 bits below the number of its text.
 _TEXTS = 1 << 15
 
+_NODES = "node binary, weight double, buckets array<bigint>, shingles binary, counts binary, dfs binary"
+
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, count), sorted by text and shingle; shingles are 48-bit hashes."""
@@ -58,217 +61,215 @@ def parts(offsets: np.ndarray):
 
 
 def _packed(shingle: np.ndarray) -> bytes:
-    """48-bit numbers as 6 bytes each."""
-    return shingle.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Ascending 48-bit numbers as the six byte planes of their differences, of which the upper ones compress to nothing."""
+    step = np.diff(shingle, prepend=U64(0)).astype("<u8")
+    return step.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=U64)
 
 
-def _summed(shingle: np.ndarray, df: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and the sums of their counts (1 each where there are none)."""
-    if df is None:
-        shingle = np.sort(shingle)
-    else:
-        order = np.argsort(shingle)
-        shingle, df = shingle[order], df[order]
-    new = np.ones(len(shingle), bool)
-    new[1:] = shingle[1:] != shingle[:-1]
-    at = np.flatnonzero(new)
-    return shingle[at], (np.diff(np.append(at, len(shingle))) if df is None else np.add.reduceat(df, at) if len(at) else df)
+def _one_each(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Of the equal texts of a batch one row, with their number."""
+    codes = part.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    _, first, count = np.unique(codes, return_index=True, return_counts=True)
+    one = part.take(pa.array(first))
+    return pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array(count.astype(np.int64))], names=["node", "text", "copies"])
 
 
-def _counts(ranges: int, size: int):
-    """(range, shingles, dfs): the document frequencies in a batch, packed by range of the hash."""
+def _asked(ranges: int, size: int):
+    """What a group of texts asks: by range of the hash its distinct shingles and in how many of its documents each is."""
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        data, off = K.utf8(part.column(0))
-        found = [np.zeros(0, U64)]
+    def kernel(part: pa.Table) -> pa.Table:
+        data, off = K.utf8(part.column("text"))
+        copies = part.column("copies").to_numpy()
+        shingles, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for i, j in parts(off):
-            found.append(bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)[1])
-        shingle, df = _summed(np.concatenate(found))
-        if not len(shingle):
-            return None
-        of = ((shingle >> U64(24)) * U64(ranges)) >> U64(24)
-        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            text, shingle, _ = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+            shingles.append(shingle)
+            counts.append(copies[i + text])
+        shingle, n = np.concatenate(shingles), np.concatenate(counts)
+        order = np.argsort(shingle)
+        shingle, n = shingle[order], n[order]
+        at = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+        shingle, n = shingle[at], np.add.reduceat(n, at) if len(at) else n
+        of = ((shingle >> U64(16)) * U64(ranges)) >> U64(32)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(of))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(of[first].astype(np.int32)), pa.array([_packed(shingle[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([df[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())],
-            names=["range", "shingles", "dfs"],
+        rows = list(zip(first.tolist(), ends.tolist(), strict=False))[: len(first)]
+        return pa.table(
+            {
+                "range": pa.array(of[first].astype(np.int64)),
+                "g": pa.array(np.full(len(first), part.column("g")[0].as_py(), np.int64)),
+                "shingles": pa.array([_packed(shingle[a:b]) for a, b in rows], pa.binary()),
+                "dfs": pa.array([n[a:b].astype("<u4").tobytes() for a, b in rows], pa.binary()),
+            }
         )
 
     return kernel
 
 
-def _range_sums(least: float):
-    """The shingles of one range with a document frequency of at least ``least``, from the counts of all batches."""
-
-    def kernel(part: pa.Table) -> pa.Table:
-        shingle, df = (np.concatenate([read(x.as_py()) for x in part.column(k)]) for k, read in (("shingles", _unpacked), ("dfs", lambda x: np.frombuffer(x, "<u4").astype(np.int64))))
-        shingle, df = _summed(shingle, df)
-        shingle, df = shingle[df >= least], df[df >= least]
-        return pa.table({"range": part.column("range").slice(0, 1), "shingles": pa.array([_packed(shingle)], pa.binary()), "dfs": pa.array([df.astype("<u4").tobytes()], pa.binary())})
-
-    return kernel
-
-
-def frequent_shingles(texts: DataFrame, total: int, share: float = SHARE, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in two or more of the ``total`` documents (and in at least ``share`` of them), sorted, and their exact document frequencies."""
-    ranges = max(16, _RANGES * texts.rdd.getNumPartitions())
-    local = texts.mapInArrow(batches(_counts(ranges, size)), "range int, shingles binary, dfs binary")
-    found = saved(local.groupBy("range").applyInArrow(_range_sums(max(2, share * total)), "range int, shingles binary, dfs binary"), "frequencies")
-    sizes = dict(found.select("range", F.octet_length("dfs") / 4).collect())
-    ends = dict(zip(sorted(sizes), np.cumsum([int(sizes[r]) for r in sorted(sizes)]).tolist(), strict=True))
-    n = max(ends.values(), default=0)
-    shingles, df = np.empty(n, U64), np.empty(n, np.uint32)
-    for r, packed, counts in found.toLocalIterator():  # the driver holds the table once
-        part = slice(ends[r] - int(sizes[r]), ends[r])
-        shingles[part], df[part] = _unpacked(packed), np.frombuffer(counts, "<u4")
-    return shingles, df
-
-
-class Weights:
-    """Weights of shingles: count times log(1 + N / df), where shingles without a name have a df of 1.
-
-    ``share``: document frequencies below this share of the documents are rounded up to it; 0 rounds none.
-    """
-
-    def __init__(self, shingles: np.ndarray, df: np.ndarray, total: int, share: float):
-        least = max(1, share * total)
-        self.rare = float(np.log1p(total / least))
-        #: Few document frequencies are above 254; they are looked up by the place of their shingle.
-        high = np.flatnonzero(df > 254)
-        self.high, self.idf_high = high, np.log1p(total / np.maximum(df[high], least))
-        self.idf = np.log1p(total / np.maximum(np.arange(256), least))
-        self.table = (shingles, np.minimum(df, 255).astype(np.uint8))
-        self.shared = None
-
-    def broadcast(self, spark: SparkSession) -> Weights:
-        """The same, with the table sent once to each executor in place of once a task."""
-        self.shared, self.table = spark.sparkContext.broadcast(self.table), None
-        return self
-
-    def __call__(self, shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
-        shingles, df = self.shared.value if self.table is None else self.table
-        if not len(shingles):
-            return count * self.rare
-        order = np.argsort(shingle)  # the search runs through the table once
-        asked = shingle[order]
-        at = np.minimum(np.searchsorted(shingles, asked), len(shingles) - 1)
-        known = np.flatnonzero(shingles[at] == asked)
-        at = at[known]
-        idf = self.idf[df[at]]
-        if len(often := np.flatnonzero(df[at] == 255)):
-            idf[often] = self.idf_high[np.searchsorted(self.high, at[often])]
-        out = np.full(len(shingle), self.rare)
-        out[order[known]] = idf
-        return count * out
+def _answered(part: pa.Table) -> pa.Table:
+    """To each group that asked a range: those of its shingles that two or more documents have, and how many have them."""
+    asked = [_unpacked(x.as_py()) for x in part.column("shingles")]
+    n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in part.column("dfs")])
+    shingle = np.concatenate(asked)
+    order = np.argsort(shingle)
+    at = np.flatnonzero(np.append(True, shingle[order][1:] != shingle[order][:-1]))
+    df = np.empty(len(shingle), np.int64)
+    df[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), at), np.diff(np.append(at, len(shingle))))
+    ends = np.cumsum([len(x) for x in asked])
+    groups, shingles, dfs = [], [], []
+    for g, own, end in zip(part.column("g").to_pylist(), asked, ends.tolist(), strict=True):
+        here = df[end - len(own) : end]
+        if (many := here > 1).any():
+            groups.append(g)
+            shingles.append(_packed(own[many]))
+            dfs.append(here[many].astype("<u4").tobytes())
+    return pa.table({"g": pa.array(groups, pa.int64()), "shingles": pa.array(shingles, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
 
 class Sampler:
-    """Improved consistent weighted sampling: per function k and shingle s, r and c from Gamma(2, 1) and b from U(0, 1);
-    t = floor(log w / r + b), log a = log c - r (t - b) - r; the shingle with the least a is drawn, at level t.
+    """Improved consistent weighted sampling: per function and shingle, r and c from Gamma(2, 1) and b from U(0, 1), all from the
+    shingle's own hash; t = floor(log w / r + b), log a = log c - r (t - b) - r; the shingle with the least a is drawn, at level t.
 
     log a tells the level, so a draw is 64 bits: those of log a above 32 bits of the shingle.
     """
 
-    def __init__(self, functions: int, common: float, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        shape = (functions, 1 << POOL_BITS)
-        self.r, self.log_c = rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32)
-        self.b = rng.random(shape, np.float32)
-        self.odd = rng.integers(0, 1 << 63, functions, np.uint64) * U64(2) + U64(1)
-        self.common = common
-        #: Draws of the weight that nearly all shingles have, looked up instead of worked out.
-        self.table = np.stack([self.draws(k, np.arange(shape[1]), np.full(shape[1], np.log(common), np.float32)) for k in range(functions)])
-
-    def draws(self, k: int, at: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
-        r, b = self.r[k][at], self.b[k][at]
-        t = np.floor(log_weight / r + b)
-        bits = (self.log_c[k][at] - r * (t - b) - r).view(np.uint32)
-        bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # unsigned order is that of the numbers
-        return bits.astype(U64) << U64(32)
+    def __init__(self, functions: int, seed: int = 11):
+        self.odd = np.random.default_rng(seed).integers(0, 1 << 63, functions, np.uint64) * U64(2) + U64(1)
+
+    @staticmethod
+    def _uniform(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers between 0 and 1, neither of them reached, from the halves of a hash."""
+        scale = np.float32(2.0**-24)
+        return tuple(((x >> U64(8)).astype(np.float32) + np.float32(0.5)) * scale for x in (h >> U64(32), h & U64(0xFFFFFFFF)))
 
     def __call__(self, first: np.ndarray, shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Draws (texts x functions) of the sets that begin at ``first``; every set has a shingle."""
         low = shingle & U64(0xFFFFFFFF)
-        other = np.flatnonzero(weight != self.common)
-        log_weight = np.log(weight[other]).astype(np.float32)
-        spread = K.mix(shingle)
+        log_weight = np.log(weight).astype(np.float32)
         out = np.empty((len(first), len(self.odd)), U64)
         for k, odd in enumerate(self.odd):
-            at = ((spread * odd) >> U64(64 - POOL_BITS)).astype(np.int64)
-            drawn = self.table[k][at]
-            drawn[other] = self.draws(k, at[other], log_weight)
-            out[:, k] = np.minimum.reduceat(drawn | low, first)
+            h = K.mix(shingle * odd + U64(k))
+            (u1, u2), (u3, u4), (b, _) = self._uniform(h), self._uniform(K.mix(h + U64(1))), self._uniform(K.mix(h + U64(2)))
+            r = -np.log(u1 * u2)
+            t = np.floor(log_weight / r + b)
+            log_a = np.log(-np.log(u3 * u4)) - r * (t - b) - r
+            bits = log_a.view(np.uint32)
+            bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # unsigned order is that of the numbers
+            out[:, k] = np.minimum.reduceat((bits.astype(U64) << U64(32)) | low, first)
         return out
 
 
-_samplers: dict[tuple, Sampler] = {}
-
-
-def _bands(weights: Weights, bands: int, rows: int, size: int):
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        key = (bands * rows, weights.rare)
-        if key not in _samplers:
-            _samplers.clear()
-            _samplers[key] = Sampler(*key)
-        sample = _samplers[key]
-        # Copies of a text draw alike; one of them speaks for the batch.
-        codes = part.column(1).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        one = np.sort(np.unique(codes, return_index=True)[1])
-        part = part.take(pa.array(one)) if len(one) < part.num_rows else part
-        data, off = K.utf8(part.column(0))
-        nodes, buckets = [], []
-        for i, j in parts(off):
+def _weighed(total: int, similarity: float, bands: int, rows: int, size: int):
+    """The texts of a group that can be similar to another one: weight, buckets, and the shingles that others have as well."""
+    sample = Sampler(bands * rows)
+
+    def kernel(answers: pa.Table, texts: pa.Table) -> pa.Table:
+        none = np.zeros(0, U64)
+        known = np.concatenate([none, *[_unpacked(x.as_py()) for x in answers.column("shingles")]])
+        known_df = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in answers.column("dfs")]])
+        order = np.argsort(known)
+        known, known_df = known[order], known_df[order]
+        data, off = K.utf8(texts.column("text"))
+        copies, nodes = texts.column("copies").to_numpy(), texts.column("node").combine_chunks()
+        out: dict[str, list] = {n: [] for n in ("at", "weight", "buckets", "shingles", "counts", "dfs")}
+        for i, j in parts(off) if len(known) else ():
             text, shingle, count = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
             if not len(text):
                 continue
+            at = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+            df = np.where(known[at] == shingle, known_df[at], 1)
+            weight = count * np.log1p(total / df)
+            shared = df > copies[i + text]
+            whole, part = np.bincount(text, weight, j - i), np.bincount(text[shared], weight[shared], j - i)
+            on = ((whole > 0) & (part >= (similarity - 1e-9) * whole))[text]
+            if not on.any():
+                continue
+            text, shingle, count, df, weight, shared = (x[on] for x in (text, shingle, count, df, weight, shared))
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            drawn = sample(first, shingle, weights(shingle, count))
+            drawn = sample(first, shingle, weight)
+            buckets = np.empty((len(first), bands), U64)
             for b in range(bands):
                 h = np.full(len(first), b + 1, U64)
                 for x in drawn.T[b * rows : (b + 1) * rows]:
                     h = K.mix(h * U64(0x9E3779B97F4A7C15) + x)
-                buckets.append(h)
-                nodes.append(text[first] + i)
-        if not nodes:
-            return None
-        return pa.RecordBatch.from_arrays([part.column(1).take(pa.array(np.concatenate(nodes))), pa.array(np.concatenate(buckets).view(np.int64))], names=["node", "bucket"])
+                buckets[:, b] = h
+            own = text[first]
+            out["at"] += (own + i).tolist()
+            out["weight"] += whole[own].tolist()
+            out["buckets"] += list(buckets.view(np.int64))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(text)], strict=True):
+                some = np.flatnonzero(shared[a:b]) + a
+                out["shingles"].append(shingle[some].astype("<u8").tobytes())
+                out["counts"].append(count[some].astype("<u4").tobytes())
+                out["dfs"].append(df[some].astype("<u4").tobytes())
+        return pa.table(
+            {
+                "node": nodes.take(pa.array(out["at"], pa.int64())),
+                "weight": pa.array(out["weight"], pa.float64()),
+                "buckets": pa.array(out["buckets"], pa.list_(pa.int64())),
+                **{n: pa.array(out[n], pa.binary()) for n in ("shingles", "counts", "dfs")},
+            }
+        )
 
     return kernel
 
 
-def jaccard(a: tuple, b: tuple, weights: Weights, pairs: int) -> np.ndarray:
-    """Weighted Jaccard similarity of the sets a and b of each pair; 0 where both are empty."""
-    wa, wb = weights(a[1], a[2]), weights(b[1], b[2])
-    ka, kb = ((x[0].astype(U64) << U64(48)) | x[1] for x in (a, b))
+def weighed_texts(texts: DataFrame, total: int, size_in_bytes: int, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row for each distinct text of ``texts`` (node, text) that can be similar to another: what similarity needs of it.
+
+    ``total`` is the number N of documents.  The shuffled texts are read twice, to ask for frequencies and to receive them.
+    """
+    groups, ranges = (max(1, -(-size_in_bytes // n)) for n in (GROUP_BYTES, RANGE_BYTES))
+    once = texts.select("node", "text").mapInArrow(batches(_one_each), "node binary, text binary, copies long")
+    dealt = once.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(groups))).repartition("g")
+    # Grouped by (g, node) where g is dealt out already: copies from all batches fall together without another shuffle.
+    distinct = dealt.groupBy("g", "node").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
+    asked = distinct.groupBy("g").applyInArrow(_asked(ranges, size), "range long, g long, shingles binary, dfs binary")
+    answers = asked.groupBy("range").applyInArrow(_answered, "g long, shingles binary, dfs binary")
+    return answers.groupBy("g").cogroup(distinct.groupBy("g")).applyInArrow(_weighed(total, similarity, bands, rows, size), _NODES)
+
+
+class Sets:
+    """Weighted sets out of columns of shingles, counts and document frequencies: set, shingle, df and weight of each entry."""
+
+    def __init__(self, shingles: pa.Array, counts: pa.Array, dfs: pa.Array, total: int):
+        sizes = [len(x.as_py()) // 8 for x in shingles]
+        self.set = np.repeat(np.arange(len(sizes)), sizes)
+        self.shingle, count, self.df = (np.frombuffer(b"".join(x.to_pylist()), t) for x, t in ((shingles, "<u8"), (counts, "<u4"), (dfs, "<u4")))
+        self.weight = count * np.log1p(total / self.df)
+
+
+def _shared_weight(a: Sets, b: Sets, pairs: int) -> np.ndarray:
+    ka, kb = ((x.set.astype(U64) << U64(48)) | x.shingle for x in (a, b))
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    least = np.bincount(a[0][ia], np.minimum(wa[ia], wb[ib]), pairs)
-    total = np.bincount(a[0], wa, pairs) + np.bincount(b[0], wb, pairs)
-    return np.divide(least, total - least, out=np.zeros(pairs), where=total > least)
+    return np.bincount(a.set[ia], np.minimum(a.weight[ia], b.weight[ib]), pairs)
 
 
-def _similar(weights: Weights, size: int):
+def _similar(total: int):
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        (da, oa), (db, ob) = K.utf8(part.column(2)), K.utf8(part.column(3))
-        out = []
-        for i, j in parts(oa + ob):
-            a, b = (bags(d[o[i] : o[j]], o[i : j + 1] - o[i], size) for d, o in ((da, oa), (db, ob)))
-            out.append(jaccard(a, b, weights, j - i))
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.concatenate(out))], names=["a", "b", "similarity"])
+        a, b = (Sets(*part.columns[k : k + 3], total) for k in (4, 7))
+        least = _shared_weight(a, b, part.num_rows)
+        whole = part.column(2).to_numpy() + part.column(3).to_numpy() - least
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least / whole)], names=["a", "b", "similarity"])
 
     return kernel
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float, size: int) -> DataFrame:
+def _bag(nodes: DataFrame, side: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("weight", "shingles", "counts", "dfs")])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, total: int, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts are similar enough."""
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    checked = both.mapInArrow(batches(_similar(weights, size)), "a binary, b binary, similarity double")
+    both = pairs.join(_bag(nodes, "a"), "a").join(_bag(nodes, "b"), "b")
+    both = both.select("a", "b", "weight_a", "weight_b", *[f"{c}_{s}" for s in "ab" for c in ("shingles", "counts", "dfs")])
+    checked = both.mapInArrow(batches(_similar(total), 1000), "a binary, b binary, similarity double")
     return checked.where(F.col("similarity") >= similarity - 1e-9)
 
 
@@ -278,128 +279,96 @@ def text_node(text: Column) -> Column:
     return F.when(F.length(words) > 0, F.unhex(F.md5(words.cast("binary"))))
 
 
-def _picked(members: DataFrame) -> DataFrame:
-    """(bucket, leader): two members of each bucket, by hashes that are others for each bucket."""
-    out = None
-    for k in range(2):
-        order = F.struct(F.xxhash64("bucket", "node", F.lit(k)), F.col("node"))
-        one = members.groupBy("bucket").agg(F.min(order).getField("node").alias("leader"))
-        out = one if out is None else out.union(one)
-    return out
-
-
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _cells(size: int):
-    """(cell, n): how many shingles of the texts of a batch fall into each of 2**ORDER_BITS cells."""
-
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = K.utf8(part.column(0))
-        n = np.zeros(1 << ORDER_BITS, np.int64)
-        for i, j in parts(off):
-            _, shingle, _ = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            n += np.bincount((K.mix(shingle) >> U64(64 - ORDER_BITS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
-
-    return kernel
-
-
-def _prefixes(weights: Weights, similarity: float, size: int, counts: np.ndarray):
+def _prefixes(total: int, similarity: float):
     """(node, component, apart, key, side) for the shingles by which a text has to meet a similar one (see _unmet)."""
     step = -np.log(similarity - 1e-6) / CLASSES
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        data, off = K.utf8(part.column(0))
-        at, keys, sides = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int32)]
-        for i, j in parts(off):
-            text, shingle, count = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            often = counts[(K.mix(shingle) >> U64(64 - ORDER_BITS)).astype(np.int64)]
-            order = np.lexsort((shingle, often, text))
-            text, shingle, often, weight = text[order], shingle[order], often[order], weights(shingle, count)[order]
-            total = np.bincount(text, weight, j - i)
-            before = np.cumsum(weight) - weight
-            rest = total[text] - before + before[np.searchsorted(text, text)]
-            grade = np.floor(np.log(np.maximum(total, 1e-300)) / step)
-            for d in range(-CLASSES, CLASSES + 1):
-                least = np.maximum(total, np.exp((grade + d) * step))
-                need = np.maximum(similarity * least, similarity / (1 + similarity) * (total + np.exp((grade + d) * step)))
-                on = np.flatnonzero((rest >= need[text] * (1 - 1e-6)) & (often > 1))
-                low = (grade[text[on]] + min(d, 0)).astype(np.int64).view(U64)
-                keys.append(K.mix(K.mix(shingle[on]) + low * U64(0x9E3779B97F4A7C15) + U64(abs(d))))
-                at.append(text[on] + i)
-                sides.append(np.full(len(on), np.sign(d), np.int32))
+        sets = Sets(*part.columns[4:7], total)
+        whole = part.column(3).to_numpy()
+        order = np.lexsort((sets.shingle, sets.df, sets.set))
+        text, shingle, weight = sets.set[order], sets.shingle[order], sets.weight[order]
+        shared = np.bincount(text, weight, part.num_rows)
+        before = np.cumsum(weight) - weight
+        rest = shared[text] - before + before[np.searchsorted(text, text)]
+        grade = np.floor(np.log(whole) / step)
+        at, keys, sides = [], [], []
+        for d in range(-CLASSES, CLASSES + 1):
+            other = np.exp((grade + d) * step)  # the least weight of the class
+            need = np.maximum(similarity * np.maximum(whole, other), similarity / (1 + similarity) * (whole + other))
+            on = np.flatnonzero(rest >= need[text] * (1 - 1e-6))
+            low = (grade[text[on]] + min(d, 0)).astype(np.int64).view(U64)
+            keys.append(K.mix(K.mix(shingle[on]) + low * U64(0x9E3779B97F4A7C15) + U64(abs(d))))
+            at.append(text[on])
+            sides.append(np.full(len(on), np.sign(d), np.int32))
         rows = pa.array(np.concatenate(at))
-        columns = [part.column(k).take(rows) for k in (1, 2, 3)]
+        columns = [part.column(k).take(rows) for k in (0, 1, 2)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sides))], names=["node", "component", "apart", "key", "side"])
 
     return kernel
 
 
-def _unmet(members: DataFrame, component: DataFrame, known: DataFrame, weights: Weights, similarity: float, size: int) -> DataFrame:
+def _unmet(members: DataFrame, component: DataFrame, nodes: DataFrame, total: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of the texts of buckets that hold several components, such that no link between components is lost.
 
     An exact set-similarity join by prefixes.  Two sets as similar as t have t / (1 + t) of their weights' sum in common.  With
     the shingles of all sets in one order, what they share begins at one shingle, behind which both still hold that much weight.
     So each text names the shingles behind which enough is left for a partner of weight class j, and both meet by (classes,
-    shingle).  The order is by how many of these texts hold a shingle, counted in 2**ORDER_BITS cells: any order is exact, and
-    rare shingles first make few meet.
+    shingle).  The order is by document frequency: any order is exact, and rare shingles first make few meet.  Shingles of one
+    text alone come before all others and are never named.
     """
     owner = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     mixed = owner.join(largest, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("apart"))
-    asked = saved(known.join(mixed, "node").select("text", "node", "component", "apart"), "mixed")
-    cells = asked.select("text").mapInArrow(batches(_cells(size)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    counts = np.zeros(1 << ORDER_BITS, np.uint16)
-    counts[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), 65535)
-
-    named = saved(asked.mapInArrow(batches(_prefixes(weights, similarity, size, counts)), "node binary, component binary, apart boolean, key long, side int"), "prefixes")
+    asked = nodes.join(mixed, "node").select("node", "component", "apart", "weight", "shingles", "counts", "dfs")
+    named = saved(asked.mapInArrow(batches(_prefixes(total, similarity), 1000), "node binary, component binary, apart boolean, key long, side int"), "prefixes")
     shared = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max("apart").alias("some")).where("first <> last and some").select("key")
     rows = named.join(shared, "key")
     asking = rows.where("apart").select("key", F.col("node").alias("x"), F.col("component").alias("of"), F.col("side").alias("facing"))
     facing = rows.join(asking, "key").where("side = -facing and component <> of and (not apart or node < x)")
-    return saved(_ordered(facing, "node", "x"), "pairs")
+    pairs = saved(_ordered(facing, "node", "x"), "pairs")
+    forget(named)
+    return pairs
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, share: float = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size and text_id.
 
     Classes are the connected components of the links: equal texts (ignoring case), and texts of at least ``similarity``.  A
     text of fewer than ``size`` words has all its words as its one shingle.  Documents without words (null text too) are equal
     to nobody and have the class of their own doc_id.  Where all doc_ids of a class are null its class_id is null.  Columns of
-    docs other than doc_id and text are not read.  Rows repeated in whole are equal texts and give a row each.
+    docs other than doc_id and text are not read.  Rows repeated in whole are equal texts and give a row each.  An empty table
+    gives an empty table.
     """
     keyed = docs.select("doc_id", F.lower("text").cast("binary").alias("text"), text_node(F.col("text")).alias("node"))
-    texts = keyed.where("node is not null").select("text", "node")
-    total = docs.count()
-    weights = Weights(*frequent_shingles(keyed.where("text is not null").select("text"), total, share, size), total, share).broadcast(docs.sparkSession)
+    total, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    nodes = saved(weighed_texts(keyed.where("node is not null"), total, volume, similarity, size, bands, rows), "nodes")
 
-    drawn = texts.mapInArrow(batches(_bands(weights, bands, rows, size)), "node binary, bucket long").distinct()
-    drawn = saved(drawn, "bands")
+    drawn = nodes.select("node", "weight", F.explode("buckets").alias("bucket"))
     shared = drawn.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(drawn.join(shared, "bucket"), "met")
-    # A bucket is led by the node that meets most others in all its buckets (the original, where the rest are its variants) and
-    # by nodes that a hash picks, others in each bucket.
+    # A bucket is led by the node that meets most others in all its buckets: the original, where the rest are its variants.
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = saved(met.join(degree, "node").select("bucket", "node", "n", "degree"), "members")
-    hub = members.groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("leader"))
-    leaders = hub.union(_picked(members)).distinct()
-    pairs = _ordered(members.join(leaders, "bucket").where("node <> leader"), "node", "leader")
-
-    # Texts that have a partner to be checked against, one row each; copies fall together before the shuffle.
-    asked = members.select("node").distinct()
-    known = saved(texts.groupBy("node").agg(F.first("text").alias("text")).join(asked, "node"), "texts")
-    tried = saved(pairs, "pairs")
-    links = saved(_verified(tried, known, weights, similarity, size).select("a", "b"), "verified")
+    members = saved(met.join(degree, "node").select("bucket", "node", "weight", "degree"), "members")
+    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "weight")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"), F.col("lead.weight").alias("most"))
+    # Texts of too unequal weights are not similar.
+    near = F.least("weight", "most") >= (similarity - 1e-9) * F.greatest("weight", "most")
+    tried = saved(_ordered(members.join(lead, "bucket").where(near & (F.col("node") != F.col("leader"))), "node", "leader"), "pairs")
+    links = saved(_verified(tried, nodes, total, similarity).select("a", "b"), "verified")
     component = saved(connected_components(links), "components")
 
-    rest = _unmet(members, component, known, weights, similarity, size)
-    more = saved(_verified(rest.join(tried, ["a", "b"], "left_anti"), known, weights, similarity, size).select("a", "b"), "verified")
+    rest = _unmet(members, component, nodes, total, similarity)
+    more = saved(_verified(rest.join(tried, ["a", "b"], "left_anti"), nodes, total, similarity).select("a", "b"), "verified")
     if not more.isEmpty():
-        component = saved(connected_components(links.union(more)), "components")
+        first, component = component, saved(connected_components(links.union(more)), "components")
+        forget(first)
+    for done in (nodes, met, members, tried, links, rest, more):
+        forget(done)
 
     classes = keyed.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
     named = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
@@ -408,15 +377,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs (doc_id, text, any others) that stay: of each near-duplicate class the one with the least doc_id.
+    """The rows of docs (doc_id, text, any others) that stay: of each near-duplicate class one with the least doc_id.
 
-    Rows repeated in whole are one; documents without words all stay.  ``how`` goes to near_duplicates.
+    Of rows with that doc_id and equal texts one stays, also where they differ in case or in other columns.  Documents without
+    words (null, empty or blank text) are no copies of one another and all stay.  ``how`` goes to near_duplicates.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), **how)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_d"), F.lower(F.hex(text_node(F.col("text")))).alias("_t"))
-    kept = row.join(stay, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_text")), "left_semi").dropDuplicates(["_d", "_t"])
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    classes = near_duplicates(docs.select("doc_id", "text"), **how).where("text_id is not null")
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.unhex("text_id").alias("_text")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_d"), text_node(F.col("text")).alias("_t"))
+    kept = row.where("_t is not null").join(stay, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text")), "left_semi").dropDuplicates(["_d", "_t"])
+    return kept.unionByName(row.where("_t is null")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
