@@ -72,18 +72,18 @@ def write_stream(packets: list[bytes], granules: list[int], serial: int, header:
 
 
 def multiplex(payload: bytes, frame: int = FRAME, rate: int = RATE, streams: int = STREAMS) -> bytes:
-    """payload (a multiple of ``frame`` bytes) as Ogg: frame i goes to stream i mod ``streams``.
+    """payload as Ogg: frame i (of ``frame`` bytes, the last one may be shorter) goes to stream i mod ``streams``.
 
-    Serial numbers come from the payload alone, so equal payloads give equal bytes.  A frame's granule position is that of the
-    whole signal at its end, which keeps the order of the frames over all streams.
+    Serial numbers come from the payload alone, so equal payloads give equal bytes.  A granule position counts the samples of its
+    own stream up to a packet's end, so the frames come in order of (their start, stream).
     """
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     serial = zlib.crc32(payload)
     header = _PCM.pack(b"PCM     ", 0, 0, 1, rate, 8, 1, frame, 0)
     logical = []
     for s in range(streams):
-        own = range(s, len(frames), streams)
-        logical.append(write_stream([frames[i] for i in own], [(i + 1) * frame for i in own], (serial + s) & 0xFFFFFFFF, header))
+        own = frames[s::streams]
+        logical.append(write_stream(own, np.cumsum([len(x) for x in own], dtype=np.int64).tolist(), (serial + s) & 0xFFFFFFFF, header))
     # All first pages come before any other; then the streams take turns.
     rest = [p for turn in range(1, max(map(len, logical))) for x in logical for p in x[turn : turn + 1]]
     return b"".join([x[0] for x in logical] + rest)
@@ -96,6 +96,8 @@ class Stream:
     granules: list[int] = field(default_factory=list)  # at the end of each packet; -1 where the page says none
     pages: int = 0
     rate: int = 0
+    width: int = 0  # bytes of a sample of all channels, 0 without a header
+    headers: int = 1
     ended: bool = False
     _open: list[bytes] = field(default_factory=list)
     _next: int | None = None
@@ -105,8 +107,7 @@ def demultiplex(media: bytes) -> tuple[list[Stream], list[str]]:
     """Logical streams in order of appearance, and what was wrong.
 
     A page with a wrong checksum is left out, and with it the packets that reach into it; bytes between pages are skipped to the
-    next capture pattern.  The packets that end on a page before its last one get their positions by counting back from it
-    (streams of fixed packet size: the header's frames a packet).
+    next capture pattern.  Rate and sample width come from each stream's own header packet.
     """
     streams: dict[int, Stream] = {}
     wrong: list[str] = []
@@ -162,32 +163,35 @@ def demultiplex(media: bytes) -> tuple[list[Stream], list[str]]:
         at = end
     for s in streams.values():
         if s.packets and len(s.packets[0]) == _PCM.size and s.packets[0][:8] == b"PCM     ":
-            s.rate = _PCM.unpack(s.packets[0])[4]
-        else:
+            _, _, _, _, s.rate, bits, channels, _, more = _PCM.unpack(s.packets[0])
+            s.width, s.headers = -(-bits // 8) * channels, 1 + more
+        if not s.rate or not s.width:
+            s.width = 0
             wrong.append(f"header:{s.serial}")
         if not s.ended:
             wrong.append(f"open:{s.serial}")
     return list(streams.values()), wrong
 
 
-def timeline(streams: list[Stream], frame: int = FRAME) -> list[tuple[int, int, bytes]]:
-    """(position at the packet's end, serial, packet) of all data packets, in order of position.
+def timeline(streams: list[Stream]) -> list[tuple[float, int, float, bytes]]:
+    """(seconds at the packet's start, number of the stream, seconds at its end, packet) of all data packets, in this order.
 
-    Within a page only the last packet's position is written; the others stand ``frame`` times the number of streams apart.
+    A page tells the position of the last packet that ends on it.  Those before it end earlier by the samples of the packets
+    between, which follow from their bytes and the header's sample width.  Streams without a readable header have no timestamps
+    and are left out, and so are packets behind the last known position.
     """
-    step = frame * max(len(streams), 1)
     out = []
-    for s in streams:
-        granule = np.array(s.granules[1:], np.int64)
-        known = granule >= 0
-        if not known.any():
+    for number, s in enumerate(streams):
+        if not s.width:
             continue
-        where = np.where(known, np.arange(len(granule)), len(granule))
-        after = np.minimum.accumulate(where[::-1])[::-1]
-        good = after < len(granule)
-        place = granule[np.minimum(after, len(granule) - 1)] - (after - np.arange(len(granule))) * step
-        out += [(int(g), s.serial, p) for g, p, ok in zip(place, s.packets[1:], good, strict=True) if ok]
-    out.sort(key=lambda x: x[:2])
+        position: int | None = None
+        for granule, packet in zip(reversed(s.granules[s.headers :]), reversed(s.packets[s.headers :]), strict=True):
+            position = granule if granule >= 0 else position
+            if position is not None:
+                end = position
+                position -= len(packet) // s.width
+                out.append((position / s.rate, number, end / s.rate, packet))
+    out.sort(key=lambda x: x[:3])
     return out
 
 
@@ -195,10 +199,9 @@ def describe(media: bytes) -> tuple[bytes, str]:
     """The signal read back, and a line of features: streams, pages, packets, milliseconds, level, crossings, errors."""
     streams, wrong = demultiplex(media)
     line = timeline(streams)
-    signal = b"".join(p for _, _, p in line)
+    signal = b"".join(p for *_, p in line)
     x = np.frombuffer(signal, np.uint8).astype(np.int16) - 128
-    rate = max([s.rate for s in streams], default=0)
-    duration = 1000 * line[-1][0] / rate if line and rate else 0.0
+    duration = 1000 * max((end for _, _, end, _ in line), default=0.0)
     level = float(np.sqrt(np.mean(np.square(x, dtype=np.float64)))) if len(x) else 0.0
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     return signal, f"streams={len(streams)} pages={sum(s.pages for s in streams)} packets={len(line)} ms={duration:.3f} rms={level:.4f} crossings={crossings} errors={len(wrong)}"
