@@ -7,8 +7,7 @@ are judged on the input.  Two exact filters keep the shuffles small:
    inside it.  Equal windows have equal anchors at equal distances, so a window whose anchor hash occurs at no other place
    cannot be repeated.  Neighbouring windows mostly share a place; one row stands for such a run of windows, about a tenth
    of the number of windows.
-2. Only windows with a repeated anchor are hashed as a whole (64 bits from the window, with the anchor as a check) and
-   counted.
+2. Only windows with a repeated anchor are hashed as a whole (128 bits) and counted.
 
 Both are done on distinct texts: all windows of a text that several documents have are repeated anyway.  Before either shuffle
 every Arrow batch settles what repeats inside it and sends one row for each hash, so a passage that a third of all documents
@@ -28,22 +27,21 @@ from .common import batches, table
 
 WINDOW = 35
 
-_FOUND = "h long, twice boolean, k1 long, k2 long, s int, n int"
+_FOUND = "h long, h2 long, twice boolean, k1 long, k2 long, s int, n int"
 
 
-def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.ndarray, last: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch | None:
+def _settle(h: np.ndarray, h2: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.ndarray, last: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch | None:
     """One row for each hash of the batch, and the rows whose hash repeats inside it.
 
-    twice: false: occurs once here, the row says where; true: occurs more than once here.  Rows already settled have a null
+    h and h2 are one hash of 128 bits.  twice: false: occurs once here, the row says where; true: occurs more than once here.  Rows already settled have a null
     h.  ``last`` marks rows whose predecessor does not touch them, so that settled neighbours are sent as one.  ``shared`` marks
     rows of texts with copies: these count as repeated and are not reported back.
     """
     if not len(h):
         return None
-    order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
+    order = np.lexsort((h2, h)) if h2.any() else np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
-    new[1:] = sorted_h[1:] != sorted_h[:-1]
+    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(h)))
     many = np.zeros(len(h), bool)
@@ -68,8 +66,8 @@ def _settle(h: np.ndarray, k1: np.ndarray, k2: np.ndarray, s: np.ndarray, n: np.
     size = np.concatenate([n[once], n[heads], length]).astype(np.int32)
     done = np.arange(len(rows)) >= len(once) + len(heads)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h[rows].view(np.int64), mask=done), pa.array(sent), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(s[rows].astype(np.int32)), pa.array(size)],
-        names=["h", "twice", "k1", "k2", "s", "n"],
+        [pa.array(h[rows].view(np.int64), mask=done), pa.array(h2[rows].view(np.int64), mask=done), pa.array(sent), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(s[rows].astype(np.int32)), pa.array(size)],
+        names=["h", "h2", "twice", "k1", "k2", "s", "n"],
     )
 
 
@@ -77,7 +75,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     """(k1, k2, s, n) of the rows of _settle whose hash occurs at more than one place in all batches."""
     spread = F.when(F.col("h").isNull(), F.xxhash64("k1", "s")).otherwise(F.col("h"))
     keyed = found.withColumn("settled", F.col("h").isNull()).withColumn("h", spread)
-    by = Window.partitionBy("h", "settled")
+    by = Window.partitionBy("h", "h2", "settled")
     # Copies of a text in other batches send the same place again, so what counts is that places differ.
     other = [F.min(c).over(by) != F.max(c).over(by) for c in ("k1", "k2", "s")]
     many = F.max("twice").over(by) | other[0] | other[1] | other[2]
@@ -102,7 +100,7 @@ def _runs(window: int, gram: int):
             run = np.flatnonzero(new)
             first = np.ones(len(run), bool)
             first[1:] = text[run][1:] != text[run][:-1]
-            out.append([grams[place[run]], k1[i:j][text[run]], k2[i:j][text[run]], at[run] - words.first[text[run]], np.diff(np.append(run, len(at))), first])
+            out.append([grams[place[run]], np.zeros(len(run), K.U64), k1[i:j][text[run]], k2[i:j][text[run]], at[run] - words.first[text[run]], np.diff(np.append(run, len(at))), first])
         return _settle(*(np.concatenate(x) for x in zip(*out, strict=True))) if out else None
 
     return kernel
@@ -146,8 +144,9 @@ def _windows(window: int):
                 continue
             last = np.ones(len(at), bool)
             last[1:] = (text[1:] != text[:-1]) | (at[1:] != at[:-1] + 1)
-            h = K.gram_hashes(words.hash, window)[at]
-            out.append([h, k1[i:j][text], k2[i:j][text], at - words.first[text], np.ones(len(at), np.int64), last])
+            hashes = words.hash
+            h, h2 = (K.gram_hashes(hashes, window, k)[at] for k in (0, 1))
+            out.append([h, h2, k1[i:j][text], k2[i:j][text], at - words.first[text], np.ones(len(at), np.int64), last])
             shared.append(copies[i:j][text])
         return _settle(*(np.concatenate(x) for x in zip(*out, strict=True)), np.concatenate(shared)) if out else None
 
@@ -223,7 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int | None = No
     docs needs doc_id and text; every other column is carried unchanged, and columns of docs named as the new ones are replaced.
     Null text counts as no words; fewer words than ``window`` make no window, so nothing goes.  Rows repeated in whole count as
     documents of their own: each one's windows occur in the other.  An empty table gives an empty table.  Distinct texts are told
-    apart, and windows counted, by 128 and 64 bits of hash.
+    apart, and windows counted, by 128 bits of hash.
     """
     new = ("kept_text", "n_words", "n_removed")
     others = [c for c in docs.columns if c not in new]

@@ -18,8 +18,9 @@ SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_WORD_BASE = 0xD1342543DE82EF95
-_WORD_BASE_INVERSE = pow(_WORD_BASE, -1, 1 << 64)
+#: Bases for hashes of word runs: each gives 64 bits of its own.
+_WORD_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+_WORD_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _WORD_BASES)
 
 #: Which bytes part words: white space, or every ASCII character that is no letter.
 SPACE = np.zeros(256, bool)
@@ -121,14 +122,17 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp hashes of every ``size`` neighbouring word hashes; len(words) - size + 1 of them, over text borders too."""
+def gram_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """Rabin-Karp hashes of every ``size`` neighbouring word hashes; len(words) - size + 1 of them, over text borders too.
+
+    ``which`` (0 or 1) chooses the base: both together are 128 bits.
+    """
     n = len(words)
     if n < size:
         return np.zeros(0, U64)
     sums = np.zeros(n + 1, U64)
-    np.cumsum(words * powers(_WORD_BASE, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(_WORD_BASE_INVERSE, n)[: n - size + 1])
+    np.cumsum(words * powers(_WORD_BASES[which], n), out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * powers(_WORD_INVERSES[which], n)[: n - size + 1])
 
 
 def gram_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +156,9 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(short):
         return whole, text
     sums = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * powers(_WORD_BASE, len(h)), out=sums[1:])
+    np.cumsum(h * powers(_WORD_BASES[0], len(h)), out=sums[1:])
     a, b = words.first[short], words.first[short + 1]
-    few = mix((sums[b] - sums[a]) * powers(_WORD_BASE_INVERSE, len(h))[a] + count[short].astype(U64))
+    few = mix((sums[b] - sums[a]) * powers(_WORD_INVERSES[0], len(h))[a] + count[short].astype(U64))
     text = np.concatenate([text, short])
     order = np.argsort(text, kind="stable")
     return np.concatenate([whole, few])[order], text[order]
