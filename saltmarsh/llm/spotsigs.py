@@ -1,9 +1,10 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 A text is read as lower-case runs of letters and digits.  Each content word that stands right after an anchor (a very common
-word) begins a signature: that word and the next content words, anchors between them passed over, ``CHAIN`` in all.  The set of
-signatures is what is compared.  Sets are put into partitions by their length, borders growing by the least likeness of interest;
-sets in partitions that are not neighbours cannot be that alike, which spares the comparison.
+word) begins a signature: that word and the next content words, anchors between them passed over, ``CHAIN`` in all.  A fingerprint
+is the set of signatures, each as 48 bits of its hash, in order; likenesses are those of fingerprints.  To find the pairs of a
+corpus that are alike (alike_pairs), sets are put into partitions by their length, borders growing by the least likeness of
+interest: sets in partitions that are not neighbours cannot be that alike and are never compared.
 
 All of this is Spark SQL functions; no Python runs on the executors.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 from .ordering import bucket_of, cuts
 
 #: Very common words of English, French, German and Spanish.
@@ -23,13 +24,19 @@ ANCHORS = (
     "als auch auf das dem den der des die ein eine für ist mit nicht sich sie und von zu "
     "al como con del el es las lo los más no para por se su una y"
 )
-CHAIN, LEAST = 2, 0.05
+CHAIN, LEAST = 2, 0.8
+#: Hexadecimal digits of a signature's hash.
+DIGITS = 12
 
 _WORDS = sorted(set(ANCHORS.split()))
 
 
+def _short(signature: Column) -> Column:
+    return F.left(F.md5(signature.cast("binary")), F.lit(DIGITS))
+
+
 def signatures(text: Column) -> Column:
-    """The distinct signatures of a text, sorted; null text counts as empty.
+    """The distinct signatures of a text as hashes, sorted; null text counts as empty.
 
     A text without any has itself as its one signature, and a text without letters and digits an empty set.
     """
@@ -38,27 +45,50 @@ def signatures(text: Column) -> Column:
     barred = F.regexp_replace(F.concat(F.lit(" "), plain, F.lit(" ")), f" (?:{'|'.join(_WORDS)})(?= )", "|")
     chain = r"\|(?=( [^ |]+" + r"\|* [^ |]+" * (CHAIN - 1) + "))"
     found = F.regexp_extract_all(barred, F.lit(chain), F.lit(1))
-    chains = F.sort_array(F.array_distinct(F.transform(found, lambda s: F.substring(F.translate(s, "|", ""), 2, 1 << 30))))
-    whole = F.when(F.trim(plain) != "", F.array(F.concat(F.lit("="), F.trim(plain)))).otherwise(F.array().cast("array<string>"))
+    chains = F.sort_array(F.array_distinct(F.transform(found, lambda s: _short(F.substring(F.translate(s, "|", ""), 2, 1 << 30)))))
+    whole = F.when(F.trim(plain) != "", F.array(_short(F.concat(F.lit("="), F.trim(plain))))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(chains) > 0, chains).otherwise(whole)
 
 
 def fingerprint(signature_set: Column) -> Column:
-    """The set as one string: its size and a digest of its sorted signatures."""
-    return F.concat(F.size(signature_set).cast("string"), F.lit(":"), F.sha2(F.array_join(signature_set, "|").cast("binary"), 256))
+    """The set as one string: its hashes, DIGITS characters each, in order."""
+    return F.array_join(signature_set, "")
 
 
-def partition(signature_set: Column, least: float = LEAST) -> Column:
-    """Partition by length: sets at least ``least`` alike are in the same partition or in neighbouring ones."""
-    return F.when(F.size(signature_set) == 0, F.lit(-1)).otherwise(F.floor(F.log(F.size(signature_set).cast("double")) / -F.log(F.lit(least)) + 1e-9).cast("int"))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two sets; 1 for two empty sets."""
+    shared = F.size(F.array_intersect(a, b))
+    total = F.size(a) + F.size(b) - shared
+    return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard likeness of two sets, 0 where their lengths say that it is below ``least``; 1 for two empty sets."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    far = (F.abs(partition(a, least) - partition(b, least)) > 1) | (small < least * large)
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(large == 0, F.lit(1.0)).when(far, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+def partition(n: Column, least: float = LEAST) -> Column:
+    """Partition of a set of n signatures: sets at least ``least`` alike are in the same partition or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / -F.log(F.lit(least)) + 1e-9).cast("int")
+
+
+def alike_pairs(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, likeness) for the fingerprints of docs (doc_id, text) that are at least ``least`` alike; each pair once.
+
+    A fingerprint is named by the least doc_id that has it, so equal ones are no pairs among themselves; empty ones and rows with a
+    null id are left out.  Sets meet by partition of their lengths and one of their rarest signatures: of n signatures, two sets
+    that alike share one of the n - ceil(least * n) + 1 rarest of either.  What a common signature's places still allow is checked
+    before a pair is made, and the likeness only of pairs that pass.  An empty table gives no pair.
+    """
+    each = docs.where("doc_id is not null").select("doc_id", signatures(F.col("text")).alias("s")).where(F.size("s") > 0)
+    sets = saved(each.groupBy("s").agg(F.min("doc_id").alias("id")).select("id", "s", F.size("s").alias("n")), "fingerprints")
+    words = sets.select("id", "n", F.explode("s").alias("sig"))
+    df = words.groupBy("sig").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "sig"))
+    rare = words.join(df, "sig").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).where("df > 1")
+    rare = saved(rare.select("id", "n", "sig", "place", partition(F.col("n"), least).alias("p")), "rare")
+    one = rare.select("sig", F.explode(F.array(F.col("p"), F.col("p") + 1)).alias("p"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("at"), F.col("p").alias("px"))
+    left = F.least(F.col("nx") - F.col("at"), F.col("n") - F.col("place")) + 1
+    met = one.join(rare, ["sig", "p"]).where((F.col("px") < F.col("p")) | (F.col("x") < F.col("id")))
+    met = met.where((F.least("n", "nx") >= least * F.greatest("n", "nx") - 1e-9) & (left >= least / (1 + least) * (F.col("n") + F.col("nx")) - 1e-9))
+    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= least - 1e-9)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,12 +136,12 @@ def _set_sql(name: str, source: str) -> str:
 {name}_m AS (SELECT id, p, word, word IN (SELECT unnest(['{"','".join(_WORDS)}'])) AS anchor FROM {name}_w),
 {name}_p AS (SELECT *, lag(anchor) OVER (PARTITION BY id ORDER BY p) AS begins FROM {name}_m),
 {name}_c AS (SELECT id, word, begins, lead(word) OVER (PARTITION BY id ORDER BY p) AS following FROM {name}_p WHERE NOT anchor),
-{name}_s AS (SELECT id, list_sort(list(DISTINCT word || ' ' || following)) AS s FROM {name}_c WHERE begins AND following IS NOT NULL GROUP BY id),
-{name}_a AS (SELECT id, ['=' || string_agg(word, ' ' ORDER BY p)] AS s FROM {name}_w GROUP BY id),
+{name}_s AS (SELECT id, list_sort(list(DISTINCT left(md5(word || ' ' || following), {DIGITS}))) AS s FROM {name}_c WHERE begins AND following IS NOT NULL GROUP BY id),
+{name}_a AS (SELECT id, [left(md5('=' || string_agg(word, ' ' ORDER BY p)), {DIGITS})] AS s FROM {name}_w GROUP BY id),
 {name} AS (SELECT d.id, coalesce({name}_s.s, {name}_a.s, []::VARCHAR[]) AS s FROM {source} d LEFT JOIN {name}_s USING (id) LEFT JOIN {name}_a USING (id))"""
 
 
-_LIKE_SQL = "CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1.0 WHEN least(len({a}), len({b})) < 0.05 * greatest(len({a}), len({b})) THEN 0.0 ELSE round(len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))), 9) END"
+_LIKE_SQL = "CASE WHEN greatest(len({a}), len({b})) = 0 THEN 1.0 ELSE round(len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))), 9) END"
 OP5_SQL = (
     """WITH base AS (SELECT doc_id AS id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS r FROM documents),
 pair AS (SELECT a.id, a.t, b.id AS next_id, b.t AS u, length(a.t) AS n FROM base a JOIN base b ON b.r = a.r % (SELECT count(*) FROM base) + 1),
@@ -121,7 +151,7 @@ changed AS (SELECT id, left(t, n - n // 4) || left(u, n // 4) AS t FROM pair),""
     + _set_sql("edit", "changed")
     + f"""
 SELECT p.id AS doc_id, CAST(p.n AS BIGINT) AS n_chars, sha256(c.t) AS edited_sha256,
-  len(o.s) || ':' || sha256(array_to_string(o.s, '|')) AS fingerprint, len(e.s) || ':' || sha256(array_to_string(e.s, '|')) AS edited_fingerprint,
+  array_to_string(o.s, '') AS fingerprint, array_to_string(e.s, '') AS edited_fingerprint,
   CAST({_LIKE_SQL.format(a="o.s", b="e.s")} AS DOUBLE) AS near_edited, CAST({_LIKE_SQL.format(a="o.s", b="f.s")} AS DOUBLE) AS near_next
 FROM pair p JOIN changed c ON c.id = p.id JOIN own o ON o.id = p.id JOIN edit e ON e.id = p.id JOIN own f ON f.id = p.next_id"""
 )
