@@ -5,28 +5,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+
+from .textkernel import utf8
 
 
 @dataclass
 class Rows:
-    """Sparse rows: row i has features at[first[i] : first[i + 1]] with those values."""
+    """Sparse rows: row i has features at[first[i] : first[i + 1]] with those values; value None: each is 1."""
 
     first: np.ndarray
     at: np.ndarray
-    value: np.ndarray
+    value: np.ndarray | None
 
     def __len__(self) -> int:
         return len(self.first) - 1
 
     def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.first[i], self.first[i + 1]
-        return self.at[a:b], self.value[a:b]
+        return self.at[a:b], np.ones(b - a) if self.value is None else self.value[a:b]
 
     @staticmethod
     def of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         first = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows])]).astype(np.int64)
         empty = np.zeros(0)
-        return Rows(first, np.concatenate([empty.astype(np.int64), *[a for a, _ in rows]]), np.concatenate([empty, *[v for _, v in rows]]))
+        return Rows(first, np.concatenate([empty.astype(np.int32), *[a for a, _ in rows]]), np.concatenate([empty, *[v for _, v in rows]]))
+
+    @staticmethod
+    def packed(column: pa.Array | pa.ChunkedArray) -> Rows:
+        """Rows of features that are each 1, from a column of packed 32-bit feature numbers."""
+        body, offsets = utf8(column)
+        return Rows(offsets // 4, np.frombuffer(body.tobytes(), "<i4"), None)
 
 
 class Ftrl:

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, table
+from .common import batches, forget, saved, table
 from .sparse import Ftrl, Rows
 
 BITS, PREFIXES, TOXIC_ROWS, CLEAN_ROWS, EPOCHS = 20, (5, 6, 7), 2500, 10_000, 4
 #: A feature is learnt if it occurs in at least MIN_ROWS and MIN_SHARE of the sample, and in at most MAX_SHARE of the clean rows.
 MIN_ROWS, MIN_SHARE, MAX_SHARE = 3, 5e-4, 0.05
+#: The least distance between neighbouring thresholds.
+GAP = 0.05
 U64 = np.uint64
 
 
@@ -65,56 +67,87 @@ class SeverityModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: Rows, grade: np.ndarray, features: int, grades: int, epochs: int = EPOCHS, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.004, l2: float = 0.01, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by FTRL (weights) and AdaGrad (thresholds); ``l1`` is for each row.
+def ordinal_slopes(score: float, thresholds: np.ndarray, grade: int) -> tuple[float, np.ndarray]:
+    """Slopes of -log P(grade) by the score and by each threshold.
 
-    Of row i with grade g: P(g) = sigmoid(b[g + 1]) - sigmoid(b[g]) with b[k] = threshold[k - 1] - score, open at both ends.
+    P(g) = sigmoid(b[g + 1]) - sigmoid(b[g]) with b[k] = threshold[k - 1] - score, open at both ends.
     """
+    cut = np.concatenate([[0.0], 1 / (1 + np.exp(-np.clip(thresholds - score, -60, 60))), [1.0]])
+    slope = cut * (1 - cut)
+    p = max(cut[grade + 1] - cut[grade], 1e-9)
+    push = np.zeros(len(cut))
+    push[grade + 1] -= slope[grade + 1] / p
+    push[grade] += slope[grade] / p
+    return (slope[grade + 1] - slope[grade]) / p, push[1:-1]
+
+
+def in_order(thresholds: np.ndarray, gap: float = GAP) -> np.ndarray:
+    """Each threshold at least ``gap`` above the one before; those that are so already stay as they are."""
+    out = thresholds.copy()
+    for k in range(1, len(out)):
+        out[k] = max(out[k], out[k - 1] + gap)
+    return out
+
+
+def fit_ordinal(rows: Rows, grade: np.ndarray, features: int, grades: int, epochs: int = EPOCHS, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.004, l2: float = 0.01, rate: float = 0.3, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by FTRL (weights) and AdaGrad (thresholds); ``l1`` is for each row."""
     model, rng = Ftrl(features, 1, alpha, beta, l1 * len(rows), l2), np.random.default_rng(seed)
     thresholds, seen = np.linspace(1.0, 3.0, grades - 1), np.zeros(grades - 1)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, value = rows.row(i)
             w = model.weights(at)[:, 0]
-            score, g = float(value @ w), int(grade[i])
-            cut = 1 / (1 + np.exp(-np.clip(np.concatenate([[-60.0], thresholds - score, [60.0]]), -60, 60)))
-            slope = cut * (1 - cut)
-            slope[[0, -1]] = 0
-            p = max(cut[g + 1] - cut[g], 1e-9)
-            model.step(at, w[:, None], (value * (slope[g + 1] - slope[g]) / p)[:, None])
-            push = np.zeros(grades + 1)
-            push[g + 1] -= slope[g + 1] / p
-            push[g] += slope[g] / p
-            push = push[1:-1]
+            by_score, push = ordinal_slopes(float(value @ w), thresholds, int(grade[i]))
+            model.step(at, w[:, None], (value * by_score)[:, None])
             seen += push**2
-            thresholds -= 0.2 * push / (1 + np.sqrt(seen))
-            thresholds = np.maximum.accumulate(thresholds + 1e-3 * np.arange(grades - 1))
+            thresholds = in_order(thresholds - rate * push / (1 + np.sqrt(seen)))
     return model.weights()[:, 0], thresholds
 
 
-def severity_grades(rows: Rows, toxic: np.ndarray, words: np.ndarray) -> np.ndarray:
+def severity_grades(rows: Rows, toxic: np.ndarray, words: np.ndarray, features: int) -> np.ndarray:
     """Grades 0, 1 and 2 from yes-or-no labels: 2 where the share of telling features is above the median of the toxic rows.
 
     A feature tells if it is at least eight times as frequent among toxic rows as among the others, and in three of them.
     """
-    owner = np.repeat(np.arange(len(rows)), np.diff(rows.first))
-    kinds, at = np.unique(rows.at, return_inverse=True)
-    bad = np.bincount(at, toxic[owner], len(kinds))
-    good = np.bincount(at, 1 - toxic[owner], len(kinds))
+    bad, good = np.zeros(features, np.int32), np.zeros(features, np.int32)
+    for i in range(len(rows)):
+        (bad if toxic[i] else good)[rows.row(i)[0]] += 1
     telling = (bad >= 3) & ((bad + 0.5) / (toxic.sum() + 1) >= 8 * (good + 0.5) / ((1 - toxic).sum() + 1))
-    share = np.bincount(owner, telling[at], len(rows)) / np.maximum(words, 1)
+    share = np.array([telling[rows.row(i)[0]].sum() for i in range(len(rows))]) / np.maximum(words, 1)
     middle = np.median(share[toxic > 0]) if toxic.any() else 0.0
     return np.where(toxic > 0, 1 + (share > middle), 0)
 
 
-def _featured(bits: int, prefixes: tuple[int, ...]):
+def _present(bits: int, prefixes: tuple[int, ...]):
+    """(feature, rows, clean): in how many texts of the batch each feature occurs, and in how many clean ones."""
+
+    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, off = K.utf8(part.column(2))
+        toxic = part.column(1).to_numpy()
+        rows, clean = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        for i, j in K.slices(off):
+            text, feature = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits, prefixes)
+            rows += np.bincount(feature, minlength=1 << bits)
+            clean += np.bincount(feature[toxic[i:j][text] == 0], minlength=1 << bits)
+        at = np.flatnonzero(rows)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(rows[at]), pa.array(clean[at])], names=["feature", "rows", "clean"])
+
+    return kernel
+
+
+def _featured(bits: int, prefixes: tuple[int, ...], useful: np.ndarray):
+    """(h, toxic, size, features): the number of a text's features, and its useful ones packed as 32-bit numbers."""
+
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         data, off = K.utf8(part.column(2))
-        packed = []
+        only = np.zeros(1 << bits, bool)
+        only[useful] = True
+        size, packed = [], []
         for i in range(part.num_rows):
             _, feature = features(data[off[i] : off[i + 1]], off[i : i + 2] - off[i], bits, prefixes)
-            packed.append(feature.astype(np.int32).tobytes())
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["h", "toxic", "features"])
+            size.append(len(feature))
+            packed.append(feature[only[feature]].astype("<i4").tobytes())
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int32()), pa.array(packed, pa.binary())], names=["h", "toxic", "size", "features"])
 
     return kernel
 
@@ -122,29 +155,33 @@ def _featured(bits: int, prefixes: tuple[int, ...]):
 def train_severity_model(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> SeverityModel:
     """Learns from the documents that ``labels`` (doc_id, toxic) marks; rows with a null in either are left out.
 
-    About ``toxic_rows`` and ``clean_rows`` labelled rows, chosen by a hash of their ids, are brought to the driver as feature numbers:
-    the stated bound of the sample.  Without toxic or without clean labels every document has grade 0.
+    Of several labels of an id, one that says toxic wins; of several documents of an id, the least text counts.  About
+    ``toxic_rows`` and ``clean_rows`` labelled ids, chosen by a hash, are the sample: the stated bound.  Spark counts the features
+    over it, and only the numbers of the useful ones are brought to the driver.  Without toxic or without clean labels every
+    document has grade 0.
     """
-    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     empty = SeverityModel(np.zeros(1 << bits), np.array([30.0, 31.0]), bits, prefixes)
     if len(sizes) < 2:
         return empty
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / sizes[1])).otherwise(min(1.0, clean_rows / sizes[0]))
-    chosen = F.broadcast(known.where(place < share))  # about toxic_rows + clean_rows ids with a flag
-    texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("h"), "toxic", "text")
-    sample = sorted((r["h"], r["toxic"], bytes(r["features"])) for r in texts.mapInArrow(batches(_featured(bits, prefixes)), "h long, toxic int, features binary").collect())
-    toxic = np.array([t for _, t, _ in sample], float)
-    if not toxic.any() or toxic.all():
+    chosen = F.broadcast(known.where(place < share))  # about toxic_rows + clean_rows ids with a flag, each once
+    texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = saved(texts.select(F.xxhash64("doc_id").alias("h"), "toxic", "text"), "labelled")
+    many = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(many) < 2:
         return empty
-    ats = [np.frombuffer(b, np.int32) for _, _, b in sample]
-    df = np.bincount(np.concatenate(ats), minlength=1 << bits)
-    clean = np.bincount(np.concatenate([a for a, t in zip(ats, toxic, strict=True) if not t]), minlength=1 << bits)
-    useful = (df >= max(MIN_ROWS, MIN_SHARE * len(ats))) & (clean <= MAX_SHARE * (toxic == 0).sum())
-    rows = Rows.of([(a[useful[a]].astype(np.int64), np.ones(int(useful[a].sum()))) for a in ats])
-    grade = severity_grades(rows, toxic, np.array([len(a) for a in ats]))
-    weights, thresholds = fit_ordinal(rows, grade, 1 << bits, 3)
+    counts = texts.mapInArrow(batches(_present(bits, prefixes)), "feature int, rows long, clean long").groupBy("feature").agg(F.sum("rows").alias("rows"), F.sum("clean").alias("clean"))
+    telling = counts.where((F.col("rows") >= max(MIN_ROWS, MIN_SHARE * sum(many.values()))) & (F.col("clean") <= MAX_SHARE * many[0])).select("feature")
+    useful = np.sort(telling.toArrow().column(0).to_numpy())
+    sample = texts.mapInArrow(batches(_featured(bits, prefixes, useful)), "h long, toxic int, size int, features binary").toArrow().sort_by([("h", "ascending"), ("features", "ascending")])
+    forget(texts)
+    toxic, size = sample.column("toxic").to_numpy().astype(float), sample.column("size").to_numpy()
+    rows = Rows.packed(sample.column("features"))
+    del sample
+    weights, thresholds = fit_ordinal(rows, severity_grades(rows, toxic, size, 1 << bits), 1 << bits, 3)
     return SeverityModel(weights, thresholds, bits, prefixes)
 
 
