@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left with the columns of right (which has each key once) by ``key``, null where there is no such key.
+
+    Keys with more than a ``share``-th of left's rows, at most ``share`` of them, are joined by broadcast: their rows stay where they
+    are, and at most ``share`` rows are sent.  Rows with a null key stay as well.  left is read four times: let it be a saved table.
+    """
+    known = left.where(F.col(key).isNotNull())
+    hot = [r[0] for r in known.groupBy(key).count().where(F.col("count") > F.lit(left.count() / share)).select(key).collect()]
+    is_hot = F.col(key).isin(hot)
+    cold = known.where(~is_hot).join(right, key, "left")
+    warm = known.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
+    none = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key])
+    out = cold.unionByName(warm).unionByName(none) if hot else cold.unionByName(none)
+    return out.select(*left.columns, *[c for c in right.columns if c != key])
+
+
 def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: applies kernel to each batch that has rows, or to each ``rows`` of its rows, to bound what it holds."""
 

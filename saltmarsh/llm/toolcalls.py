@@ -1,111 +1,240 @@
 """Tool calls of chat transcripts: linked to their results, ordered, validated and written as canonical JSON.
 
-Everything is Spark SQL functions.  Calls and results meet by hash join on the identifier.  A call may name one earlier call whose
-result it uses; its level in that forest, which orders the calls topologically, comes from pointer jumping, so a chain of n
-calls takes log2(n) joins.  Arguments are checked against a schema for each tool.
+Everything is Spark SQL functions.  Calls and results meet by hash join on the identifier.  A call names the earlier calls whose
+results it uses; its level in that graph, its longest path from a call that uses none, orders the calls topologically.  Chains, in
+which each call uses one other, are shortened by pointer jumping, log2(n) joins for a chain of n; calls that use several are then
+settled in order of their depth among such calls, a join for each step of it.  Arguments are checked against a JSON schema for
+each tool.
+
+Canonical JSON has the keys of objects in order, no white space, and every number as ECMAScript writes it, but with all of its digits:
+1e2, 100 and 100.0 are 100, and 1E-7 is 1e-7; nothing is rounded.  For this, strings and numbers are marked before Spark parses the
+text: every number becomes a string that begins with n, and every other string begins with s.
 """
 
 from __future__ import annotations
 
+import math
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import forget, join_spread, saved, table
 
-#: tool -> field -> (type, required, least value or None).  Types: string, integer, number, boolean.
-Schema = dict[str, dict[str, tuple[str, bool, int | None]]]
+#: A JSON schema: type, properties, required, additionalProperties, items, enum, minimum, maximum, minLength, maxLength, minItems,
+#: maxItems, pattern.
+Schema = dict[str, Any]
 
-_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN"}
+_NUMBER = r"(?<![\w.+-])(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![\w.+-])"
 
 
-def call_levels(calls: DataFrame, rounds: int = 64) -> DataFrame:
-    """(call_id, level, cyclic): level 0 for a call whose parent is null or unknown, else one above its parent's.
+def call_levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level, cyclic) of calls (call_id, parents: array of ids): level 0 for a call without a known parent, else one
+    above the highest of its parents'.
 
-    Calls on a cycle, or below one, have a null level and cyclic true.  Each call_id appears once; of repeated ids the least
-    parent counts.  Ids that are null are left out.
+    Calls on a cycle, or that use one's results, have a null level and cyclic true.  Each call_id appears once; repeated ids have
+    the parents of all their rows.  Null ids and null, repeated or unknown parents are left out.
     """
-    base = calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))
-    known = base.select(F.col("call_id").alias("parent_id"), F.lit(1).alias("there"))
-    state = base.join(known, "parent_id", "left").select("call_id", F.when(F.col("there") == 1, F.col("parent_id")).alias("up"))
-    state = saved(state.select("call_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level")), "levels")
-    waiting = state.where("up is not null").count()
+    ids = saved(calls.where("call_id is not null").select("call_id").distinct(), "calls")
+    edges = saved(calls.where("call_id is not null").select("call_id", F.explode("parents").alias("parent")).where("parent is not null").distinct(), "edges")
+    edges = saved(join_spread(edges, ids.select(F.col("call_id").alias("parent"), F.lit(True).alias("known")), "parent").where("known").drop("known"), "edges")
+    uses = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("up"))
+
+    # Calls with one parent: up is the call reached so far, dist steps away; open as long as that has one parent itself.
+    state = saved(uses.where("n = 1").select("call_id", "up", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("open")), "chains")
+    rounds = math.ceil(math.log2(state.count() + 1)) + 1
     for _ in range(rounds):
-        if not waiting:
+        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("more"))
+        moved = join_spread(state, above, "up").select("call_id", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("open"))
+        before, state = state, saved(moved, "chains")
+        forget(before)
+        if state.where("open").isEmpty():
             break
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
-        moved = state.where("up is not null").join(above, "up").select("call_id", F.col("up2").alias("up"), (F.col("level") + F.col("more")).alias("level"))
-        state = saved(state.where("up is null").union(moved), "levels")
-        left = state.where("up is not null").count()
-        if left == waiting:  # in a forest every round settles some
+    # What is still open after so many rounds runs in a circle.
+    chain = state.where("not open").select("call_id", "up", "dist")
+    known = saved(ids.join(uses.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "levels")
+
+    several = edges.join(uses.where("n > 1").select("call_id"), "call_id")
+    reached = state.select(F.col("call_id").alias("parent"), "up", "dist", "open")
+    waiting = join_spread(saved(several, "several"), reached, "parent").select(
+        "call_id", F.when(~F.coalesce("open", F.lit(False)), F.coalesce("up", "parent")).alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.lit(None).cast("long").alias("level"),
+    )
+    waiting, newest = saved(waiting, "waiting"), known
+    while not waiting.isEmpty():
+        told = join_spread(waiting, newest.select(F.col("call_id").alias("anchor"), F.col("level").alias("now")), "anchor")
+        told = saved(told.select("call_id", "anchor", "dist", F.coalesce("level", "now").alias("level")), "waiting")
+        ready = told.groupBy("call_id").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max(F.col("level") + F.col("dist")).alias("level"))
+        newest = saved(ready.where("n = k").select("call_id", "level"), "levels")
+        if newest.isEmpty():  # the rest uses a cycle
             break
-        waiting = left
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"), F.col("up").isNotNull().alias("cyclic"))
+        known = known.unionByName(newest)
+        waiting = saved(told.join(newest.select("call_id"), "call_id", "left_anti"), "waiting")
+    levels = known.select(F.col("call_id").alias("up"), F.col("level").alias("base"))
+    settled = join_spread(saved(chain, "chains"), levels, "up").where("base is not null").select("call_id", (F.col("base") + F.col("dist")).alias("level")).unionByName(known)
+    return ids.join(settled, "call_id", "left").select("call_id", "level", F.col("level").isNull().alias("cyclic"))
+
+
+def _outside(text: Column, inside: Column | None, outside: Column | None, joined: str) -> Column:
+    """text cut at the quotes of its JSON strings, parts inside and outside of them changed by functions of a part.
+
+    Escaped backslashes and quotes stand as the characters 1 and 2 meanwhile, which JSON does not allow in a text.
+    """
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    parts = F.transform(F.split(plain, '"'), lambda p, i: F.when(i % 2 == 1, inside(p)).otherwise(outside(p)))
+    whole = F.array_join(parts, joined)
+    return F.when(~text.rlike("[\x01\x02]"), F.replace(F.replace(whole, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\")))
+
+
+def marked(text: Column) -> Column:
+    """The JSON text with its numbers as strings that begin with n, and s before every other string; see the module."""
+    return _outside(text, lambda p: F.concat(F.lit("s"), p), lambda p: F.regexp_replace(p, _NUMBER, '"n$1"'), '"')
+
+
+def canonical_number(x: Column) -> Column:
+    """A JSON number as ECMAScript writes one, with all of its digits; null where the exponent has more than 17 digits."""
+    body = F.lower(F.regexp_replace(x, "^-", ""))
+    sign = F.when(F.startswith(x, F.lit("-")), "-").otherwise("")
+    mantissa = F.substring_index(body, "e", 1)
+    raised = F.when(F.contains(body, F.lit("e")), F.when(F.length(F.regexp_replace(body, "^.*e[+-]?0*", "")) < 18, F.regexp_replace(body, r"^.*e\+?", "").try_cast("long"))).otherwise(F.lit(0).cast("long"))
+    fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    digits = F.regexp_replace(F.concat(F.substring_index(mantissa, ".", 1), fraction), "^0+", "")
+    short = F.regexp_replace(digits, "0+$", "")
+    k = F.length(short)
+    n = k + raised - F.length(fraction) + F.length(digits) - k  # the point stands behind n digits
+    power = F.concat(F.lit("e"), F.when(n > 0, "+").otherwise("-"), F.abs(n - 1).cast("string"))
+    zeros = lambda m: F.repeat(F.lit("0"), F.greatest(m, F.lit(0)).cast("int"))
+    number = (
+        F.when((k <= n) & (n <= 21), F.concat(short, zeros(n - k)))
+        .when((n > 0) & (n <= 21), F.concat(F.left(short, n.cast("int")), F.lit("."), F.substring(short, (n + 1).cast("int"), k)))
+        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), zeros(-n), short))
+        .when(k == 1, F.concat(short, power)).otherwise(F.concat(F.left(short, F.lit(1)), F.lit("."), F.substring(short, 2, 1 << 30), power))
+    )
+    return F.when(short == "", F.lit("0")).otherwise(F.concat(sign, number))
 
 
-def argument_errors(tool: Column, arguments: Column, schema: Schema) -> Column:
-    """Sorted messages of what is wrong with a call's arguments (a JSON text); empty if nothing is."""
-    parsed = F.try_parse_json(arguments)
-    shape = F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object")))
+def _written(parsed: Column) -> Column:
+    """The canonical text of a marked variant."""
+    rest = lambda p: F.substring(p, 2, 1 << 30)
+    out = _outside(F.to_json(parsed), lambda p: F.when(F.startswith(p, F.lit("n")), canonical_number(rest(p))).otherwise(F.concat(F.lit('"'), rest(p), F.lit('"'))), lambda p: p, "")
+    return out
+
+
+def canonical_json(text: Column) -> Column:
+    """The JSON text in canonical form (see the module); null if it is not JSON or an object has a key twice."""
+    return _written(F.try_parse_json(marked(text)))
+
+
+def _errors(value: Column, schema: Schema, path: str) -> Column:
+    """Array of what is wrong with a marked variant."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    body = F.substring(text, 2, 1 << 30)
+    number = F.when(F.startswith(text, F.lit("n")), body.try_cast("double"))
+    string = F.when(F.startswith(text, F.lit("s")), body)
+    name, inner = path or "arguments", f"{path}." if path else ""
+    fits = {
+        "string": string.isNotNull(), "number": number.isNotNull(), "integer": F.coalesce(number == F.floor(number), F.lit(False)) | F.coalesce(F.abs(number) >= 2.0**53, F.lit(False)),
+        "boolean": kind == "BOOLEAN", "object": F.startswith(kind, F.lit("OBJECT")), "array": F.startswith(kind, F.lit("ARRAY")), "null": kind == "VOID",
+    }
+    none = F.array().cast("array<string>")
+    found: list[Column] = []
+
+    def rule(broken: Column, message: str) -> None:
+        found.append(F.when(broken, F.array(F.lit(f"{name}: {message}"))).otherwise(none))
+
+    for key, side, broken in (("minimum", "below", lambda x, b: x < b), ("maximum", "above", lambda x, b: x > b)):
+        if key in schema:
+            rule(broken(number, schema[key]), f"{side} {schema[key]}")
+    for key, side, size, broken in (
+        ("minLength", "shorter than", F.length(string), lambda x, b: x < b), ("maxLength", "longer than", F.length(string), lambda x, b: x > b),
+        ("minItems", "fewer than", F.size(F.try_variant_get(value, "$", "array<variant>")), lambda x, b: (x >= 0) & (x < b)), ("maxItems", "more than", F.size(F.try_variant_get(value, "$", "array<variant>")), lambda x, b: x > b),
+    ):
+        if key in schema:
+            rule(broken(size, schema[key]), f"{side} {schema[key]}")
+    if "pattern" in schema:
+        rule(~string.rlike(schema["pattern"]), "not like its pattern")
+    if "enum" in schema:
+        same = F.lit(False)
+        for x in schema["enum"]:
+            same |= F.coalesce(string == x if isinstance(x, str) else kind == "VOID" if x is None else F.try_variant_get(value, "$", "boolean") == x if isinstance(x, bool) else number == x, F.lit(False))
+        rule(~same, "none of its values")
+    fields = schema.get("properties", {})
+    for field, inside in sorted(fields.items()):
+        v = F.try_variant_get(value, f'$["s{field}"]', "variant")
+        gone = F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "VOID"
+        missing = F.array(F.lit(f"{inner}{field}: missing")) if field in schema.get("required", ()) else none
+        found.append(F.when(fits["object"] & gone, missing).when(fits["object"], _errors(v, inside, f"{inner}{field}")).otherwise(none))
+    if schema.get("additionalProperties") is False:
+        keys = F.transform(F.coalesce(F.json_object_keys(F.to_json(value)), none), lambda k: F.substring(k, 2, 1 << 30))
+        found.append(F.transform(F.filter(keys, lambda k: ~k.isin(*fields)), lambda k: F.concat(F.lit(inner), k, F.lit(": unknown"))))
+    if "items" in schema:
+        each = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        found.append(F.array_distinct(F.flatten(F.transform(each, lambda x: _errors(x, schema["items"], f"{path}[]")))))
+    deeper = F.concat(*found) if found else none
+    kinds = schema.get("type")
+    if kinds is None:
+        return deeper
+    right = F.lit(False)
+    for k in [kinds] if isinstance(kinds, str) else kinds:
+        right |= fits[k]
+    return F.when(right, deeper).otherwise(F.array(F.lit(f"{name}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}")))
+
+
+def argument_errors(tool: Column, arguments: Column, schema: dict[str, Schema]) -> Column:
+    """Sorted messages of what is wrong with a call's arguments (a JSON text); empty if nothing is.
+
+    A null property counts as missing.  Numbers are compared as doubles; any number of 2**53 or more counts as an integer.
+    """
+    parsed = F.try_parse_json(marked(arguments))
+    shape = F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.array(F.lit("not an object")))
     out = None
-    for name, fields in sorted(schema.items()):
-        found = []
-        for field, (kind, required, least) in sorted(fields.items()):
-            value = F.variant_get(parsed, f'$["{field}"]', "variant")
-            has = F.schema_of_variant(value)
-            missing = value.isNull() | (has == "VOID")
-            found.append(F.when(missing, F.lit(f"{field}: missing") if required else F.lit(None)).when(~has.rlike(f"^({_TYPES[kind]})$"), F.lit(f"{field}: not {kind}")))
-            if least is not None:
-                found.append(F.when(F.try_variant_get(parsed, f'$["{field}"]', "double") < least, F.lit(f"{field}: below {least}")))
-        extra = F.transform(F.filter(F.json_object_keys(arguments), lambda k: ~k.isin(*fields)), lambda k: F.concat(k, F.lit(": unknown")))
-        errors = F.sort_array(F.concat(F.array_compact(F.array(*found)), F.coalesce(extra, F.array().cast("array<string>"))))
+    for name, rules in sorted(schema.items()):
+        errors = F.sort_array(_errors(parsed, rules, ""))
         out = F.when(tool == name, errors) if out is None else out.when(tool == name, errors)
     unknown = F.array(F.concat(F.lit("no such tool: "), F.coalesce(tool, F.lit("null"))))
     return F.coalesce(shape, unknown if out is None else out.otherwise(unknown))
 
 
-def canonical_json(text: Column) -> Column:
-    """The JSON text with the keys of objects sorted and no white space; null if it is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+def _quoted(c: str) -> Column:
+    """A text column as a JSON string, or null."""
+    text = F.to_json(F.struct(F.col(c).alias("v")))
+    return F.when(F.col(c).isNull(), "null").otherwise(text.substr(F.lit(6), F.length(text) - 6))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schema: Schema) -> DataFrame:
+def link_tool_calls(calls: DataFrame, results: DataFrame, schema: dict[str, Schema]) -> DataFrame:
     """One row per call: its result, level, errors and canonical JSON.
 
-    calls: call_id, tool, arguments (JSON text), parent_id; results: call_id, content.  status is ``linked``, ``no result``, or
-    ``invalid`` where arguments have errors.  Of several results with one id the least content counts (n_results says how many
-    there were); results without a call are left out, and so is a result with a null id.  Repeated calls give a row each, a call
-    with a null id is never linked.  Null arguments count as text that is no JSON.  Other columns are not read.
+    calls: call_id, tool, arguments (JSON text), parents (array of call ids); results: call_id, content.  status is ``linked``, ``no
+    result``, or ``invalid`` where arguments have errors.  Of several results with one id the least content counts (n_results says
+    how many there were); results without a call are left out, and so is a result with a null id.  Repeated calls give a row each, a
+    call with a null id is never linked and has no level.  Null arguments count as text that is no JSON, null parents as none.
+    Empty tables give no rows.  Other columns are not read, so their names clash with nothing.
     """
+    own = saved(calls.select("call_id", "tool", "arguments", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")), "calls")
     known = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    levels = call_levels(calls)
-    own = calls.select("call_id", "tool", "arguments", "parent_id")
-    joined = own.join(known, "call_id", "left").join(levels, "call_id", "left").withColumn("errors", argument_errors(F.col("tool"), F.col("arguments"), schema))
-    bad = F.size("errors") > 0
-    # The keys of the outer object stand in order; the arguments are made canonical by themselves.
-    text = F.to_json(F.struct("content")).substr(F.lit(12), F.length(F.to_json(F.struct("content"))) - 12)
-    quoted = {c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6) for c in ("call_id", "tool")}
+    facts = call_levels(own).join(known, "call_id", "left")
+    joined = join_spread(own, facts, "call_id").withColumn("errors", argument_errors(F.col("tool"), F.col("arguments"), schema))
     line = F.concat(
-        F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), F.when(F.col("call_id").isNull(), "null").otherwise(quoted["call_id"]),
-        F.lit(',"result":'), F.when(F.col("content").isNull(), "null").otherwise(text), F.lit(',"tool":'), F.when(F.col("tool").isNull(), "null").otherwise(quoted["tool"]), F.lit("}"),
-    )
+        F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("call_id"), F.lit(',"result":'), _quoted("content"), F.lit(',"tool":'), _quoted("tool"), F.lit("}")
+    )
     return joined.select(
-        "call_id", "parent_id", "tool", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        F.when(bad, "invalid").when(F.col("n_results") > 0, "linked").otherwise("no result").alias("status"), F.array_join("errors", "; ").alias("errors"), line.alias("canonical"),
+        "call_id", F.array_join("parents", ",").alias("parents"), "tool", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
+        F.when(F.size("errors") > 0, "invalid").when(F.col("n_results") > 0, "linked").otherwise("no result").alias("status"), F.array_join("errors", "; ").alias("errors"), line.alias("canonical"),
     )
 
 
 #: The tools that the turns of ``conversations`` stand for.
-TOOLS: Schema = {
-    "search": {"query": ("string", True, None), "limit": ("integer", True, 1), "exact": ("boolean", False, None)},
-    "summarise": {"query": ("string", True, None), "limit": ("integer", True, 5)},
+TOOLS: dict[str, Schema] = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}, "exact": {"type": "boolean"}}, "required": ["query", "limit"], "additionalProperties": False},
+    "summarise": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 5}}, "required": ["query", "limit"], "additionalProperties": False},
 }
 
 
 def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results in a chat: a user's turn is a call with its text as the query, and the assistant's next turn its result.
 
-    A call uses the result of the call two turns before, if there is one.  Limits come from the turn's number and the text's
-    length, so that some calls break the schema.
+    A call uses the results of the calls two and four turns before, if there are any.  Limits come from the turn's number and the
+    text's length, so that some calls break the schema.
     """
     turn_id = F.concat_ws(":", "conv_id", "turn")
     length = F.length("text")
@@ -114,7 +243,7 @@ def turns_as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = turns.where("role = 'user' and conv_id is not null and turn is not null").select(
         turn_id.alias("call_id"), F.when(length % 3 == 0, "summarise").otherwise("search").alias("tool"),
         F.concat(F.substring(query, F.lit(1), F.length(query) - 1), F.lit(', "limit" : '), limit, F.when(length % 7 == 0, F.lit(', "exact":true}')).otherwise(F.lit("}"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.concat_ws(":", "conv_id", F.col("turn") - 2)).alias("parent_id"),
+        F.array_compact(F.array(*[F.when(F.col("turn") >= k, F.concat_ws(":", "conv_id", F.col("turn") - k)) for k in (2, 4)])).alias("parents"),
     )
     results = turns.where("role = 'assistant' and conv_id is not null and turn is not null").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
@@ -128,19 +257,23 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH RECURSIVE u AS (
   SELECT conv_id || ':' || turn AS call_id, turn, text, length(text) AS n, CASE WHEN length(text) % 3 = 0 THEN 'summarise' ELSE 'search' END AS tool,
-    CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS parent_id FROM conversations WHERE role = 'user'
+    list_filter([CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END, CASE WHEN turn >= 4 THEN conv_id || ':' || (turn - 4) END], lambda x: x IS NOT NULL) AS parents FROM conversations WHERE role = 'user'
+), d AS (
+  SELECT p.call_id, p.parent FROM (SELECT call_id, unnest(parents) AS parent FROM u) p WHERE parent IN (SELECT call_id FROM u)
 ), r AS (
   SELECT conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY 1
+), path AS (
+  SELECT call_id, 0::BIGINT AS level FROM u WHERE call_id NOT IN (SELECT call_id FROM d)
+  UNION SELECT d.call_id, path.level + 1 FROM d JOIN path ON d.parent = path.call_id
 ), lv AS (
-  SELECT call_id, 0::BIGINT AS level FROM u WHERE parent_id IS NULL OR parent_id NOT IN (SELECT call_id FROM u)
-  UNION ALL SELECT u.call_id, lv.level + 1 FROM u JOIN lv ON u.parent_id = lv.call_id
+  SELECT call_id, max(level) AS level FROM path GROUP BY call_id
 ), e AS (
   SELECT *, list_sort(list_filter([
     CASE WHEN turn % 10 = 4 THEN 'limit: not integer' END,
-    CASE WHEN (CASE WHEN turn % 10 = 4 THEN n ELSE n % 12 END) < (CASE WHEN tool = 'search' THEN 1 ELSE 5 END) THEN 'limit: below ' || (CASE WHEN tool = 'search' THEN 1 ELSE 5 END) END,
+    CASE WHEN turn % 10 <> 4 AND n % 12 < (CASE WHEN tool = 'search' THEN 1 ELSE 5 END) THEN 'limit: below ' || (CASE WHEN tool = 'search' THEN 1 ELSE 5 END) END,
     CASE WHEN n % 7 = 0 AND tool = 'summarise' THEN 'exact: unknown' END], lambda x: x IS NOT NULL)) AS errs FROM u
 )
-SELECT e.call_id, e.parent_id, e.tool, lv.level, false AS cyclic, coalesce(r.n_results, 0) AS n_results,
+SELECT e.call_id, array_to_string(e.parents, ',') AS parents, e.tool, lv.level, false AS cyclic, coalesce(r.n_results, 0) AS n_results,
   CASE WHEN len(errs) > 0 THEN 'invalid' WHEN r.n_results > 0 THEN 'linked' ELSE 'no result' END AS status, array_to_string(errs, '; ') AS errors,
   '{"arguments":{' || CASE WHEN n % 7 = 0 THEN '"exact":true,' ELSE '' END || '"limit":' || CASE WHEN turn % 10 = 4 THEN '"' || n || '"' ELSE (n % 12)::VARCHAR END || ',"query":' || to_json(e.text)::VARCHAR
   || '},"id":' || to_json(e.call_id)::VARCHAR || ',"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || ',"tool":' || to_json(e.tool)::VARCHAR || '}' AS canonical
