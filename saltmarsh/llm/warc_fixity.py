@@ -47,15 +47,19 @@ def leaves(records: DataFrame) -> DataFrame:
     return run.join(start, "bucket").select("key", (F.col("n0") + F.col("i")).cast("long").alias("node"), (F.col("b0") + F.col("end") - F.col("size")).alias("begin"), (F.col("b0") + F.col("end")).alias("end"), "digest")
 
 
+def _above(level: DataFrame, fanout: int) -> DataFrame:
+    up = level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("below"),
+    )
+    return saved(up.select(F.lit(None).cast("long").alias("key"), "node", "begin", "end", F.sha2(F.array_join("below.digest", "").cast("binary"), 256).alias("digest")), "tree")
+
+
 def merkle_tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """The levels of the tree, leaves first, the root (one node) last; an empty collection has one level without nodes."""
     level = saved(leaves(records), "tree")
     out, size = [level], level.count()
     while size > 1:
-        up = level.groupBy(F.floor(F.col("node") / fanout).alias("node")).agg(
-            F.min("begin").alias("begin"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("below"),
-        )
-        level = saved(up.select(F.lit(None).cast("long").alias("key"), "node", "begin", "end", F.sha2(F.array_join("below.digest", "").cast("binary"), 256).alias("digest")), "tree")
+        level = _above(level, fanout)
         out.append(level)
         size = -(-size // fanout)
     return out
@@ -64,12 +68,16 @@ def merkle_tree(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """The roots, and below them every node whose digests differ: level, node, key, begin, end, digest and replica_digest.
 
-    Level 0 has the damaged records.  A node that one replica lacks has null there.  Trees of unequal height are compared from
-    the lower one's root level on.
+    Level 0 has the damaged records.  A node that one replica lacks has null there.  The lower of two trees is raised by nodes
+    of one child each, so that both have a root on the same level; of an empty replica every node is lacking.
     """
+    ours, theirs = list(ours), list(theirs)
+    for tree, other in ((ours, theirs), (theirs, ours)):
+        while len(tree) < len(other):
+            tree.append(_above(tree[-1], fanout))
     found = []
     open_nodes: DataFrame | None = None
-    for level in reversed(range(min(len(ours), len(theirs)))):
+    for level in reversed(range(len(ours))):
         a = ours[level]
         b = theirs[level].select("node", F.col("digest").alias("replica_digest"), F.col("begin").alias("begin_b"), F.col("end").alias("end_b"), F.col("key").alias("key_b"))
         if open_nodes is not None:
