@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from saltmarsh.llm import language_id, near_dedup, ogg, packing, sentencepiece, spotsigs, substring_dedup, textkernel, toolcalls, toxicity, warc_fixity
+from saltmarsh.llm import common, language_id, near_dedup, ogg, packing, sentencepiece, sparse, spotsigs, substring_dedup, textkernel, toolcalls, toxicity, warc_fixity
 from saltmarsh.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -178,6 +178,14 @@ def test_links_follow_the_real_document_frequencies(spark):
     assert got == {d: d for d, _ in rows}
 
 
+def test_join_that_spreads_hot_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(k, k) for k in range(2, 30)] + [(None, 7)] * 20, "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 20)], "k int, name string")
+    for share in (5, 1000):
+        got = Counter((r.k, r.v, r.name) for r in common.join_spread(left, right, "k", share).collect())
+        assert got == Counter((r.k, r.v, f"r{r.k}" if r.k is not None and r.k < 20 else None) for r in left.collect())
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
@@ -238,6 +246,91 @@ def test_toxicity(spark, odd):
     assert not toxicity.score_severity(odd, none).where("toxic").count()
 
 
+def plain_ftrl(steps, features, outputs, alpha, beta, l1, l2):
+    """Weights after steps of (features, gradient of each output by the weights), one coordinate at a time."""
+    z, n = np.zeros((features, outputs)), np.zeros((features, outputs))
+
+    def weight(i, k):
+        return 0.0 if abs(z[i, k]) <= l1 else -(z[i, k] - np.sign(z[i, k]) * l1) / ((beta + n[i, k] ** 0.5) / alpha + l2)
+
+    for at, gradient_of in steps:
+        w = np.array([[weight(i, k) for k in range(outputs)] for i in at])
+        for j, (i, g) in enumerate(zip(at, gradient_of(w), strict=True)):
+            for k in range(outputs):
+                sigma = ((n[i, k] + g[k] ** 2) ** 0.5 - n[i, k] ** 0.5) / alpha
+                z[i, k] += g[k] - sigma * w[j, k]
+                n[i, k] += g[k] ** 2
+    return np.array([[weight(i, k) for k in range(outputs)] for i in range(features)])
+
+
+def test_ftrl_against_plain_steps():
+    rng = np.random.default_rng(6)
+    made = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(40)]
+    y = rng.integers(0, 3, 40)
+    got = language_id.fit_multinomial(sparse.Rows.of(made), y, 12, 3, epochs=2, l1=0.5)
+    order = np.random.default_rng(5)
+    rows = [i for _ in range(2) for i in order.permutation(40)]
+
+    def step(i):
+        at, value = made[i]
+
+        def gradient(w):
+            score = [sum(v * w[j][k] for j, v in enumerate(value)) for k in range(3)]
+            p = np.exp(score) / np.exp(score).sum()
+            return [[v * (p[k] - (y[i] == k)) for k in range(3)] for v in value]
+
+        return at, gradient
+
+    assert np.allclose(got, plain_ftrl([step(i) for i in rows], 12, 3, 0.5, 1.0, 0.5, 0.02)) and (got == 0).any() and (got != 0).any()
+
+
+def test_temperature_against_a_grid():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 4, 500)
+    scores = 6 * (np.eye(4)[y] + rng.normal(0, 0.6, (500, 4)))
+    rest = 1 / 502
+    target = np.where(np.eye(4)[y] > 0, 1 - rest, rest / 3)
+
+    def loss(t):
+        p = np.exp(scores / t - (scores / t).max(1, keepdims=True))
+        return -(target * np.log(p / p.sum(1, keepdims=True))).sum(1).mean()
+
+    grid = np.exp(np.linspace(-4, 3, 7001))
+    assert language_id.fit_temperature(scores, y) == pytest.approx(grid[np.argmin([loss(t) for t in grid])], rel=0.01)
+    assert language_id.fit_temperature(np.zeros((0, 4)), np.zeros(0, int)) == 1.0
+
+
+def test_ordinal_thresholds_and_slopes():
+    for n in (1000, 12_500):
+        rows = sparse.Rows(np.zeros(n + 1, np.int64), np.zeros(0, np.int32), None)
+        _, t = toxicity.fit_ordinal(rows, np.repeat([0, 1, 2], [n * 8 // 10, n // 10, n // 10]), 4, 3)
+        assert np.abs(t - np.log([4, 9])).max() < 0.1
+    assert toxicity.in_order(np.array([1.0, 2.0])).tolist() == [1.0, 2.0] and toxicity.in_order(np.array([1.0, 0.0]))[1] == 1.0 + toxicity.GAP
+    t, e = np.array([0.7, 1.9]), 1e-6
+
+    def loss(score, t, g):
+        p = np.concatenate([[0], 1 / (1 + np.exp(score - t)), [1]])
+        return -np.log(p[g + 1] - p[g])
+
+    for g in range(3):
+        for score in (-1.0, 0.4, 3.0):
+            by_score, push = toxicity.ordinal_slopes(score, t, g)
+            assert by_score == pytest.approx((loss(score + e, t, g) - loss(score - e, t, g)) / (2 * e), abs=1e-5)
+            assert push == pytest.approx([(loss(score, t + e * u, g) - loss(score, t - e * u, g)) / (2 * e) for u in np.eye(2)], abs=1e-5)
+
+
+def test_toxicity_of_odd_tables(spark, odd):
+    docs = spark.createDataFrame([(i, "kind words here" if i % 2 else "vile words here") for i in range(40)] + [(1, "vile vile")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(40)] + [(0, 0), (2, None), (None, 1)] + [(3, 0)] * 50, "doc_id long, toxic int")
+    model = toxicity.train_severity_model(docs, labels)
+    again = toxicity.train_severity_model(docs, labels.distinct())
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.thresholds, again.thresholds)
+    clash = docs.withColumns({"severity": F.lit("mine"), "h": F.lit(1), "row": F.lit(2)})
+    out = toxicity.score_severity(clash, model)
+    assert set(out.columns) == {"doc_id", "text", "h", "row", "severity", "grade", "toxic"} and out.count() == docs.count()
+    assert toxicity.score_severity(docs.limit(0), model).count() == 0
+
+
 def plain_crc(data):
     r = 0
     for x in data:
@@ -253,6 +346,17 @@ def test_ogg(spark, odd):
     assert ogg.checksum(raw[:999]) == plain_crc(raw[:999])
     media = ogg.multiplex(raw)
     assert ogg.describe(media)[0] == raw and "errors=0" in ogg.describe(media)[1]
+    for frame, n, streams in ((288, 301, 2), (1152, 301, 2), (1152, 40, 2), (100, 7, 3), (600, 65, 1)):
+        some = raw[: 100 + frame * n % 5000] + bytes(frame * n - 100)
+        assert ogg.describe(ogg.multiplex(some, frame=frame, streams=streams))[0] == some
+        assert "errors=0" in ogg.describe(ogg.multiplex(some, frame=frame, streams=streams))[1]
+    # A lost page takes its packets with it; all others keep their timestamps.
+    long_signal = bytes(rng.randrange(256) for _ in range(288 * 400))
+    whole = ogg.multiplex(long_signal, frame=288)
+    at = [m.start() for m in re.finditer(b"OggS", whole)]
+    times = [{(n, t, end): p for t, n, end, p in ogg.timeline(ogg.demultiplex(x)[0])} for x in (whole, whole[: at[3]] + whole[at[4] :])]
+    assert len(times[0]) == 400 and len(times[1]) == 336 and times[1].items() <= times[0].items()
+    assert min(times[0])[1:] == (0.0, 288 / ogg.RATE)
     broken = bytearray(media)
     broken[len(media) // 2] ^= 1
     assert "errors=0" not in ogg.describe(bytes(broken))[1]
@@ -334,7 +438,7 @@ def test_spotsigs(spark, odd):
         w = re.findall(r"[^\W_]+", t.lower())
         content = [i for i, x in enumerate(w) if x not in anchors]
         found = {f"{w[i]} {w[j]}" for i, j in zip(content, content[1:]) if i and w[i - 1] in anchors}
-        return found or ({"=" + " ".join(w)} if w else set())
+        return {hashlib.md5(x.encode()).hexdigest()[:12] for x in found or ({"=" + " ".join(w)} if w else set())}
 
     for k, (doc, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
@@ -344,22 +448,107 @@ def test_spotsigs(spark, odd):
         like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
         r = got[doc]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint.split(":")[0] == str(len(a))
-        for mine, x, y in ((r.near_edited, a, b), (r.near_next, a, c)):
-            assert mine == pytest.approx(like(x, y), abs=1e-8) or (mine == 0 and min(len(x), len(y)) < 0.05 * max(len(x), len(y)))
+        of = lambda x: {x[i : i + 12] for i in range(0, len(x), 12)}
+        assert (r.fingerprint, r.edited_fingerprint) == ("".join(sorted(a)), "".join(sorted(b)))
+        assert r.near_edited == pytest.approx(like(of(r.fingerprint), of(r.edited_fingerprint)), abs=1e-8)
+        assert r.near_next == pytest.approx(like(a, c), abs=1e-8)
     assert spotsigs.edited_fingerprints(odd.limit(0)).count() == 0 and spotsigs.edited_fingerprints(odd).count() == odd.count()
     assert "Python" not in spotsigs.edited_fingerprints(odd)._jdf.queryExecution().toString()
 
 
+def test_likeness_of_sets_of_unlike_lengths(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", *[f"x{i}" for i in range(59)]]), ([], []), (["a"], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(spotsigs.likeness(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 61), 1.0, 0.0]
+
+
+def test_alike_fingerprints_by_partition(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"the {rng.choice(WORDS)}{rng.randrange(99)} {rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(60)]
+        for k in range(10):
+            texts.append(" ".join(x for x in base if rng.random() > 0.01 * k))
+    rows = [*enumerate(texts), (500, texts[0]), (501, None), (502, "!"), (None, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for r in df.where("doc_id is not null").select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).orderBy("doc_id").collect():
+        if r.s:
+            sets.setdefault(frozenset(r.s), r.doc_id)
+    want = {(min(i, j), max(i, j)) for x, i in sets.items() for y, j in sets.items() if i < j and len(x & y) >= 0.8 * len(x | y)}
+    found = spotsigs.alike_pairs(df)
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 20
+    assert "Python" not in found._jdf.queryExecution().toString() and spotsigs.alike_pairs(df.limit(0)).count() == 0
+
+
+CALLS = "call_id string, tool string, arguments string, parents array<string>"
+
+
 def test_tool_calls(spark):
-    calls = [("a", "search", '{"query":"x","limit":3}', None), ("b", "search", '{ "limit" : 0, "query":"y" }', "a"), ("c", "nope", "{}", "b"), ("d", "search", "bad", "zzz"), ("p", "search", None, "q"), ("q", "summarise", "[1]", "p"), (None, None, "{}", None)]
-    calls += [(f"k{i}", "search", '{"query":"k","limit":1,"exact":"no"}', f"k{i - 1}") for i in range(1, 40)]
-    got = {r.call_id: r for r in toolcalls.link_tool_calls(spark.createDataFrame(calls, "call_id string, tool string, arguments string, parent_id string"), spark.createDataFrame([("a", "r1"), ("a", "r0"), ("z", "x"), (None, "n")], "call_id string, content string"), toolcalls.TOOLS).collect()}
-    assert len(got) == len(calls)
+    calls = [("a", "search", '{"query":"x","limit":3}', None), ("b", "search", '{ "limit" : 0, "query":"y" }', ["a"]), ("c", "nope", "{}", ["b", "b", None]), ("d", "search", "bad", ["zzz"]), ("p", "search", None, ["q"]), ("q", "summarise", "[1]", ["p"]), (None, None, "{}", None)]
+    calls += [(f"k{i}", "search", '{"query":"k","limit":1,"exact":"no"}', [f"k{i - 1}"]) for i in range(1, 40)]
+    calls += [("a", "search", '{"query":"again","limit":1}', []), ("below", "search", "{}", ["p", "a"])]
+    odd = spark.createDataFrame(calls, CALLS).withColumns({"level": F.lit(1), "up": F.lit(2), "content": F.lit(3)})
+    got = toolcalls.link_tool_calls(odd, spark.createDataFrame([("a", "r1"), ("a", "r0"), ("z", "x"), (None, "n")], "call_id string, content string"), toolcalls.TOOLS).collect()
+    assert len(got) == len(calls) and sum(r.call_id == "a" for r in got) == 2
+    got = {r.call_id: r for r in got if "again" not in r.canonical}
     assert json.loads(got["a"].canonical) == {"arguments": {"limit": 3, "query": "x"}, "id": "a", "result": "r0", "tool": "search"} and got["a"].n_results == 2 and got["a"].status == "linked"
-    assert (got["b"].level, got["b"].errors) == (1, "limit: below 1") and got["c"].errors == "no such tool: nope" and got["d"].errors == "not JSON" and got["d"].level == 0
-    assert got["p"].cyclic and got["q"].cyclic and got["p"].level is None and got["q"].errors == "not an object"
-    assert got["k39"].level == 38 and got["k5"].errors == "exact: not boolean"
+    assert (got["b"].level, got["b"].errors) == (1, "limit: below 1") and got["c"].errors == "no such tool: nope" and got["c"].level == 2 and got["d"].errors == "not JSON" and got["d"].level == 0
+    assert got["p"].cyclic and got["q"].cyclic and got["p"].level is None and got["q"].errors == "not an object" and got["below"].cyclic and got["below"].level is None
+    assert got["k39"].level == 38 and got["k5"].errors == "exact: not boolean" and got[None].level is None and not got[None].cyclic
+    none = spark.createDataFrame([], CALLS)
+    assert toolcalls.link_tool_calls(none, none.select("call_id", F.col("tool").alias("content")), toolcalls.TOOLS).count() == 0
+
+
+def test_levels_of_graphs_against_brute_force(spark):
+    rng = random.Random(17)
+    calls = {f"c{i}": {f"c{rng.randrange(i)}" for _ in range(rng.randrange(4))} if i else set() for i in range(120)}
+    calls |= {f"h{i}": {"c0"} for i in range(60)}  # one call that very many use
+    calls |= {"x": {"y", "c3"}, "y": {"z"}, "z": {"x"}, "under": {"x", "c1"}}
+    levels = {}
+
+    def level(c, way=()):
+        if c in way:
+            return None
+        if c not in levels:
+            above = [level(p, (*way, c)) for p in calls[c]]
+            levels[c] = None if None in above else max(above, default=-1) + 1
+        return levels[c]
+
+    for c in calls:
+        if c not in ("x", "y", "z", "under"):
+            level(c)
+    rows = [(c, None, None, sorted(p)) for c, p in calls.items()]
+    got = {r.call_id: (r.level, r.cyclic) for r in toolcalls.call_levels(spark.createDataFrame(rows, CALLS)).collect()}
+    assert got == {c: (levels.get(c), c not in levels) for c in calls}
+
+
+def test_canonical_json(spark):
+    digits = "12345678901234567890123456789012345678901234567890"
+    cases = {
+        '{"b": 1e2, "a": 100.0}': '{"a":100,"b":100}', "[2.0, -0, 0.10, 1E-7, 0.000001]": "[2,0,0.1,1e-7,0.000001]", digits: f"1.234567890123456789012345678901234567890123456789e+49", "1e400": "1e+400", '{"a":1,"a":2}': None, "01": None, "1.": None, "nope": None, "": None,
+        '{"n1": "n2", "s": "a \\"1\\" \\\\", "t": [true, null, "x 5, 6"]}': '{"n1":"n2","s":"a \\"1\\" \\\\","t":[true,null,"x 5, 6"]}', "123456789012345678901": "123456789012345678901", "-12.50e1": "-125", '"é\\u0041"': '"éA"',
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.c for r in df.select("t", toolcalls.canonical_json(F.col("t")).alias("c")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_schemas(spark):
+    schema = {
+        "type": "object", "required": ["who", "tags"], "additionalProperties": False,
+        "properties": {
+            "who": {"type": "object", "properties": {"name": {"type": "string", "pattern": "^[a-z]+$", "maxLength": 5}, "age": {"type": "integer", "minimum": 0, "maximum": 150}}, "required": ["name"]},
+            "tags": {"type": "array", "items": {"type": "string", "enum": ["x", "y"]}, "minItems": 1}, "mode": {"enum": ["on", 1, None, True]}, "size": {"type": ["number", "null"]},
+        },
+    }
+    cases = {
+        '{"who":{"name":"bob","age":3},"tags":["x","y"],"mode":1,"size":2.5}': "", '{"who":{"name":"bob","age":30000000000000000000000},"tags":["x"],"mode":"on"}': "who.age: above 150",
+        '{"who":{"age":-1.5},"tags":[]}': "tags: fewer than 1; who.age: not integer; who.name: missing", '{"who":{"name":"Bob Bobson","age":1e1},"tags":["x","z",3]}': "tags[]: none of its values; tags[]: not string; who.name: longer than 5; who.name: not like its pattern",
+        '{"who":[],"tags":"x","more":1,"mode":false,"size":"2"}': "mode: none of its values; more: unknown; size: not number or null; tags: not array; who: not object", "{}": "tags: missing; who: missing", "[]": "not an object", "{": "not JSON",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.e for r in df.select("t", F.array_join(toolcalls.argument_errors(F.lit("f"), F.col("t"), {"f": schema}), "; ").alias("e")).collect()}
+    assert got == cases
 
 
 def test_fixity(spark):
@@ -375,8 +564,17 @@ def test_fixity(spark):
     while len(level) > 1:
         level = [hashlib.sha256("".join(level[i : i + 4]).encode()).hexdigest() for i in range(0, len(level), 4)]
     assert a[-1].first().digest == level[0]
-    empty = warc_fixity.merkle_tree(spark.createDataFrame([], "key long, record string"))
+    empty = warc_fixity.merkle_tree(spark.createDataFrame([], "key long, record string"), 4)
     assert len(empty) == 1 and empty[0].count() == 0
+    # Trees of unequal height: the records that one replica lacks, and no equal node.
+    few = warc_fixity.merkle_tree(spark.createDataFrame(rows[:18], "key long, record string"), 4)
+    assert len(few) < len(a)
+    for found in (warc_fixity.audit(a, few, 4), warc_fixity.audit(few, a, 4)):
+        assert {r.node for r in found.where("level = 0").collect()} == set(range(18, 300)) and found.where("digest = replica_digest").count() == 0
+    assert {r.node for r in warc_fixity.audit(a, empty, 4).where("level = 0 and replica_digest is null").collect()} == set(range(300))
+    odd = spark.createDataFrame([(None, "x"), (None, None), (5, "b"), (5, "a"), (5, "a")], "key long, record string").withColumns({"node": F.lit(1), "bucket": F.lit(2)})
+    sizes = {(r.node, r.key, r.begin, r.end) for r in warc_fixity.merkle_tree(odd)[0].collect()}
+    assert {n for n, *_ in sizes} == set(range(5)) and max(e for *_, e in sizes) == 4 and sum(k is None for _, k, *_ in sizes) == 2
 
 
 def test_pipeline_stages(spark, odd):
