@@ -11,9 +11,10 @@ that some other text has, beside the whole weight.
 
 Improved consistent weighted sampling draws, for each of ``bands * rows`` functions, one (shingle, level) of the set such that
 two sets draw the same with a probability equal to their weighted Jaccard similarity.  Equal texts are one node.  Nodes that
-share a band meet in a bucket: each is checked against the bucket's leader.  All texts of the buckets that this leaves in several
-components then go through an exact join by prefixes (see _unmet), so that no link between components is lost, and pairs that
-cannot be similar enough are not made.
+share a band meet in a bucket: each is checked against the bucket's leader, the text that has the largest share of its weight in
+common with others (of a text and its variants, the text itself).  All texts of the buckets that this leaves in several components
+then go through an exact join by prefixes (see _unmet), so that no link between components is lost, and pairs that cannot be
+similar enough are not made.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, forget, saved, table
+from .common import batches, forget, join_spread, saved, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
@@ -39,7 +40,7 @@ CLASSES = 2
 #: Rows handled at once; a shingle's hash is cut to 48 bits below the number of its text.
 _TEXTS = 1 << 15
 
-_NODES = "node binary, weight double, buckets array<bigint>, shingles binary, counts binary, dfs binary"
+_NODES = "node binary, weight double, share double, buckets array<bigint>, shingles binary, counts binary, dfs binary"
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +178,7 @@ def _weighed(total: int, similarity: float, bands: int, rows: int, size: int):
         known, known_df = known[order], known_df[order]
         data, off = K.utf8(texts.column("text"))
         copies, nodes = texts.column("copies").to_numpy(), texts.column("node").combine_chunks()
-        out: dict[str, list] = {n: [] for n in ("at", "weight", "buckets", "shingles", "counts", "dfs")}
+        out: dict[str, list] = {n: [] for n in ("at", "weight", "share", "buckets", "shingles", "counts", "dfs")}
         for i, j in parts(off) if len(known) else ():
             text, shingle, count = bags(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
             if not len(text):
@@ -202,6 +203,7 @@ def _weighed(total: int, similarity: float, bands: int, rows: int, size: int):
             own = text[first]
             out["at"] += (own + i).tolist()
             out["weight"] += whole[own].tolist()
+            out["share"] += (part[own] / whole[own]).tolist()
             out["buckets"] += list(buckets.view(np.int64))
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(text)], strict=True):
                 some = np.flatnonzero(shared[a:b]) + a
@@ -211,7 +213,7 @@ def _weighed(total: int, similarity: float, bands: int, rows: int, size: int):
         return pa.table(
             {
                 "node": nodes.take(pa.array(out["at"], pa.int64())),
-                "weight": pa.array(out["weight"], pa.float64()),
+                **{n: pa.array(out[n], pa.float64()) for n in ("weight", "share")},
                 "buckets": pa.array(out["buckets"], pa.list_(pa.int64())),
                 **{n: pa.array(out[n], pa.binary()) for n in ("shingles", "counts", "dfs")},
             }
@@ -284,7 +286,7 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _prefixes(total: int, similarity: float):
-    """(node, component, apart, key, side) for the shingles by which a text has to meet a similar one (see _unmet)."""
+    """(node, component, apart, key, side, weight, rest) for the shingles by which a text has to meet a similar one (see _unmet)."""
     step = -np.log(similarity - 1e-6) / CLASSES
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -296,22 +298,28 @@ def _prefixes(total: int, similarity: float):
         before = np.cumsum(weight) - weight
         rest = shared[text] - before + before[np.searchsorted(text, text)]
         grade = np.floor(np.log(whole) / step)
-        at, keys, sides = [], [], []
+        places, keys, sides = [], [], []
         for d in range(-CLASSES, CLASSES + 1):
             other = np.exp((grade + d) * step)  # the least weight of the class
             need = np.maximum(similarity * np.maximum(whole, other), similarity / (1 + similarity) * (whole + other))
             on = np.flatnonzero(rest >= need[text] * (1 - 1e-6))
             low = (grade[text[on]] + min(d, 0)).astype(np.int64).view(U64)
             keys.append(K.mix(K.mix(shingle[on]) + low * U64(0x9E3779B97F4A7C15) + U64(abs(d))))
-            at.append(text[on])
+            places.append(on)
             sides.append(np.full(len(on), np.sign(d), np.int32))
-        rows = pa.array(np.concatenate(at))
-        columns = [part.column(k).take(rows) for k in (0, 1, 2)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sides))], names=["node", "component", "apart", "key", "side"])
+        at = np.concatenate(places)
+        rows = pa.array(text[at])
+        columns = [*[part.column(k).take(rows) for k in (0, 1, 2)], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sides)), pa.array(whole[text[at]]), pa.array(rest[at])]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "component", "apart", "key", "side", "weight", "rest"])
 
     return kernel
 
 
+def _near(similarity: float) -> Column:
+    """Texts of too unequal weights (weight and most) are not similar."""
+    return F.least("weight", "most") >= (similarity - 1e-9) * F.greatest("weight", "most")
+
+
 def _unmet(members: DataFrame, component: DataFrame, nodes: DataFrame, total: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of the texts of buckets that hold several components, such that no link between components is lost.
 
@@ -319,18 +327,20 @@ def _unmet(members: DataFrame, component: DataFrame, nodes: DataFrame, total: in
     the shingles of all sets in one order, what they share begins at one shingle, behind which both still hold that much weight.
     So each text names the shingles behind which enough is left for a partner of weight class j, and both meet by (classes,
     shingle).  The order is by document frequency: any order is exact, and rare shingles first make few meet.  Shingles of one
-    text alone come before all others and are never named.
+    text alone come before all others and are never named.  Of two texts that meet at a shingle, what they still have there and
+    their weights must allow the similarity.
     """
     owner = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = owner.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     mixed = owner.join(largest, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("apart"))
     asked = nodes.join(mixed, "node").select("node", "component", "apart", "weight", "shingles", "counts", "dfs")
-    named = saved(asked.mapInArrow(batches(_prefixes(total, similarity), 1000), "node binary, component binary, apart boolean, key long, side int"), "prefixes")
+    named = saved(asked.mapInArrow(batches(_prefixes(total, similarity), 1000), "node binary, component binary, apart boolean, key long, side int, weight double, rest double"), "prefixes")
     shared = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max("apart").alias("some")).where("first <> last and some").select("key")
     rows = named.join(shared, "key")
-    asking = rows.where("apart").select("key", F.col("node").alias("x"), F.col("component").alias("of"), F.col("side").alias("facing"))
-    facing = rows.join(asking, "key").where("side = -facing and component <> of and (not apart or node < x)")
+    asking = rows.where("apart").select("key", F.col("node").alias("x"), F.col("component").alias("of"), F.col("side").alias("facing"), F.col("weight").alias("most"), F.col("rest").alias("left"))
+    enough = F.least("rest", "left") >= similarity / (1 + similarity) * (F.col("weight") + F.col("most")) * (1 - 1e-6)
+    facing = rows.join(asking, "key").where("side = -facing and component <> of and (not apart or node < x)").where(enough & _near(similarity))
     pairs = saved(_ordered(facing, "node", "x"), "pairs")
     forget(named)
     return pairs
@@ -349,16 +359,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     total, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     nodes = saved(weighed_texts(keyed.where("node is not null"), total, volume, similarity, size, bands, rows), "nodes")
 
-    drawn = nodes.select("node", "weight", F.explode("buckets").alias("bucket"))
+    drawn = nodes.select("node", "weight", "share", F.explode("buckets").alias("bucket"))
     shared = drawn.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = saved(drawn.join(shared, "bucket"), "met")
-    # A bucket is led by the node that meets most others in all its buckets: the original, where the rest are its variants.
-    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    members = saved(met.join(degree, "node").select("bucket", "node", "weight", "degree"), "members")
-    lead = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "weight")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"), F.col("lead.weight").alias("most"))
-    # Texts of too unequal weights are not similar.
-    near = F.least("weight", "most") >= (similarity - 1e-9) * F.greatest("weight", "most")
-    tried = saved(_ordered(members.join(lead, "bucket").where(near & (F.col("node") != F.col("leader"))), "node", "leader"), "pairs")
+    members = saved(drawn.join(shared, "bucket").select("bucket", "node", "weight", "share"), "members")
+    lead = members.groupBy("bucket").agg(F.max(F.struct("share", "node", "weight")).alias("lead")).select("bucket", F.col("lead.node").alias("leader"), F.col("lead.weight").alias("most"))
+    tried = saved(_ordered(members.join(lead, "bucket").where(_near(similarity) & (F.col("node") != F.col("leader"))), "node", "leader"), "pairs")
     links = saved(_verified(tried, nodes, total, similarity).select("a", "b"), "verified")
     component = saved(connected_components(links), "components")
 
@@ -367,13 +372,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     if not more.isEmpty():
         first, component = component, saved(connected_components(links.union(more)), "components")
         forget(first)
-    for done in (nodes, met, members, tried, links, rest, more):
+    for done in (nodes, members, tried, links, rest, more):
         forget(done)
 
-    classes = keyed.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("class"))
-    named = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    alone = classes.where("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("string").alias("text_id"))
-    return classes.where("class is not null").join(named, "class").select("doc_id", "class_id", "class_size", F.lower(F.hex("node")).alias("text_id")).unionByName(alone)
+    # Classes of nodes first, one row each; then those of documents, of which very many may have one node.
+    rows = saved(keyed.select("doc_id", "node"), "rows")
+    each = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    each = saved(each.join(component, "node", "left").select("node", "least", "n", F.coalesce("component", "node").alias("class")), "classes")
+    named = each.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    of_node = saved(join_spread(each, named, "class").select("node", "class_id", "class_size"), "classes")
+    out = join_spread(rows, of_node, "node")
+    words = F.col("node").isNotNull()
+    return out.select("doc_id", F.when(words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.lower(F.hex("node")).alias("text_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
