@@ -188,21 +188,22 @@ def train_language_model(docs: DataFrame, learn: Column, per_language: int = PER
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.coalesce(*[F.when(F.col("lang") == name, min(1.0, per_language / n)) for name, n in sizes.items()])
     chosen = rows.where(place < share).select("lang", "text", F.xxhash64("doc_id", F.lit("fold")).alias("h"))
-    sample = sorted((r["h"], r["lang"], bytes(r["counts"])) for r in chosen.mapInArrow(batches(_counted(orders, bits)), "lang string, counts binary, h long").collect())
-    languages = sorted({lang for _, lang, _ in sample})
+    sample = chosen.mapInArrow(batches(_counted(orders, bits)), "lang string, counts binary, h long").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("counts", "ascending")])
+    languages = sorted(set(sample.column("lang").to_pylist()))
     values, y, calibrate = [], [], []
-    for h, lang, packed in sample:
-        at, count = np.frombuffer(packed, np.int32).reshape(2, -1)
+    for h, lang, packed in zip(*(sample.column(c) for c in ("h", "lang", "counts")), strict=True):
+        at, count = np.frombuffer(packed.as_py(), np.int32).reshape(2, -1)
         if len(at):
-            at = np.append(at, 1 << bits)  # the last feature is the bias
-            values.append((at, np.append(count * idf[at[:-1]] / count.sum() * SCALE, 1.0)))
-            y.append(languages.index(lang))
-            calibrate.append(h % 5 == 0)
+            value = count * idf[at] / count.sum() * SCALE
+            # The last feature is the bias.
+            values.append((np.append(at, np.int32(1 << bits)), np.append(value.astype(np.float32), np.float32(1))))
+            y.append(languages.index(lang.as_py()))
+            calibrate.append(h.as_py() % 5 == 0)
     y, calibrate = np.array(y, int), np.array(calibrate, bool)
-    fit = [v for v, c in zip(values, calibrate, strict=True) if not c]
-    weights = fit_multinomial(Rows.of(fit), y[~calibrate], (1 << bits) + 1, len(languages))
-    kept = [v for v, c in zip(values, calibrate, strict=True) if c]
-    scores = np.array([value @ weights[at] for at, value in kept]).reshape(-1, len(languages))
+    fit, kept = (Rows.of([v for v, c in zip(values, calibrate, strict=True) if c == wanted]) for wanted in (False, True))
+    del sample, values
+    weights = fit_multinomial(fit, y[~calibrate], (1 << bits) + 1, len(languages))
+    scores = np.array([value @ weights[at] for at, value in map(kept.row, range(len(kept)))]).reshape(-1, len(languages))
     t = fit_temperature(scores, y[calibrate])
     return LanguageModel(languages, (weights[:-1] * idf[:, None] * SCALE / t).T.copy(), weights[-1] / t, orders, bits)
 

@@ -28,8 +28,9 @@ class Rows:
     @staticmethod
     def of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         first = np.concatenate([[0], np.cumsum([len(a) for a, _ in rows])]).astype(np.int64)
-        empty = np.zeros(0)
-        return Rows(first, np.concatenate([empty.astype(np.int32), *[a for a, _ in rows]]), np.concatenate([empty, *[v for _, v in rows]]))
+        if not rows:
+            return Rows(first, np.zeros(0, np.int32), np.zeros(0, np.float32))
+        return Rows(first, np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]))
 
     @staticmethod
     def packed(column: pa.Array | pa.ChunkedArray) -> Rows:

@@ -587,3 +587,154 @@ def test_pipeline_stages(spark, odd):
     kept = corpus_pipeline.known_language(spark, docs, SF)
     assert {20, 21, 22, 23}.isdisjoint({r.doc_id for r in kept.where("source = 's'").select("doc_id").collect()})
     assert corpus_pipeline.STAGES[-1][1](spark, kept, SF).count() >= kept.count()
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_language(model, t):
+    """Language and probability, n-gram by n-gram."""
+    if t is None or not re.search(r"[^\W\d_]", t):
+        return "und", 0.0
+    points, score, total = [ord(c) + 1 for c in t.lower()], np.zeros(len(model.languages)), 0
+    for n in model.orders:
+        for i in range(len(points) - n + 1):
+            h = (n + sum(points[i + k] * int(language_id._FACTORS[k]) for k in range(n))) & M64
+            score += model.weights[:, plain_mix(h) >> (64 - model.bits)]
+            total += 1
+    score = score / max(total, 1) + model.bias
+    p = np.exp(score - score.max())
+    return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def plain_toxic(model, t):
+    """P(grade > 0) of a text, word by word."""
+    features = set()
+    for w in re.findall(rb"(?:[A-Za-z]|[\x80-\xff])+", (t or "").lower().encode()):
+        for n in (0, *model.prefixes):
+            part = w[:n] if n else w
+            if not n or len(w) > n:
+                h = plain_mix((sum((b + 1) * pow(textkernel._BASE, i, 1 << 64) for i, b in enumerate(part)) + len(part)) & M64)
+                features.add(plain_mix((h + n) & M64) >> (64 - model.bits))
+    return 1 / (1 + np.exp(model.thresholds[0] - sum(model.weights[f] for f in features)))
+
+
+def plain_windows(texts, window=35):
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in texts.items()}
+    starts = Counter(tuple(w[i : i + window]) for w in words.values() for i in range(len(w) - window + 1))
+    out = {}
+    for k, w in words.items():
+        gone = {p for i in range(len(w) - window + 1) if starts[tuple(w[i : i + window])] > 1 for p in range(i, i + window)}
+        out[k] = " ".join(x for p, x in enumerate(w) if p not in gone)
+    return out
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, odd, tmp_path_factory):
+    folder = f"file://{tmp_path_factory.mktemp('corpus')}"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd.withColumn("doc_id", F.col("doc_id") + 5000))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_against_plain_python(spark, small_corpus):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{small_corpus}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = language_id.train_language_model(docs.select("doc_id", "text", "lang"), ~language_id.held_out(F.col("doc_id")))
+    told = [plain_language(model, t) for _, t in rows]
+    kept = [r for r, (lang, p) in zip(rows, told, strict=True) if lang != "und" and p >= corpus_pipeline.LEAST_SCORE]
+    assert 100 < len(kept) < len(rows)
+    first = corpus_pipeline.known_language(spark, docs, small_corpus)
+    assert Counter((r.doc_id, r.text) for r in first.collect()) == Counter(kept)
+
+    severity = toxicity.train_severity_model(first.select("doc_id", "text"), spark.read.parquet(f"{small_corpus}/labels.parquet"))
+    clean = [(d, t) for d, t in kept if plain_toxic(severity, t) < 0.5]
+    second = corpus_pipeline.not_toxic(spark, first, small_corpus)
+    assert len(clean) < len(kept) and Counter((r.doc_id, r.text) for r in second.collect()) == Counter(clean)
+
+    texts = {k: t for k, (_, t) in enumerate(clean)}
+    classes = components_by_brute_force(list(texts), links_by_brute_force(texts))
+    least = {}
+    for k, c in classes.items():
+        d = clean[k][0]
+        if c not in least or (d is not None, d) < (clean[least[c]][0] is not None, clean[least[c]][0]):
+            least[c] = k
+    of_class = {}
+    for k, c in classes.items():
+        of_class.setdefault(c, []).append(clean[k])
+    want = {c: min(d for d, _ in m if d is not None) if any(d is not None for d, _ in m) else None for c, m in of_class.items()}
+    third = corpus_pipeline.one_of_each(spark, second, small_corpus)
+    single = [(r.doc_id, r.text) for r in third.collect()]
+    assert len(single) < len(clean) and Counter(d for d, _ in single) == Counter(want.values()) and set(single) <= set(clean)
+
+    passages = plain_windows({d: t for d, t in single})
+    fourth = corpus_pipeline.without_repeats(spark, third, small_corpus)
+    got = {r.doc_id: (r.text, r.n_chars) for r in fourth.collect()}
+    assert got == {d: (t, len(t)) for d, t in passages.items()}
+
+    encode = Tokenizer.from_file(packing.vocabulary())
+    ids = {d: [*encode.encode(t, add_special_tokens=False).ids, 2] for d, t in passages.items()}
+    out = corpus_pipeline.run(spark, small_corpus).collect()
+    pieces = {}
+    for r in out:
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    assert set(pieces) == set(ids)
+    for d, p in pieces.items():
+        assert sum(n for *_, n in p) == len(ids[d]) and [x for x, *_ in sorted(p)] == list(range(len(p))) and all(n == 1024 for _, _, n in sorted(p)[1:])
+    filled = Counter()
+    for r in out:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024
+
+
+def test_pipeline_of_empty_tables_and_of_nothing_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, "en", "s", 0), (2, "12 !", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", docs.limit(0)), ("dropped", docs)):
+        rows.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}")
+        assert out.count() == 0 and "sequence_id" in out.columns
+
+
+def test_encoder_equals_tokenizers():
+    from tokenizers import Tokenizer
+
+    theirs, mine = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    assert mine.fast is not None
+    rng = random.Random(4)
+    alphabets = ["ab c\n\t'", "é ü1 2.", "한국 日本", "\u00a0\u2003\u200b x", "😀👍🏽\u200d", "".join(map(chr, range(32, 127)))]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(40))) for a in alphabets for _ in range(300)]
+    texts += ["".join(chr(rng.choice([*range(1, 0xD800), *range(0xE000, 0x20000)])) for _ in range(20)) for _ in range(500)] + ["<|endoftext|>", "a<|endoftext|>b", "'s 'll 'T", " " * 50]
+    for t, ids in zip(texts, mine(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+
+
+def test_empty_and_clashing_tables(spark, odd):
+    none = odd.limit(0)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train_language_model(docs, F.lit(True))
+    assert language_id.identify_languages(none, model).count() == 0
+    clash = odd.withColumns({"lang_pred": F.lit("mine"), "score": F.lit("mine"), "row": F.lit(1)})
+    out = language_id.identify_languages(clash, model)
+    assert dict(out.dtypes)["score"] == "double" and out.where("lang_pred = 'mine'").count() == 0 and out.count() == odd.count()
+    assert ogg.inspect_ogg(ogg.encode_ogg(none)).count() == 0
+    media = ogg.inspect_ogg(ogg.encode_ogg(odd.withColumns({"n_bytes": F.lit("x"), "media": F.lit("x"), "feature": F.lit("x"), "row": F.lit(1)})))
+    assert media.columns.count("feature") == 1 and media.where("feature = 'x'").count() == 0 and media.count() == odd.count()
+    assert sentencepiece.encode_pieces(none).count() == 0
+    packed, _ = packing.pack(packing.token_pieces(odd.select("doc_id", "text", F.lit(1).alias("sequence_id"), F.lit(2).alias("offset"), F.lit(3).alias("part"), F.lit(4).alias("size")), packing.vocabulary()).drop("ids"))
+    got = packed.collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(places) == len(got) and sum(r.doc_id is None for r in got) >= 1 and {"part", "size"} <= set(packed.columns)
