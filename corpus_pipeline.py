@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import language_id, near_dedup, packing, substring_dedup, toxicity
-from saltmarsh.llm.common import saved, table
+from saltmarsh.llm.common import forget, saved, table
 
 #: A document of which the best language is less likely than this is not in a language that the model knows.
 LEAST_SCORE = 0.5
@@ -26,7 +26,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
+    """One document of each group of near copies: that of the least doc_id, where any has one."""
     return near_dedup.keep_one_of_each(docs)
 
 
@@ -49,13 +49,16 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Classifiers and sampling have no SQL form; the stages are tested one by one against brute force.
+#: Classifiers and sampling have no SQL form; every stage, and run() with its sequences, is tested against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the table of documents, each one's rows written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
