@@ -162,3 +162,22 @@ def acoustic_snapshot(df: DataFrame, samples: str, rate: int, bins: int = 200) -
     """df with envelope, log_mel, f0 and ``truncated`` (longer than what the features cover)."""
     part = F.slice(samples, 1, FIRST_SECONDS * rate)
     return df.select("*", waveform_envelope(part, bins, rate).alias("envelope"), log_mel(rate)(part).alias("log_mel"), f0_track(rate)(part).alias("f0"), (F.size(samples) > FIRST_SECONDS * rate).alias("truncated"))
+
+
+def audio_probe(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """manifest (utterance_id, path, audio_sha256) with what its file (path, content) holds: format, level, offset and hash.
+
+    A missing file, or one that is no mono 16-bit WAV, has null measures; its hash tells which.
+    """
+    heads = wav_headers(files)
+    x = F.transform(decode_pcm16(F.col("content")), lambda v: v.cast("double"))
+    got = files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("file_size_bytes"), x.alias("x"))
+    total = F.aggregate("x", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("p"), F.lit(0).alias("k")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q"), F.greatest(a["p"], F.abs(v)).alias("p"), (a["k"] + (v != 0).cast("int")).alias("k")))
+    n = F.size("x")
+    some = lambda c: F.when(n > 0, F.round(c, 8))
+    measured = got.withColumn("t", total).select(
+        "path", "sha256", "file_size_bytes", F.when(n >= 0, n).alias("sample_count"), some(F.col("t.p")).alias("peak_amplitude"), some(F.sqrt(F.col("t.q") / n)).alias("rms_amplitude"),
+        some(F.col("t.s") / n).alias("dc_offset"), some(F.col("t.k") / n).alias("nonzero_sample_ratio"), F.coalesce((n > 0) & (F.col("t.p") > 0), F.lit(False)).alias("waveform_nonempty"),
+    )
+    both = manifest.join(measured, "path", "left").join(heads.select("path", "rate", "channels", "width", "frames", F.round("duration_ms", 3).alias("duration_ms")), "path", "left")
+    return both.withColumn("hash_matches_manifest", F.coalesce(F.col("sha256") == F.col("audio_sha256"), F.lit(False)))

@@ -98,13 +98,25 @@ def rtf(latency_ms: Column, duration_ms: Column) -> Column:
     return F.when(duration_ms > 0, latency_ms / duration_ms)
 
 
-def expression_matches(labels: Column, hypothesis: Column) -> Column:
-    """For each label (surface_form, normalized_forms): preserved, overcorrected or missing, and the form that was found.
+def with_expression_matches(cases: DataFrame, labels: str = "labels", hypothesis: str = "hypothesis") -> DataFrame:
+    """cases with ``matches``: for each label (surface_form, normalized_forms) preserved, overcorrected or missing, and the form found.
 
     Plain containment after NFC of the hypothesis; the surface form first, then the normalised forms in order.
     """
-    text = nfc(hypothesis)
+    out = cases.withColumn("_text", nfc(F.coalesce(hypothesis, F.lit(""))))
+    return out.withColumn("matches", _matches(F.col(labels), F.col("_text"))).drop("_text")
 
+
+def dialect_metric(matches: Column) -> Column:
+    """Of a case's matches: how many, each kind's share, and how many labels there are; without labels 1 and 0."""
+    n = F.size(matches)
+    count = lambda s: F.size(F.filter(matches, lambda m: m["match_status"] == s))
+    share = lambda k, empty: F.when(n > 0, k / n).otherwise(empty)
+    kept, lost = count("preserved"), count("overcorrected")
+    return F.struct(F.greatest(n, F.lit(0)).alias("expressions"), kept.alias("preserved"), lost.alias("overcorrected"), share(kept, 1.0).alias("preservation_rate"), share(lost, 0.0).alias("overcorrection_rate"))
+
+
+def _matches(labels: Column, text: Column) -> Column:
     def one(label: Column) -> Column:
         other = F.get(F.filter(label["normalized_forms"], lambda f: F.contains(text, f)), F.lit(0))
         kept = F.contains(text, label["surface_form"])

@@ -69,6 +69,21 @@ def split_label_terms(s: Column) -> Column:
     return F.when((F.size(quoted) > 0) & (rest == "") & s.isNotNull(), quoted).when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(bare))
 
 
+def expand_labels(labels: Column) -> Column:
+    """Labels (surface_form, normalized_forms) with quoted lists as labels of their own; ``problem`` where the counts differ.
+
+    Several surfaces take one normalised form each, in order; a single one keeps them all.
+    """
+    def one(label: Column) -> Column:
+        surfaces = split_label_terms(label["surface_form"])
+        forms = F.flatten(F.transform(F.coalesce(label["normalized_forms"], F.array().cast("array<string>")), split_label_terms))
+        many = (F.size(surfaces) > 1) & (F.size(forms) > 0)
+        wrong = many & (F.size(forms) != F.size(surfaces))
+        return F.transform(surfaces, lambda s, i: F.struct(s.alias("surface_form"), F.when(many & ~wrong, F.array(F.get(forms, i))).otherwise(forms).alias("normalized_forms"), F.when(wrong, "counts differ").alias("problem")))
+
+    return F.flatten(F.transform(labels, one))
+
+
 def safe_record_name(s: Column) -> Column:
     """Only letters, digits, dot, dash and underscore, at most 180; null where nothing is left."""
     name = F.left(F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", ""), F.lit(180))

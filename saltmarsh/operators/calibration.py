@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_cer, tokens_without_punct
+from .governance import coverage_check
+from .history import latest_by
 from .reports import ratio
 
+#: Fixed value: the revision of the profile without rules that stands in where no profile fits.
+NO_PROFILE = "live-observation-only"
+
 
 def first_form(hypothesis: Column, forms: Column) -> Column:
     """The first of some forms (array of structs with ``plain``, the form as normalised for error rates) in a hypothesis."""
@@ -96,3 +101,30 @@ def report_identity(report: DataFrame, experiment: DataFrame) -> DataFrame:
     n = report.groupBy("experiment_id").agg(F.count("*").alias("reports"))
     differ = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in fields]))
     return report.join(b, "experiment_id", "left").join(n, "experiment_id").select("experiment_id", "reports", F.array_join(differ, ",").alias("differs"))
+
+
+def matching_profile(experiments: DataFrame, profiles: DataFrame) -> DataFrame:
+    """experiments (experiment_id, benchmark_id, benchmark_version) with the latest profile of the same benchmark and version.
+
+    profiles: revision_id, benchmark_id, benchmark_version, created_at, rules.  Ties by revision id; without one the revision is
+    NO_PROFILE and rules are null.
+    """
+    keyed = profiles.withColumn("_key", F.struct("benchmark_id", "benchmark_version"))
+    last = latest_by(keyed, "_key", "created_at", "revision_id").select("benchmark_id", "benchmark_version", "revision_id", "rules")
+    return experiments.join(last, ["benchmark_id", "benchmark_version"], "left").withColumn("revision_id", F.coalesce("revision_id", F.lit(NO_PROFILE)))
+
+
+def recalibration_input(entries: DataFrame, predictions: DataFrame, cases: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations): entries with their prediction, source case and latest review, which must cover the same utterances.
+
+    entries: utterance_id and more; predictions: prediction_id, utterance_id, hypothesis; cases: utterance_id, cer; reviews: review_id,
+    prediction_id, utterance_id, verdict, confirmed_failure_types, created_at.  Violations: missing, unexpected and duplicate ids of
+    predictions and cases, predictions without a review, and reviews of another utterance.
+    """
+    latest = latest_by(reviews, "prediction_id", "created_at", "review_id").select("prediction_id", F.col("utterance_id").alias("_of"), "review_id", "verdict", "confirmed_failure_types")
+    found = [coverage_check(entries, df, "utterance_id").select(F.concat(F.lit(f"{name}_"), "rule").alias("rule"), "key") for name, df in (("prediction", predictions), ("case", cases))]
+    reviewed = predictions.join(latest, "prediction_id", "left")
+    found.append(reviewed.where("review_id is null").select(F.lit("review_missing").alias("rule"), F.col("utterance_id").cast("string").alias("key")))
+    found.append(reviewed.where("_of <> utterance_id").select(F.lit("review_of_another").alias("rule"), F.col("utterance_id").cast("string").alias("key")))
+    rows = entries.join(reviewed.where("review_id is not null").drop("_of"), "utterance_id").join(cases.select("utterance_id", F.col("cer").alias("source_cer")), "utterance_id")
+    return rows, found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

@@ -17,9 +17,23 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def stripped(df: DataFrame) -> DataFrame:
+    """df with the white space around its texts taken off."""
+    return df.select(*[F.regexp_replace(f.name, r"(?U)^\s+|\s+$", "").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def strict_fields(df: DataFrame, column: str, schema: T.StructType, key: str) -> DataFrame:
-    """Rows whose JSON text has fields that the schema doesn't name."""
-    unknown = F.array_except(F.json_object_keys(column), F.lit([f.name for f in schema.fields]))
+    """Rows whose JSON text has fields that the schema doesn't name; those of nested objects are told by their path."""
+
+    def unknown_in(text: Column, struct: T.StructType, path: str) -> list[Column]:
+        own = F.transform(F.array_except(F.json_object_keys(text), F.lit([f.name for f in struct.fields])), lambda k: F.concat(F.lit(path), k))
+        found = [F.coalesce(own, F.array().cast("array<string>"))]
+        for f in struct.fields:
+            if isinstance(f.dataType, T.StructType):
+                found += unknown_in(F.get_json_object(text, f"$.{f.name}"), f.dataType, f"{path}{f.name}.")
+        return found
+
+    unknown = F.concat(*unknown_in(F.col(column), schema, ""))
     return df.select(F.lit("unknown_fields").alias("rule"), F.col(key).cast("string").alias("key"), F.array_join(unknown, ",").alias("detail")).where("detail <> ''")
 
 
@@ -76,10 +90,14 @@ def training_entry_contract(entries: DataFrame) -> DataFrame:
     })
 
 
-def manifest_shape(entries: DataFrame, expected: int) -> DataFrame:
-    """Violations of a manifest's shape: count, unique ids and paths."""
-    n = entries.agg(F.count("*").alias("n"), F.countDistinct("utterance_id").alias("ids"), F.countDistinct("audio_path").alias("paths"))
-    return violations(n.withColumn("manifest", F.lit("manifest")), "manifest", {"count": F.col("n") != expected, "ids_repeat": F.col("ids") < F.col("n"), "paths_repeat": F.col("paths") < F.col("n")})
+def manifest_shape(entries: DataFrame, expected: int, benchmark: tuple[str, str] | None = None) -> DataFrame:
+    """Violations of a manifest's shape: count, unique ids and paths; with ``benchmark`` (id, version) also these, and frozen."""
+    n = [F.count("*").alias("n"), F.countDistinct("utterance_id").alias("ids"), F.countDistinct("audio_path").alias("paths")]
+    rules = {"count": F.col("n") != expected, "ids_repeat": F.col("ids") < F.col("n"), "paths_repeat": F.col("paths") < F.col("n")}
+    if benchmark is not None:
+        n += [F.count_if(~F.coalesce("frozen", F.lit(False))).alias("thawed"), F.count_if(~(F.col("benchmark_id").eqNullSafe(F.lit(benchmark[0])) & F.col("benchmark_version").eqNullSafe(F.lit(benchmark[1])))).alias("others")]
+        rules |= {"not_frozen": F.col("thawed") > 0, "other_benchmark": F.col("others") > 0}
+    return violations(entries.agg(*n).withColumn("manifest", F.lit("manifest")), "manifest", rules)
 
 
 def heldout_contract(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -88,6 +106,11 @@ def heldout_contract(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     })
 
 
+def inference_view(entries: DataFrame) -> DataFrame:
+    """Held-out entries as inference may see them: without the reference texts."""
+    return entries.drop("surface_text", "normalized_meaning", "dialect_expressions")
+
+
 def prediction_metadata(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     """Rows whose model fields differ from the expected ones (null is a difference), or that claim confidence."""
     rules = {f"model_{k}": ~F.col(f"model.{k}").eqNullSafe(F.lit(v)) for k, v in expected.items()}
@@ -119,4 +142,4 @@ def review_decisions(decisions: DataFrame, current: DataFrame, frozen: DataFrame
     both = decisions.join(known, "utterance_id", "left").join(locked, "utterance_id", "left")
     same = (F.col("was") == F.col("status")) & F.coalesce("surface_text", "old").eqNullSafe(F.col("old"))
     outcome = F.when(F.col("was").isNull(), "unknown").when(F.col("locked"), "frozen").when(~F.col("status").isin("human_reviewed", "approved", "rejected"), "bad status").when(same, "unchanged").otherwise("accepted")
-    return both.select("utterance_id", "status", outcome.alias("outcome"))
+    return both.select("utterance_id", "status", F.col("surface_text").alias("new_text"), outcome.alias("outcome"))

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import surface_key
+from ..functions.text import normalize_for_cer, surface_key
+from .contracts import safe_relative_path
 
 
 def _violation(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFrame:
@@ -91,6 +92,72 @@ def exclusion_check(entries: DataFrame, exclusions: DataFrame, kinds: dict[str,
     return _all(found)
 
 
+def evaluation_set_check(entries: DataFrame, exclusions: DataFrame, least_utterances: float, least_speakers: float, needs_expressions: bool = False, headers: DataFrame | None = None, by: str = "dataset_id") -> DataFrame:
+    """(``by``, rule, key, level) of what is wrong with held-out sets, many at once: sizes, overlaps with exclusions, files.
+
+    entries: ``by``, utterance_id, speaker_id, source_recording_id, audio_sha256, audio_lineage (array), surface_text,
+    dialect_expressions (array), audio_filepath.  exclusions: kind (speaker, utterance, recording, audio, surface) and value, surfaces
+    as normalised for error rates.  headers (path, sha256, rate, channels, width, frames, error) tell of the audio files, if given.
+    The same transcript is a warning, everything else an error; each finding appears once.
+    """
+    def found(df: DataFrame, rule: str, key: Column, level: str = "error") -> DataFrame:
+        return df.select(by, F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(level).alias("level"))
+
+    sizes = entries.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("speaker_id").alias("speakers"), F.sum(F.size(F.coalesce("dialect_expressions", F.array().cast("array<string>")))).alias("expressions"))
+    out = [found(sizes.where(F.col("n") < least_utterances), "too_few_utterances", F.col("n")), found(sizes.where(F.col("speakers") < least_speakers), "too_few_speakers", F.col("speakers"))]
+    if needs_expressions:
+        out.append(found(sizes.where("expressions = 0"), "no_expressions", F.col(by)))
+
+    def excluded(df: DataFrame, kind: str) -> DataFrame:
+        return df.join(exclusions.where(F.col("kind") == kind).select(F.col("value").alias("_value")).distinct(), "_value", "left_semi")
+
+    for kind, column in (("speaker", "speaker_id"), ("utterance", "utterance_id"), ("recording", "source_recording_id")):
+        out.append(found(excluded(entries.withColumn("_value", F.col(column).cast("string")), kind), f"{kind}_overlap", F.col("_value")))
+    lineage = F.array_append(F.coalesce("audio_lineage", F.array().cast("array<string>")), F.col("audio_sha256"))
+    out.append(found(excluded(entries.select(by, "utterance_id", F.explode(lineage).alias("_value")), "audio"), "audio_overlap", F.col("utterance_id")))
+    out.append(found(excluded(entries.withColumn("_value", normalize_for_cer(F.col("surface_text"))), "surface"), "surface_overlap", F.col("utterance_id"), "warning"))
+    if headers is not None:
+        safe = safe_relative_path(F.col("audio_filepath"))
+        out.append(found(entries.where(~safe), "path_escapes", F.col("audio_filepath")))
+        files = headers.select(F.col("path").alias("audio_filepath"), F.col("sha256").alias("_sha"), "rate", "channels", "width", "frames", "error")
+        read = entries.where(safe).join(files, "audio_filepath", "left")
+        wrong = (
+            F.when(F.col("_sha").isNull(), "audio_missing").when(F.col("_sha") != F.col("audio_sha256"), "audio_hash").when(F.col("error").isNotNull(), "audio_corrupt")
+            .when((F.col("rate") != 16_000) | (F.col("channels") != 1), "audio_not_16k_mono").when((F.col("width") != 2) | (F.col("frames") <= 0), "audio_not_pcm16")
+        )
+        bad = read.withColumn("_rule", wrong).where("_rule is not null")
+        out.append(bad.select(by, F.col("_rule").alias("rule"), F.col("audio_filepath").alias("key"), F.lit("error").alias("level")))
+    return _all(out).distinct()
+
+
+def prepare_ab_queue(queue: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, violations) of a blinded comparison: queue (item_id, utterance_id, audio_path, A, B) with reference and expressions.
+
+    The queue has to cover the manifest (utterance_id, surface_text, dialect_expressions) exactly once.
+    """
+    m = manifest.select("utterance_id", F.col("surface_text").alias("reference_surface_text"), F.transform("dialect_expressions", lambda e: e["surface_form"]).alias("dialect_expressions"))
+    items = queue.join(m, "utterance_id").select("item_id", "utterance_id", "audio_path", "reference_surface_text", "dialect_expressions", F.col("A").alias("candidate_A"), F.col("B").alias("candidate_B"))
+    return items, coverage_check(manifest, queue, "utterance_id")
+
+
+def audio_lineage_contract(assets: DataFrame, required: tuple[str, ...] = ("original", "master", "asr_16k_mono")) -> DataFrame:
+    """Violations of the assets (utterance_id, role, sha256, parent_sha256, rate, channels, codec, transformation) of utterances.
+
+    Beside lineage_chain: required roles, one transformation for each derived asset and none for the original, and the format of the
+    16 kHz mono asset.  An utterance that has only original and derived (the two-asset form) needs no master.
+    """
+    roles = assets.groupBy("utterance_id").agg(F.collect_set("role").alias("roles"))
+    needed = F.when(F.array_contains("roles", "derived") & ~F.array_contains("roles", "master"), F.array(F.lit("original"), F.lit("derived"))).otherwise(F.lit(list(required)))
+    lacking = roles.select("utterance_id", F.explode(F.array_except(needed, "roles")).alias("role"))
+    steps = F.size(F.coalesce("transformation", F.array().cast("array<string>")))
+    wrong = assets.withColumn("rule", F.when((F.col("role") == "original") & (steps > 0), "original_transformed").when((F.col("role") != "original") & (steps != 1), "one_transformation"))
+    form = assets.where("role = 'asr_16k_mono' and not (rate <=> 16000 and channels <=> 1 and codec <=> 'pcm_s16le')")
+    return _all([
+        lineage_chain(assets), _violation(lacking, "role_missing", F.col("utterance_id"), F.col("role")),
+        wrong.where("rule is not null").select("rule", F.col("utterance_id").cast("string").alias("key"), F.col("sha256").alias("detail")), _violation(form, "asr_format", F.col("utterance_id"), F.col("sha256")),
+    ])
+
+
 def training_report(entries: DataFrame) -> DataFrame:
     """Rows, distinct speakers and hours by split, and warnings on small sets."""
     hours = F.bround(F.coalesce(F.sum("duration_ms"), F.lit(0.0)) / 3_600_000, 6)

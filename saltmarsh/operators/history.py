@@ -68,3 +68,9 @@ def due_reviews(schedule: DataFrame, today: Column) -> DataFrame:
 def review_queue(predictions: DataFrame, reviews: DataFrame) -> DataFrame:
     """Predictions with automatic failures (``flags`` not empty) and no review yet."""
     return predictions.where(F.size("flags") > 0).join(reviews.select("prediction_id").distinct(), "prediction_id", "left_anti")
+
+
+def newest_first(df: DataFrame, time: str, tie: str, most: int | None = None) -> DataFrame:
+    """A listing, the newest row first, ties by another column; of ``most`` rows if given."""
+    rows = df.orderBy(F.desc_nulls_last(time), tie)
+    return rows if most is None else rows.limit(most)

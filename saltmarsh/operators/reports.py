@@ -2,14 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import rtf
+
 
 def ratio(top: Column, bottom: Column, empty: float) -> Column:
     return F.when(F.coalesce(bottom, F.lit(0)) == 0, F.lit(empty)).otherwise(top / bottom)
 
 
+#: Parts into which exact_percentiles cuts the values of a group, by a sketch of bounded size.
+PARTS = 64
+
+
+def exact_percentiles(df: DataFrame, value: str, names: dict[str, float], *by: str) -> DataFrame:
+    """One row for each group (one in all without ``by``) with exact percentiles, linearly interpolated; null without a value.
+
+    No task holds a group's values: a sketch cuts them into PARTS, counts tell in which part a rank lies, and only those parts are
+    put in order, each by itself.
+    """
+    groups = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    keys = list(by) or ["_all"]
+    base = df.select(*groups, F.col(value).cast("double").alias("_v"))
+    marks = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+    whole = base.groupBy(*keys).agg(F.count("_v").alias("_total"), F.percentile_approx("_v", marks, F.lit(20 * PARTS)).alias("_marks"))
+    counts = base.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    dealt = counts.alias("a").join(whole.alias("b"), same).select(*[F.col(f"a.{k}") for k in keys], "_v", "_n", "_total", F.size(F.filter("_marks", lambda m: m <= F.col("_v"))).alias("_part"))
+    own = Window.partitionBy(*keys, "_part")
+    inside = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_k"))
+    before = inside.select(*keys, "_part", "_k", (F.sum("_k").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_k")).alias("_before"))
+    both = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_part"]])
+    placed = dealt.alias("a").join(before.alias("b"), both).select(*[F.col(f"a.{k}") for k in keys], "_v", "_n", "_total", F.col("a._part").alias("_part"), "_k", "_before")
+    ranks = {n: (F.lit(f) * (F.col("_total") - 1), F.floor(F.lit(f) * (F.col("_total") - 1)), F.ceil(F.lit(f) * (F.col("_total") - 1))) for n, f in names.items()}
+    wanted = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")) for _, low, high in ranks.values() for r in (low, high)])
+    last = F.col("_before") + F.sum("_n").over(own.orderBy("_v"))
+    found = placed.where(wanted).withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col("_v")))
+
+    out = found.groupBy(*keys).agg(*[(at(low) + (at(high) - at(low)) * F.max(exact - low)).alias(n) for n, (exact, low, high) in ranks.items()])
+    every = whole.select(*keys).alias("a").join(out.alias("b"), same, "left")
+    return every.select(*[F.col(f"a.{k}") for k in by], *[F.col(f"b.{n}") for n in names])
+
+
+def _with_percentiles(sums: DataFrame, df: DataFrame, value: str, names: dict[str, float], *by: str) -> DataFrame:
+    """One row for each group: sums of df, and beside them percentiles of a column."""
+    p = exact_percentiles(df, value, names, *by)
+    if not by:
+        return sums.join(p, F.lit(True), "left")  # one row each
+    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by])
+    return sums.alias("a").join(p.alias("b"), same, "left").select(*[F.col(f"a.{c}") for c in sums.columns], *[F.col(f"b.{n}") for n in names])
+
+
 def corpus_cer() -> Column:
     """Edits over reference characters of all cases; the edits themselves where there are no characters, 0 without cases."""
     chars, edits = F.coalesce(F.sum("ref_chars"), F.lit(0)), F.coalesce(F.sum("edits"), F.lit(0))
@@ -21,20 +70,20 @@ def aggregate_report(cases: DataFrame, *by: str) -> DataFrame:
 
     cases: edits, ref_chars, high_confidence_wrong, latency_ms, expressions, preserved, overcorrected.
     """
-    latency = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    return cases.groupBy(*by).agg(
+    sums = cases.groupBy(*by).agg(
         F.count("*").alias("utterance_count"), F.round(corpus_cer(), 6).alias("cer"),
         F.round(ratio(F.sum("preserved"), F.sum("expressions"), 1.0), 6).alias("dialect_preservation_rate"),
         F.round(ratio(F.sum("overcorrected"), F.sum("expressions"), 0.0), 6).alias("context_overcorrection_rate"),
         F.count_if("high_confidence_wrong").alias("high_confidence_wrong_count"),
-        F.round(F.coalesce(latency[0], F.lit(0.0)), 6).alias("p50_latency_ms"), F.round(F.coalesce(latency[1], F.lit(0.0)), 6).alias("p95_latency_ms"),
     )
+    p = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
+    return _with_percentiles(sums, cases, "latency_ms", p, *by).withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in p})
 
 
 def latency_percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Exact median and 95th percentile with linear interpolation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"), F.count(value).alias("n"))
+    out = _with_percentiles(df.groupBy(*by).agg(F.count(value).alias("n")), df, value, {"p50": 0.5, "p95": 0.95}, *by)
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
 
 
 def group_cer(cases: DataFrame, *by: str) -> DataFrame:
@@ -81,12 +130,12 @@ def outcome_counts(deltas: DataFrame, value: str, smaller_is_better: bool = True
 def arm_metrics(rows: DataFrame) -> DataFrame:
     """Per arm: error rate, preservation (null without expressions), blank outputs and latency. rows: arm, edits, ref_chars,
     expressions, preserved, hypothesis, latency_ms."""
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy("arm").agg(
+    sums = rows.groupBy("arm").agg(
         F.round(corpus_cer(), 6).alias("cer"), F.round(F.try_divide(F.sum("preserved"), F.sum("expressions")), 6).alias("dialect_preservation"),
         F.count_if(F.trim("hypothesis") == "").alias("empty_outputs"), F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"),
-        F.round(p[0], 6).alias("p50_latency_ms"), F.round(p[1], 6).alias("p95_latency_ms"),
     )
+    p = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
+    return _with_percentiles(sums, rows, "latency_ms", p, "arm").withColumns({c: F.round(c, 6) for c in p})
 
 
 def ab_unblind(results: DataFrame, key: DataFrame) -> DataFrame:
@@ -113,9 +162,32 @@ def inference_summary(rows: DataFrame, expected: DataFrame) -> DataFrame:
     counts = sets.agg(
         F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("unexpected"), F.count_if(F.col("n") > 1).alias("duplicate"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed")
     )
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    times = rows.where("status <> 'failed'").agg(
-        F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"), F.round(p[0], 6).alias("p50_latency_ms"), F.round(p[1], 6).alias("p95_latency_ms"),
-        F.round(F.avg(F.when(F.col("duration_ms") > 0, F.col("latency_ms") / F.col("duration_ms"))), 6).alias("mean_rtf"),
+    done = rows.where("status <> 'failed'")
+    times = done.agg(
+        F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"),
+        F.round(F.avg(rtf(F.col("latency_ms"), F.col("duration_ms"))), 6).alias("mean_rtf"),
     )
+    p = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
+    times = _with_percentiles(times, done, "latency_ms", p).withColumns({c: F.round(c, 6) for c in p})
     return counts.crossJoin(times).withColumn("status", F.when(F.expr("missing + unexpected + duplicate + failed") == 0, "complete").otherwise("incomplete"))  # one row each
+
+
+def report_title(experiment_id: Column) -> Column:
+    """The heading of a report: the task's number in capitals where the id begins with one."""
+    task = F.upper(F.regexp_extract(experiment_id, r"(?i)^(task-\d+[a-z]?)", 1))
+    return F.when(task != "", F.concat(F.lit("# "), task, F.lit(" Human-reviewed Baseline Report"))).otherwise("# Human-reviewed Surface ASR Baseline Report")
+
+
+def limitations(reports: DataFrame) -> DataFrame:
+    """reports with ``limitations``, the notes that apply to each.
+
+    reports: with_confidence (cases that have one), uncertain, context_overcorrection_rate, language_model_bias (confirmed by people),
+    checkpoint_identifier.
+    """
+    notes = F.array_compact(F.array(
+        F.lit("automatic dialect results are exact matches and miss natural variants"), F.when(F.col("with_confidence") == 0, "the runtime gave no confidence"),
+        F.when(F.col("uncertain") > 0, F.concat(F.col("uncertain").cast("string"), F.lit(" reviews are uncertain"))),
+        F.when((F.col("context_overcorrection_rate") == 0) & (F.col("language_model_bias") > 0), F.concat(F.lit("no automatic overcorrection, but people confirmed bias of the language model in "), F.col("language_model_bias").cast("string"))),
+        F.when(F.col("checkpoint_identifier").isNull(), "the checkpoint is not identified"),
+    ))
+    return reports.withColumn("limitations", notes)

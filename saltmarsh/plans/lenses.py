@@ -12,10 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.length(c)
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next is not null")
@@ -32,23 +28,21 @@ def _scored(turns: DataFrame, reference: Column, hypothesis: Column) -> DataFram
     return out.withColumn("flags", failure_flags(F.col("overcorrected"), F.col("high_confidence_wrong")))
 
 
-def whole_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored cases: each whole turn against the whole next one, of every script."""
     return _scored(_pairs(spark, sf_dir), F.col("text"), F.col("next"))
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What CASES scores: 40 characters of each turn against 40 of the next one, where both are ASCII; whole_cases has all."""
-    turns = _pairs(spark, sf_dir).where(is_ascii(F.col("text")) & is_ascii(F.col("next")))
-    return _scored(turns, F.substring("text", 1, 40), F.substring("next", 1, 40))
+#: DuckDB's distance counts bytes, so the accented letters of the given tables stand as control characters, one byte each.
+_ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 27)])
 
-
-CASES = r"""turns AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
-pairs AS (SELECT conv_id || ':' || turn AS case_id, conv_id, turn, role, substr(text, 1, 40) AS reference, substr(nxt, 1, 40) AS hypothesis,
+CASES = rf"""turns AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+pairs AS (SELECT conv_id || ':' || turn AS case_id, conv_id, turn, role, text AS reference, nxt AS hypothesis,
   CASE WHEN turn % 4 <> 3 THEN ((conv_id * 7 + turn * 13) % 100) / 100.0 END::DOUBLE AS confidence, (length(nxt) * 1.5 + turn)::DOUBLE AS latency_ms, (length(text) * 2.0 + 10)::DOUBLE AS duration_ms
-  FROM turns WHERE nxt IS NOT NULL AND strlen(text) = length(text) AND strlen(nxt) = length(nxt)),
-normal AS (SELECT *, regexp_replace(reference, '[\p{Z}\p{P}]', '', 'g') AS nr, regexp_replace(hypothesis, '[\p{Z}\p{P}]', '', 'g') AS nh FROM pairs),
-counted AS (SELECT *, levenshtein(nr, nh) AS edits, length(nr) AS ref_chars FROM normal),
+  FROM turns WHERE nxt IS NOT NULL),
+normal AS (SELECT *, regexp_replace(nfc_normalize(reference), '[\p{{Z}}\p{{P}}]', '', 'g') AS nr, regexp_replace(nfc_normalize(hypothesis), '[\p{{Z}}\p{{P}}]', '', 'g') AS nh FROM pairs),
+counted AS (SELECT *, levenshtein(translate(nr, '{_ACCENTED}', {_BYTES}), translate(nh, '{_ACCENTED}', {_BYTES})) AS edits, length(nr) AS ref_chars FROM normal),
 cases AS (SELECT *, CASE WHEN ref_chars = 0 THEN edits ELSE edits / ref_chars END AS cer, 1 AS expressions,
   contains(hypothesis, split_part(reference, ' ', 1))::INT AS preserved FROM counted),
 scored AS (SELECT *, coalesce(cer > 0 AND confidence >= 0.85, false) AS hcw, (preserved = 0 AND contains(hypothesis, substr(reference, 1, 2)))::INT AS overcorrected FROM cases)"""
@@ -82,3 +76,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENTRIES = """entries AS (SELECT doc_id AS utterance_id, source AS speaker_id, CASE WHEN doc_id % 50 = 7 OR coalesce(try_cast(substr(source, 4) AS INT), 0) % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
   lang AS region, text AS surface_text, n_chars::DOUBLE AS duration_ms, ['a' || (doc_id % 400), 'b' || doc_id] AS lineage FROM documents)"""
+
+
+def surface_sql(column: str) -> str:
+    """The surface key of a column: NFC and lower case do what NFKC and folding do to the letters of the given tables, ß aside."""
+    return rf"regexp_replace(replace(lower(nfc_normalize({column})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"

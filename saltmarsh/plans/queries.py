@@ -4,38 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio, scoring, text
 from ..operators import calibration, contracts, gate, governance, history, reports
+from ..streaming import streams
 from . import lenses
-from .lenses import CASES, ENTRIES, REVIEWS, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .lenses import CASES, ENTRIES, REVIEWS, surface_sql, table
+from .registry import QUERIES, SQL, query
 
 def scored(sql: str) -> Callable[[Callable], Callable]:
-    """Registers a query over scored cases twice: as the SQL has it (lenses.cases), and NAME_whole over whole turns of every script.
-
-    DuckDB's distance counts bytes and is too slow on whole turns, so those have no SQL.
-    """
+    """Registers a query over the scored cases of lenses.cases."""
 
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = lambda spark, d: f(spark, d, lenses.cases(spark, d))
-        QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, lenses.whole_cases(spark, d))
         SQL[f.__name__] = sql
         return f
 
@@ -136,15 +118,10 @@ def split_leaks(spark, d):
     return governance.split_leaks(lenses.entries(spark, d), "speaker_id", "region")
 
 
-@query(f"WITH {ENTRIES}, k AS (SELECT *, regexp_replace(lower(surface_text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS surface FROM entries WHERE strlen(surface_text) = length(surface_text)) SELECT surface, count(*) AS n, min(utterance_id) AS first_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, CASE WHEN count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END AS level FROM k WHERE surface <> '' GROUP BY surface HAVING count(*) > 1")
+@query(f"WITH {ENTRIES}, k AS (SELECT *, {surface_sql('surface_text')} AS surface FROM entries) SELECT sha256(surface) AS surface, count(*) AS n, min(utterance_id) AS first_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, CASE WHEN count(DISTINCT split) > 1 THEN 'error' ELSE 'warning' END AS level FROM k WHERE surface <> '' GROUP BY surface HAVING count(*) > 1")
 def duplicate_surface_groups(spark, d):
-    return governance.duplicate_surface_groups(lenses.entries(spark, d).where(lenses.is_ascii(F.col("surface_text"))))
-
-
-@query()
-def duplicate_surface_groups_whole(spark, d):
-    """Of all documents; the query above has what DuckDB can fold."""
-    return governance.duplicate_surface_groups(lenses.entries(spark, d))
+    """Groups by the hashes of surface keys, so that no text is shuffled."""
+    return governance.duplicate_surface_groups(lenses.entries(spark, d), F.coalesce(_surface_hash(F.col("surface_text")), F.lit("")))
 
 
 @query(f"WITH {ENTRIES}, r AS (SELECT DISTINCT utterance_id, unnest(lineage) AS sha FROM entries) SELECT 'duplicate_lineage' AS rule, sha AS key, count(*)::VARCHAR AS detail FROM r GROUP BY sha HAVING count(*) > 1")
@@ -152,21 +129,13 @@ def duplicate_lineage(spark, d):
     return governance.duplicate_lineage(lenses.entries(spark, d))
 
 
-_BENCH = "frozen AS (SELECT item_id * 25 AS utterance_id, 'src' || (item_id % 100 + 15) AS speaker_id, ['a' || item_id] AS lineage, text AS k, 'b' || (item_id % 3) AS benchmark_id FROM benchmark UNION ALL SELECT -1, 'none', ['z'], text, 'copy' FROM documents WHERE doc_id % 100 = 9)"
+_TRAIN = f"{ENTRIES}, keyed AS (SELECT *, {surface_sql('surface_text')} AS k FROM entries)"
+_FROZEN = f"""frozen AS (SELECT item_id * 25 AS utterance_id, 'src' || (item_id % 100 + 15) AS speaker_id, ['a' || item_id] AS lineage, {surface_sql('text')} AS k, 'b' || (item_id % 3) AS benchmark_id FROM benchmark
+UNION ALL SELECT utterance_id, speaker_id, lineage, k, 'validation' FROM keyed WHERE split = 'validation')"""
 
 
-@query(f"WITH {ENTRIES}, {_BENCH}, t AS (SELECT * FROM entries WHERE split = 'train'), l AS (SELECT DISTINCT benchmark_id, unnest(lineage) AS sha FROM frozen), tl AS (SELECT utterance_id, unnest(lineage) AS sha FROM t) SELECT 'utterance' AS rule, t.utterance_id::VARCHAR AS key, benchmark_id AS detail FROM t JOIN (SELECT DISTINCT utterance_id, benchmark_id FROM frozen) USING (utterance_id) UNION ALL SELECT 'speaker', t.utterance_id::VARCHAR, benchmark_id FROM t JOIN (SELECT DISTINCT speaker_id, benchmark_id FROM frozen) USING (speaker_id) UNION ALL SELECT 'surface', t.utterance_id::VARCHAR, benchmark_id FROM t JOIN (SELECT DISTINCT k, benchmark_id FROM frozen WHERE k <> '') f ON f.k = t.surface_text UNION ALL SELECT * FROM (SELECT DISTINCT 'lineage', tl.utterance_id::VARCHAR, benchmark_id FROM tl JOIN l USING (sha))")
+@query(f"WITH {_TRAIN}, {_FROZEN}, t AS (SELECT * FROM keyed WHERE split = 'train'), l AS (SELECT DISTINCT benchmark_id, unnest(lineage) AS sha FROM frozen), tl AS (SELECT utterance_id, unnest(lineage) AS sha FROM t) SELECT 'utterance' AS rule, t.utterance_id::VARCHAR AS key, benchmark_id AS detail FROM t JOIN (SELECT DISTINCT utterance_id, benchmark_id FROM frozen) USING (utterance_id) UNION ALL SELECT 'speaker', t.utterance_id::VARCHAR, benchmark_id FROM t JOIN (SELECT DISTINCT speaker_id, benchmark_id FROM frozen WHERE speaker_id <> '') USING (speaker_id) UNION ALL SELECT 'surface', t.utterance_id::VARCHAR, benchmark_id FROM t JOIN (SELECT DISTINCT k, benchmark_id FROM frozen WHERE k <> '') f ON f.k = t.k UNION ALL SELECT * FROM (SELECT DISTINCT 'lineage', tl.utterance_id::VARCHAR, benchmark_id FROM tl JOIN l USING (sha))")
 def leakage_check(spark, d):
-    train = lenses.entries(spark, d).where("split = 'train'").withColumn("surface_key", F.col("surface_text"))
-    bench = table(spark, d, "benchmark").select(
-        (F.col("item_id") * 25).alias("utterance_id"), F.concat(F.lit("src"), F.col("item_id") % 100 + 15).alias("speaker_id"), F.array(F.concat(F.lit("a"), F.col("item_id"))).alias("lineage"), F.col("text").alias("surface_key"), F.concat(F.lit("b"), F.col("item_id") % 3).alias("benchmark_id")
-    )
-    copies = table(spark, d, "documents").where("doc_id % 100 = 9").select(F.lit(-1).cast("long").alias("utterance_id"), F.lit("none").alias("speaker_id"), F.array(F.lit("z")).alias("lineage"), F.col("text").alias("surface_key"), F.lit("copy").alias("benchmark_id"))
-    return governance.leakage_check(train, bench.unionByName(copies))
-
-
-@query()
-def leakage_check_whole(spark, d):
     """Training rows against the benchmark and the whole validation split, by surface keys (their hashes)."""
     rows = lenses.entries(spark, d).withColumn("surface_key", _surface_hash(F.col("surface_text")))
     bench = table(spark, d, "benchmark").select(
@@ -191,28 +160,14 @@ def first_seen_split(spark, d):
     return history.first_seen_split(lenses.entries(spark, d), "speaker_id", "utterance_id").select("utterance_id", "first_split", "conflict")
 
 
-@query("SELECT DISTINCT kind, value FROM (SELECT 'speaker' AS kind, source AS value FROM documents UNION ALL SELECT 'utterance', doc_id::VARCHAR FROM documents UNION ALL SELECT 'utterance', doc_id::VARCHAR FROM labels UNION ALL SELECT 'surface', text FROM benchmark) WHERE value <> ''")
+@query(f"SELECT DISTINCT kind, value FROM (SELECT 'speaker' AS kind, source AS value FROM documents UNION ALL SELECT 'utterance', doc_id::VARCHAR FROM documents UNION ALL SELECT 'utterance', doc_id::VARCHAR FROM labels UNION ALL SELECT 'surface', {surface_sql('text')} FROM benchmark) WHERE value <> ''")
 def exclusion_registry(spark, d):
-    docs, labels, bench = (table(spark, d, t) for t in ("documents", "labels", "benchmark"))
-    return governance.exclusion_registry((docs, {"speaker": F.col("source"), "utterance": F.col("doc_id")}), (labels, {"utterance": F.col("doc_id")}), (bench, {"surface": F.col("text")}))
-
-
-@query(f"WITH {ENTRIES} SELECT 'utterance' AS rule, utterance_id::VARCHAR AS key, 'error' AS detail FROM entries WHERE utterance_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'surface', utterance_id::VARCHAR, 'warning' FROM entries WHERE surface_text IN (SELECT text FROM documents WHERE doc_id % 100 = 9)")
-def exclusion_check(spark, d):
-    banned = table(spark, d, "labels").where("toxic = 1")
-    seen = table(spark, d, "documents").where("doc_id % 100 = 9")
-    registry = governance.exclusion_registry((banned, {"utterance": F.col("doc_id")}), (seen, {"surface": F.col("text")}))
-    return governance.exclusion_check(lenses.entries(spark, d), registry, {"utterance": F.col("utterance_id"), "surface": F.col("surface_text")})
-
-
-@query()
-def exclusion_registry_whole(spark, d):
     docs, labels, bench = (table(spark, d, t) for t in ("documents", "labels", "benchmark"))
     return governance.exclusion_registry((docs, {"speaker": F.col("source"), "utterance": F.col("doc_id")}), (labels, {"utterance": F.col("doc_id")}), (bench, {"surface": text.surface_key(F.col("text"))}))
 
 
-@query()
-def exclusion_check_whole(spark, d):
+@query(f"WITH {_TRAIN}, banned AS (SELECT {surface_sql('text')} AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT {surface_sql('text')} FROM benchmark) SELECT 'utterance' AS rule, utterance_id::VARCHAR AS key, 'error' AS detail FROM keyed WHERE utterance_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'surface', utterance_id::VARCHAR, 'warning' FROM keyed WHERE k <> '' AND k IN (SELECT k FROM banned)")
+def exclusion_check(spark, d):
     """Entries against toxic labels, and by surface keys (their hashes) against the benchmark and all labelled documents."""
     labels = table(spark, d, "labels")
     labelled = table(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
@@ -234,17 +189,10 @@ def is_frozen(spark, d):
     return found.withColumnRenamed("utterance_id", "doc_id")
 
 
-@query("WITH m AS (SELECT DISTINCT o_orderkey AS k FROM orders), p AS (SELECT l_orderkey + (CASE WHEN l_orderkey % 50 = 0 THEN 10000000 ELSE 0 END) AS k, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 13 <> 1 GROUP BY 1) SELECT CASE WHEN p.k IS NULL THEN 'missing' WHEN m.k IS NULL THEN 'unexpected' ELSE 'duplicate' END AS rule, coalesce(m.k, p.k)::VARCHAR AS key, coalesce(n, 0)::VARCHAR AS detail FROM m FULL JOIN p ON m.k = p.k WHERE p.k IS NULL OR m.k IS NULL OR n > 1")
+@query("WITH m AS (SELECT DISTINCT c_custkey AS k FROM customer), p AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN p.k IS NULL THEN 'missing' WHEN m.k IS NULL THEN 'unexpected' ELSE 'duplicate' END AS rule, coalesce(m.k, p.k)::VARCHAR AS key, coalesce(n, 0)::VARCHAR AS detail FROM m FULL JOIN p ON m.k = p.k WHERE p.k IS NULL OR m.k IS NULL OR n > 1")
 def coverage_check(spark, d):
-    wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    k = F.col("l_orderkey") + F.when(F.col("l_orderkey") % 50 == 0, 10_000_000).otherwise(0)
-    return governance.coverage_check(wanted, table(spark, d, "lineitem").where("l_linenumber <= 2 AND l_orderkey % 13 <> 1").select(k.alias("k")), "k")
-
-
-@query()
-def coverage_check_whole(spark, d):
-    """All rows of lineitem against all orders."""
-    return governance.coverage_check(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+    """All orders, by customer, against all customers."""
+    return governance.coverage_check(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 _ARM = "SELECT l_orderkey AS utterance_id, l_discount AS cer, l_tax AS preservation, l_quantity AS overcorrection, CASE WHEN l_linestatus = 'O' THEN l_extendedprice END AS confidence FROM lineitem WHERE l_linenumber = {}"
@@ -300,27 +248,18 @@ def _classified(cases):
 
 @query()
 def human_agreement_summary(spark, d):
-    c = _classified(lenses.whole_cases(spark, d)).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
+    c = _classified(lenses.cases(spark, d)).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
     observed = F.concat(F.array("x.observed_error"), calibration.edit_observations(F.col("reference"), F.col("hypothesis"), F.col("k")))
     r = history.latest_by(lenses.reviews(spark, d), "prediction_id", "created_at", "review_id").select("prediction_id", "verdict", "confirmed_failure_types")
     cases = c.withColumn("automatic", calibration.failure_candidates(observed)).join(r, c.conv_id == r.prediction_id)
     return calibration.human_agreement_summary(cases.withColumn("agreement", calibration.human_agreement(F.col("automatic"), F.col("verdict"), F.col("confirmed_failure_types"))))
 
 
-@query(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 <> 0), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
+@query(f"WITH {CASES}, rows AS (SELECT *, CASE WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status FROM scored), seen AS (SELECT conv_id, count(*) AS n, count(*) FILTER (status = 'failed') AS f FROM rows GROUP BY conv_id), want AS (SELECT DISTINCT conv_id FROM conversations), s AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (w IS NULL) AS unexpected, count(*) FILTER (n > 1) AS duplicate, coalesce(sum(f), 0)::BIGINT AS failed FROM (SELECT want.conv_id AS w, n, f FROM want FULL JOIN seen ON want.conv_id = seen.conv_id)), t AS (SELECT round(avg(latency_ms), 6) AS mean_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(avg(latency_ms / duration_ms), 6) AS mean_rtf FROM rows WHERE status <> 'failed') SELECT *, CASE WHEN missing + unexpected + duplicate + failed = 0 THEN 'complete' ELSE 'incomplete' END AS status FROM s, t")
 def inference_summary(spark, d):
-    return _inference_summary(lenses.cases(spark, d), table(spark, d, "conversations").where("conv_id % 7 <> 0"))
-
-
-@query()
-def inference_summary_whole(spark, d):
-    """Whole turns against all conversations; one of a single turn has no case and is missing."""
-    return _inference_summary(lenses.whole_cases(spark, d), table(spark, d, "conversations"))
-
-
-def _inference_summary(cases, expected):
-    rows = cases.select(F.col("conv_id").alias("utterance_id"), F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), "latency_ms", "duration_ms")
-    return reports.inference_summary(rows, expected.select(F.col("conv_id").alias("utterance_id")))
+    """Cases against all conversations; one of a single turn has no case and is missing."""
+    rows = lenses.cases(spark, d).select(F.col("conv_id").alias("utterance_id"), F.when(F.col("turn") % 5 == 4, "failed").otherwise("ok").alias("status"), "latency_ms", "duration_ms")
+    return reports.inference_summary(rows, table(spark, d, "conversations").select(F.col("conv_id").alias("utterance_id")))
 
 
 @query("WITH s AS (SELECT page_id, sha256(html) AS h, CASE WHEN page_id % 11 = 3 THEN NULL WHEN page_id % 7 = 2 THEN 'x' ELSE sha256(html) END AS expected FROM pages) SELECT url || page_id AS path, CASE WHEN page_id % 5 = 4 THEN 'missing' WHEN page_id % 13 = 5 THEN 'unexpected' WHEN expected IS NULL THEN 'unpinned' WHEN expected = h THEN 'verified' ELSE 'mismatch' END AS status FROM s JOIN pages USING (page_id)")
@@ -352,10 +291,9 @@ def prompt_disjointness(spark, d):
     return governance.prompt_disjointness({"a": a, "b": b})
 
 
-@query("WITH a AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'error') SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unexpected' FROM b WHERE k NOT IN (SELECT k FROM a)")
+@query("WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT user_id AS k FROM events) SELECT k, 'missing' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'unexpected' FROM b WHERE k NOT IN (SELECT k FROM a)")
 def set_difference(spark, d):
-    e = table(spark, d, "events").withColumnRenamed("user_id", "k")
-    return governance.set_difference(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), "k")
+    return governance.set_difference(table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), table(spark, d, "events").withColumnRenamed("user_id", "k"), "k")
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -428,20 +366,10 @@ def gate_assessment(spark, d):
     return gate.gate_assessment(evidence)
 
 
-@query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS surface_key, regexp_replace(lower(text), '\\s', '', 'g') AS pool_key, regexp_replace(text, '[\\p{Z}\\p{P}]', '', 'g') AS plain, len(regexp_extract_all(regexp_replace(text, '\\p{P}', '', 'g'), '\\S+'))::INT AS tokens FROM documents WHERE strlen(text) = length(text)")
+@query(rf"SELECT doc_id, {surface_sql('text')} AS surface_key, regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s', '', 'g') AS pool_key, regexp_replace(nfc_normalize(text), '[\p{{Z}}\p{{P}}]', '', 'g') AS plain, len(regexp_extract_all(regexp_replace(nfc_normalize(text), '\p{{P}}', '', 'g'), '\S+'))::INT AS tokens FROM documents")
 def surface_keys(spark, d):
-    return _surface_keys(table(spark, d, "documents").where(lenses.is_ascii(F.col("text"))))
-
-
-@query()
-def surface_keys_whole(spark, d):
-    """Of all documents; the query above has what DuckDB can fold."""
-    return _surface_keys(table(spark, d, "documents"))
-
-
-def _surface_keys(docs):
     t = F.col("text")
-    return docs.select("doc_id", text.surface_key(t).alias("surface_key"), text.pool_surface_key(t).alias("pool_key"), text.normalize_for_cer(t).alias("plain"), F.size(text.tokens_without_punct(t)).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", text.surface_key(t).alias("surface_key"), text.pool_surface_key(t).alias("pool_key"), text.normalize_for_cer(t).alias("plain"), F.size(text.tokens_without_punct(t)).alias("tokens"))
 
 
 @query("SELECT 'types_without_confirmation' AS rule, event_id::VARCHAR AS key FROM events WHERE event_id % 3 = 0 AND event_type = 'error' UNION ALL SELECT 'uncertain_without_notes', event_id::VARCHAR FROM events WHERE event_type IN ('view', 'click')")
@@ -456,19 +384,17 @@ def field_constraints(spark, d):
     return contracts.violations(table(spark, d, "lineitem"), "l_orderkey", {"price": contracts.out_of_range(F.col("l_extendedprice"), 1000, 50000), "discount": F.col("l_discount") > 0.08})
 
 
-@query("SELECT source AS source, count(*) AS entries, sum(length(lang))::BIGINT AS expressions FROM documents GROUP BY source")
+@query("WITH line AS (SELECT source, doc_id::VARCHAR AS id, length(lang) AS k, sha256('{\"utterance_id\":' || doc_id || ',\"surface_text\":' || to_json(text)::VARCHAR || CASE WHEN lang IS NULL THEN '' ELSE ',\"expressions\":' || to_json(list_sort(string_split(lang, '')))::VARCHAR END || '}') AS line FROM documents), bucket AS (SELECT source, left(md5(id), 3) AS bucket, count(*) AS n, sum(k) AS k, sha256(string_agg(line, '' ORDER BY id, line)) AS hash FROM line GROUP BY ALL) SELECT source, sum(n)::BIGINT AS entries, sum(k)::BIGINT AS expressions, sha256(string_agg(hash, '' ORDER BY bucket)) AS semantic_hash FROM bucket GROUP BY source")
 def benchmark_identity(spark, d):
-    return benchmark_identity_whole(spark, d).select("source", "entries", "expressions")
-
-
-@query()
-def benchmark_identity_whole(spark, d):
-    """With the hash, which the columns of the SQL leave out."""
     m = table(spark, d, "documents").select("source", F.col("doc_id").alias("utterance_id"), F.col("text").alias("surface_text"), F.split("lang", "").alias("expressions"))
     return governance.benchmark_identity(m)
 
 
-@query("SELECT w AS window_start, count(*) AS events, round(quantile_cont(value, 0.5), 6) AS p50 FROM (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS w, value FROM events) GROUP BY w")
+@query("SELECT w AS window_start, count(*) AS events, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(sum(value) / sum(event_id), 6) AS cer, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS w, * FROM events) GROUP BY w")
 def quality_windows(spark, d):
-    e = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "6 hours").alias("w"))
-    return e.agg(F.count("*").alias("events"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events", "p50")
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("latency_ms"), F.col("value").alias("edits"), F.col("event_id").alias("ref_chars"), (F.col("event_type") == "error").alias("high_confidence_wrong"))
+    out = streams.quality_monitor(e, "6 hours")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("cases").alias("events"), F.col("p50_latency_ms").alias("p50"), F.col("p95_latency_ms").alias("p95"), "cer", F.col("high_confidence_wrong").alias("errors"))
+
+
+from . import records as _records  # noqa: E402, F401  registers the queries over records

@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,20 +36,30 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType, blank
 
 
 def read_audio(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
-    """path, length, content and sha256 of files of at most MAX_BYTES; the size filter comes before the content is read."""
+    """path, length, content, sha256 and problem of files; those of more than MAX_BYTES have null content and are ``too large``.
+
+    Sizes are listed without reading; only the content of files that are small enough is read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("problem"))
+    large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"), F.lit("too large").alias("problem"))
+    return small.unionByName(large)
 
 
 def list_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers of files named New Recording [n].m4a (none: 1); ``status`` tells other names; hidden files are left out."""
+    """Numbers of files named New Recording [n].m4a (none: 1); ``status`` tells other names; hidden files are left out.
+
+    Of several files of one number all but the first by name are ``duplicate``.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     digits = F.regexp_extract("name", r"^New Recording(?: (\d+))?\.m4a$", 1)
     files = files.select(name.alias("name"), "length").where(~F.startswith(F.col("name"), F.lit("."))).withColumn("digits", digits)
     fits = F.col("name").rlike(r"^New Recording(?: \d+)?\.m4a$")
     status = F.when(fits, "ok").when(F.col("name").rlike(r"\.m4a$"), "unexpected").otherwise("unsupported")
-    return files.select("name", "length", F.when(fits, F.when(F.col("digits") == "", 1).otherwise(F.col("digits").cast("int"))).alias("number"), status.alias("status"))
+    numbered = files.select("name", "length", F.when(fits, F.when(F.col("digits") == "", 1).otherwise(F.col("digits").cast("int"))).alias("number"), status.alias("status"))
+    place = F.row_number().over(Window.partitionBy("number").orderBy("name"))
+    return numbered.withColumn("status", F.when(F.col("number").isNotNull() & (place > 1), "duplicate").otherwise(F.col("status")))
 
 
 def read_prompt_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -107,8 +117,8 @@ def read_collection_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_hash(df: DataFrame, *leave: str) -> Column:
-    """SHA-256 of a row's JSON with its columns in order of name."""
-    return F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in leave))), 256)
+    """SHA-256 of canonical_row."""
+    return F.sha2(canonical_row(df, *leave), 256)
 
 
 def append_immutable(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -138,9 +148,9 @@ def append_errors(cases: DataFrame, path: str) -> None:
     cases.where(F.size("flags") > 0).write.mode("append").json(path)
 
 
-def write_sorted_jsonl(df: DataFrame, path: str, *order: str, files: int = 1) -> None:
-    """JSON lines in order over files that are ranges of it; the same rows give the same lines."""
-    ranged = df.repartitionByRange(files, *order) if files > 1 else df.coalesce(1)
+def write_sorted_jsonl(df: DataFrame, path: str, *order: str, files: int | None = None) -> None:
+    """JSON lines in order over files that are ranges of it (as many as shuffle partitions, or ``files``); same rows, same lines."""
+    ranged = df.repartitionByRange(*order) if files is None else df.repartitionByRange(files, *order)
     ranged.sortWithinPartitions(*order).write.json(path)
 
 
@@ -159,10 +169,40 @@ def verified_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(have, "path", "left").withColumn("status", status).drop("found")
 
 
+def verified_export(manifest: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """Writes manifest (path, sha256, more) as JSON lines if all its files are there with their hashes; gives those that aren't."""
+    wrong = verified_files(manifest, files).where("status <> 'verified'").select("path", "status")
+    if wrong.isEmpty():
+        manifest.write.json(path)
+    return wrong
+
+
+def canonical_row(df: DataFrame, *leave: str) -> Column:
+    """A row as JSON with its columns, and the fields of structs in them, in order of name; nulls stay."""
+    def ordered(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[ordered(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: ordered(x, kind.elementType))
+        return c
+
+    fields = sorted((f for f in df.schema.fields if f.name not in leave), key=lambda f: f.name)
+    return F.to_json(F.struct(*[ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+
+
 def report_lines(cases: DataFrame) -> DataFrame:
-    """Table lines of a report: id, texts with bars escaped, error rate with four decimals."""
+    """Table lines of a report: id, texts with bars escaped, error rate with four decimals.
+
+    With ``matches`` (array of structs surface_form and match_status) a cell of these, and with ``flags`` one of the failure types.
+    """
 
     def cell(c: str) -> Column:
         return F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\|", r"\\|")
 
-    return cases.select("case_id", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("case_id").cast("string"), cell("reference"), cell("hypothesis"), F.format_number("cer", 4)), F.lit(" |")).alias("line"))
+    cells = [F.col("case_id").cast("string"), cell("reference"), cell("hypothesis"), F.format_string("%.4f", "cer")]
+    if "matches" in cases.columns:
+        told = F.transform("matches", lambda m: F.concat(m["surface_form"], F.lit(": "), m["match_status"]))
+        cells.append(F.regexp_replace(F.coalesce(F.array_join(told, ", "), F.lit("")), r"\|", r"\\|"))
+    if "flags" in cases.columns:
+        cells.append(F.array_join("flags", ", "))
+    return cases.select("case_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import score_cases
@@ -15,6 +15,29 @@ def ingest_predictions(stream: DataFrame, lateness: str = "1 hour") -> DataFrame
     return score_cases(once)
 
 
+def ingest_once(path: str):
+    """For foreachBatch: keeps each prediction_id once for good, and what it refuses.
+
+    Rows are written to ``path``/accepted or ``path``/refused, by batch, so that a batch that runs again replaces what it wrote.  Of
+    rows of one id in a batch the first by created_at and line is accepted; an id of an earlier batch is refused however late.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        place = F.row_number().over(Window.partitionBy("prediction_id").orderBy("created_at", F.to_json(F.struct("*"))))
+        rows = batch.withColumn("_place", place)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/accepted")
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.parquet(f"{path}/accepted").where(F.col("batch") < number).select("prediction_id", F.lit(True).alias("_known"))
+            rows = rows.join(known, "prediction_id", "left")
+        else:
+            rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
+        new = (F.col("_place") == 1) & F.col("_known").isNull()
+        for name, cond in (("refused", ~new), ("accepted", new)):
+            rows.where(cond).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    return run
+
+
 def latest_review_stream(reviews: DataFrame) -> DataFrame:
     """The latest review of each prediction so far (update mode); ties by id as text."""
     row = F.struct("review_id", "verdict", "created_at")

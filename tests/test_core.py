@@ -105,9 +105,9 @@ def test_whole_turns_are_scored(spark, turns):
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFC", t) if unicodedata.category(c)[0] not in "ZP")
     want = {f"{a[0]}:{a[1]}": (plain_counts(plain(a[3]), plain(b[3])), len(plain(a[3])), len(plain(b[3]))) for a, b in zip(rows[::2], rows[1::2], strict=True)}
     q = plans.QUERIES
-    assert {r.case_id: (r.edits, r.ref_chars) for r in q["case_scores_whole"](spark, folder).collect()} == {k: (c[0], n) for k, (c, n, _) in want.items()}
-    assert {r.case_id: (r.edits, r.longer) for r in q["edit_counts_whole"](spark, folder).collect()} == {k: (c[0], m - n) for k, (c, n, m) in want.items()}
-    r = q["aggregate_report_whole"](spark, folder).first()
+    assert {r.case_id: (r.edits, r.ref_chars) for r in q["case_scores"](spark, folder).collect()} == {k: (c[0], n) for k, (c, n, _) in want.items()}
+    assert {r.case_id: (r.edits, r.longer) for r in q["edit_counts"](spark, folder).collect()} == {k: (c[0], m - n) for k, (c, n, m) in want.items()}
+    r = q["aggregate_report"](spark, folder).first()
     assert (r.utterance_count, r.cer) == (3, round(sum(c[0] for c, _, _ in want.values()) / sum(n for _, n, _ in want.values()), 6))
 
 
@@ -134,26 +134,27 @@ def folded(t):
 
 def test_surface_keys_of_every_script(spark, corpus):
     folder, docs = corpus
-    assert {r.doc_id: r.surface_key for r in plans.QUERIES["surface_keys_whole"](spark, folder).collect()} == {d: t if t is None else folded(t) for d, t, *_ in docs}
-    got = {(r.surface, r.n, r.first_id, r.splits, r.level) for r in plans.QUERIES["duplicate_surface_groups_whole"](spark, folder).collect()}
-    assert got == {("diestrasseab", 2, 1, "train,validation", "error"), ("caféno1", 2, 3, "train", "warning"), ("plainwords", 2, 5, "train", "warning")}
+    assert {r.doc_id: r.surface_key for r in plans.QUERIES["surface_keys"](spark, folder).collect()} == {d: t if t is None else folded(t) for d, t, *_ in docs}
+    got = {(r.surface, r.n, r.first_id, r.splits, r.level) for r in plans.QUERIES["duplicate_surface_groups"](spark, folder).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {(sha("diestrasseab"), 2, 1, "train,validation", "error"), (sha("caféno1"), 2, 3, "train", "warning"), (sha("plainwords"), 2, 5, "train", "warning")}
 
 
 def test_leakage_and_exclusions_by_surface_key(spark, corpus):
     folder, _ = corpus
     q = plans.QUERIES
     surface = lambda name: {(r.key, r.detail) for r in q[name](spark, folder).where("rule = 'surface'").collect()}
-    assert surface("leakage_check_whole") == {("1", "validation"), ("9", "b2")}
-    assert surface("exclusion_check_whole") == {(k, "warning") for k in ("3", "4", "5", "6", "9")}
-    assert {r.value for r in q["exclusion_registry_whole"](spark, folder).where("kind = 'surface'").collect()} == {"benchmarkítem"}
+    assert surface("leakage_check") == {("1", "validation"), ("9", "b2")}
+    assert surface("exclusion_check") == {(k, "warning") for k in ("3", "4", "5", "6", "9")}
+    assert {r.value for r in q["exclusion_registry"](spark, folder).where("kind = 'surface'").collect()} == {"benchmarkítem"}
 
 
 def test_coverage_of_all_rows(spark, tmp_path, turns):
-    spark.createDataFrame([(k,) for k in (1, 14, 50, 60)], "o_orderkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
-    spark.createDataFrame([(1, 1), *((14, k) for k in range(1, 6)), (50, 3), (70, 7)], "l_orderkey long, l_linenumber int").write.parquet(f"file://{tmp_path}/lineitem.parquet")
-    got = {(r.rule, r.key, r.detail) for r in plans.QUERIES["coverage_check_whole"](spark, f"file://{tmp_path}").collect()}
+    spark.createDataFrame([(k,) for k in (1, 14, 50, 60)], "c_custkey long").write.parquet(f"file://{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1,), *[(14,)] * 5, (50,), (70,)], "o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = {(r.rule, r.key, r.detail) for r in plans.QUERIES["coverage_check"](spark, f"file://{tmp_path}").collect()}
     assert got == {("duplicate", "14", "5"), ("missing", "60", "0"), ("unexpected", "70", "1")}
-    r = plans.QUERIES["inference_summary_whole"](spark, turns[0]).first()
+    r = plans.QUERIES["inference_summary"](spark, turns[0]).first()
     assert (r.missing, r.unexpected, r.duplicate, r.failed, r.status) == (0, 0, 0, 0, "complete")
 
 
@@ -168,7 +169,7 @@ def test_benchmark_hash(spark, corpus):
                 row = {"utterance_id": d, "surface_text": t, "expressions": sorted(lang)}
                 buckets.setdefault(hashlib.md5(str(d).encode()).hexdigest()[:3], []).append(sha(json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))))
         want[source] = sha("".join(sha("".join(buckets[b])) for b in sorted(buckets)))
-    assert {r.source: r.semantic_hash for r in plans.QUERIES["benchmark_identity_whole"](spark, folder).collect()} == want
+    assert {r.source: r.semantic_hash for r in plans.QUERIES["benchmark_identity"](spark, folder).collect()} == want
     rows = [("x", 1, "a", ["p", "q"]), ("x", 2, "b", ["p"]), ("y", 2, "b", ["p"]), ("y", 1, "a", ["q", "p"]), ("z", 1, "b", ["p", "q"]), ("z", 2, "a", ["p"])]
     h = {r.source: r.semantic_hash for r in governance.benchmark_identity(spark.createDataFrame(rows, "source string, utterance_id int, surface_text string, expressions array<string>")).collect()}
     assert h["x"] == h["y"] != h["z"]
@@ -185,6 +186,21 @@ def test_empty_report(spark):
     assert (r.utterance_count, r.cer, r.dialect_preservation_rate, r.context_overcorrection_rate, r.p95_latency_ms) == (0, 0, 1, 0, 0)
 
 
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(1)
+    values = {None: rng.random(301).round(2), "a": rng.integers(0, 3, 1000) * 1.5, "b": np.array([7.0]), "c": rng.normal(0, 9, 2000)}
+    rows = [(g, float(x)) for g, v in values.items() for x in v] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    names = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: [r[n] for n in names] for r in reports.exact_percentiles(df, "v", names, "g").collect()}
+    assert got.pop("none") == [None] * 4 and set(got) == set(values)
+    for g, v in values.items():
+        assert got[g] == pytest.approx(np.percentile(v, [0, 50, 95, 100]).tolist(), abs=1e-9)
+    every = np.concatenate(list(values.values()))
+    assert reports.exact_percentiles(df, "v", names).first().p95 == pytest.approx(np.percentile(every, 95))
+    assert reports.exact_percentiles(df.limit(0), "v", names, "g").count() == 0
+
+
 def test_latest_breaks_ties_by_text(spark):
     t = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, 9, t, "a"), (1, 10, t, "b")], "prediction_id int, review_id int, created_at timestamp, verdict string")
