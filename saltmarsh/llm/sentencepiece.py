@@ -3,12 +3,15 @@
 A model is read from its file: pieces, their kinds and their log scores.  A unigram model states log probabilities; a model of
 merges states the rank of each merge as a negative number, which is turned into a log score by Zipf's law, -log(2 + rank).
 Where no piece contains a marker behind another character (checked when the model is read), the best segmentation of a text is
-that of its words, each with the markers before it; the ids of words are worked out once and kept.
+that of its words, each with the markers before it; the ids of words are worked out once and kept.  Long words without a space go
+through the same lattice in windows, about a hundred bytes of memory for each byte of a window and sixteen for each of the word.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +30,8 @@ KEPT_WORDS = 100_000
 #: Rows of a batch handled at once.
 _ROWS = 500
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Bytes of new words handled at once.
-_SLICE = 1 << 16
+#: Bytes of new words handled at once; a word of more than _LONG bytes goes by itself, in windows of _SLICE.
+_SLICE, _LONG = 1 << 16, 1 << 12
 
 
 @dataclass
@@ -110,11 +113,14 @@ class PieceModel:
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
+        spec = proto.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("a model whose normaliser changes texts, or with markers behind words, is not supported")
         pieces = [p.piece for p in proto.pieces]
         kinds = np.array([p.type for p in proto.pieces])
         stated = np.array([p.score for p in proto.pieces], np.float64)
         scores = stated if proto.trainer_spec.model_type == pb.TrainerSpec.UNIGRAM else -np.log(2.0 - np.minimum(stated, 0))
-        return PieceModel.of(pieces, kinds, scores, proto.normalizer_spec.add_dummy_prefix, proto.trainer_spec.byte_fallback)
+        return PieceModel.of(pieces, kinds, scores, spec.add_dummy_prefix, proto.trainer_spec.byte_fallback)
 
     @staticmethod
     def of(pieces: list[str], kinds: np.ndarray, scores: np.ndarray, dummy_prefix: bool = True, byte_fallback: bool = True) -> PieceModel:
@@ -147,25 +153,70 @@ class Segmenter:
             elif k == BYTE:
                 self.bytes_of[i] = bytes([int(model.pieces[i][3:5], 16)])
 
-    def _matches(self, data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """score and piece of the match of each length (row) at each byte; starts are the bytes that begin a character."""
-        trie, n = self.model.trie, len(data)
-        score = np.full((self.longest, n), -np.inf, np.float32)
-        piece = np.full((self.longest, n), -1, np.int32)
+    def _hits(self, data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For the lengths 1, 2 and so on: the bytes at which a piece of that length matches, and which."""
+        trie = self.model.trie
         at, state = starts, np.zeros(len(starts), np.int64)
         for k in range(self.longest):
             inside = at + k < end[at]
             at, state = at[inside], state[inside]
             if not len(at):
-                return score[:k], piece[:k]
+                return
             nxt = trie.base[state].astype(np.int64) + data[at + k]
             ok = (trie.check[nxt] == state) & (nxt > 0)
             at, state = at[ok], nxt[ok]
             value = trie.value[state]
             hit = value >= 0
-            score[k, at[hit]] = self.model.scores[value[hit]]
-            piece[k, at[hit]] = value[hit]
-        return score, piece
+            yield at[hit], value[hit]
+
+    def _matches(self, data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """score and piece of the match of each length (row) at each byte; starts are the bytes that begin a character."""
+        score = np.full((self.longest, len(data)), -np.inf, np.float32)
+        piece = np.full((self.longest, len(data)), -1, np.int32)
+        k = 0
+        for at, value in self._hits(data, end, starts):
+            score[k, at] = self.model.scores[value]
+            piece[k, at] = value
+            k += 1
+        return score[:k], piece[:k]
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the same lattice, window by window, of which the best step into each byte is all that stays."""
+        n = len(word)
+        best, step, chosen = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        for a in range(0, n, _SLICE):
+            data = np.frombuffer(word, np.uint8, min(_SLICE + self.longest, n - a), a)
+            starts = np.flatnonzero((data[:_SLICE] & 0xC0) != 0x80)
+            found = [(at, np.full(len(at), k + 1), value) for k, (at, value) in enumerate(self._hits(data, np.full(len(data), len(data)), starts))]
+            lead = data[starts]
+            width = np.minimum(np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))), n - a - starts)
+            covered = np.zeros(len(data) + 1, bool)
+            of_width = np.zeros(len(data) + 1, np.int64)
+            of_width[starts] = width
+            for at, size, _ in found:
+                covered[at[of_width[at] == size]] = True
+            bare = ~covered[starts]
+            found.append((starts[bare], width[bare], np.full(int(bare.sum()), -1)))
+            at, size, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            weight = np.where(value >= 0, self.model.scores[value], self.poor).astype(np.float64)
+            order = np.argsort(at, kind="stable")
+            for s, k, v, w in zip((at + a)[order].tolist(), size[order].tolist(), value[order].tolist(), weight[order].tolist(), strict=True):
+                total = best[s] + w
+                if total >= best[s + k]:  # of equals the shortest last piece
+                    best[s + k], step[s + k], chosen[s + k] = total, k, v
+        ids: list[int] = []
+        at = n
+        while at:
+            begin = at - step[at]
+            if chosen[at] >= 0:
+                ids.append(chosen[at])
+            elif self.model.byte_ids is None:
+                ids.append(self.model.unknown)
+            else:
+                ids += [int(self.model.byte_ids[b]) for b in reversed(word[begin:at])]
+            at = begin
+        return np.array(ids[::-1], "<i4")
 
     def _viterbi(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word; the words are in order of length, longest first."""
@@ -228,6 +279,9 @@ class Segmenter:
     def _learn(self, words: list[str]) -> None:
         coded = sorted(((w.encode(), w) for w in words), key=lambda x: -len(x[0]))
         i = 0
+        while i < len(coded) and len(coded[i][0]) > _LONG:
+            self.words[coded[i][1]] = self._long(coded[i][0]).tobytes()
+            i += 1
         while i < len(coded):
             j, room = i, _SLICE
             while j < len(coded) and (j == i or room >= len(coded[j][0])):
@@ -262,7 +316,11 @@ class Segmenter:
         if new:
             self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        out = [b"".join(map(get, c)) for c in chunks]
+        for w in new:
+            if len(w) > _LONG:  # not worth keeping
+                del self.words[w]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts of ids; bytes that are no UTF-8 become U+FFFD, and the space that encoding put first goes."""
@@ -324,7 +382,11 @@ def decode_pieces(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the text decoded from them: sizes, digests and whether it is the text again."""
+    """Ids of every text, and the text decoded from them: sizes, digests and whether it is the text again.
+
+    The given model is one of merges, so these are the ids of the unigram model whose log scores follow from its ranks (see above), not
+    those that merging would give.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decode_pieces(encode_pieces(docs))
     return out.select(
