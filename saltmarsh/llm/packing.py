@@ -56,7 +56,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         pieces, alphabet = model["model"], _byte_alphabet()
-        if pieces.get("type") != "BPE" or model.get("normalizer") or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
+        split = model.get("pre_tokenizer") or {}
+        if pieces.get("type") != "BPE" or model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             return None
         ranks = {bytes(alphabet[c] for c in token): i for token, i in pieces["vocab"].items() if token not in self.added}
         merged = [pieces["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in pieces["merges"]]

@@ -400,6 +400,39 @@ def test_sentencepiece(spark, odd):
     assert trie.check[state] == 0 and trie.value[state] == 0
 
 
+def test_long_words(monkeypatch):
+    import time
+
+    model = sentencepiece.PieceModel.read(sentencepiece.vocabulary())
+    rng = random.Random(11)
+    words = ["".join(rng.choice(a) for _ in range(n)) for a in ("abcdeéß", "日本語ab", "the", "x😀\x07") for n in (1, 7, 300, 900)]
+    whole = sentencepiece.Segmenter(model)._viterbi
+    windows = sentencepiece.Segmenter(model)
+    cost = lambda ids: sum(float(model.scores[i]) for i in ids)
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(sentencepiece, "_SLICE", size)
+        for w in words:
+            a, b = whole([w.encode()])[0].tolist(), windows._long(w.encode()).tolist()
+            assert a == b or cost(a) == pytest.approx(cost(b), rel=1e-5)  # sums of 32-bit numbers against 64
+            assert windows.decode([np.array(b, "<i4").tobytes()]) == [w]
+    text = "".join(rng.choice("abcdefghij") for _ in range(300_000))
+    began = time.perf_counter()
+    ids = windows.encode([text, "a b"])
+    assert windows.decode(ids) == [text, "a b"] and time.perf_counter() - began < 30 and not any(len(w) > 5000 for w in windows.words)
+
+
+def test_models_with_a_normaliser_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(sentencepiece.vocabulary(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError):
+        sentencepiece.PieceModel.read(str(tmp_path / "m"))
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
