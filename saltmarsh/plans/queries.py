@@ -301,13 +301,18 @@ def duplicates(spark, d):
     return governance.duplicates(table(spark, d, "events"), "user_id", "event_type")
 
 
-_QUALITY = "SELECT vec_id, round(list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))), 6) AS peak, round(20 * log10(greatest(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding)), 1e-12)), 6) AS rms_dbfs, round(len(list_filter(embedding, lambda v: abs(v::DOUBLE) < 0.01)) / len(embedding), 6) AS silence_ratio, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)) / len(embedding), 6) AS dc_offset FROM embeddings"
+_QUALITY = """WITH q AS (SELECT vec_id, len(embedding) AS n, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+m AS (SELECT vec_id, list_max(list_transform(x, lambda v: abs(v))) AS peak, 20 * log10(greatest(sqrt(list_sum(list_transform(x, lambda v: v * v)) / n), 1e-12)) AS rms_dbfs, len(list_filter(x, lambda v: abs(v) >= 0.999)) / n AS clipping_ratio,
+  len(list_filter(x, lambda v: abs(v) < 0.01)) / n AS silence_ratio, list_sum(x) / n AS dc_offset, n / 16000 * 1000 AS duration_ms FROM q)
+SELECT vec_id, round(peak, 6) AS peak, round(rms_dbfs, 6) AS rms_dbfs, round(clipping_ratio, 6) AS clipping_ratio, round(silence_ratio, 6) AS silence_ratio, round(dc_offset, 6) AS dc_offset, round(duration_ms, 6) AS duration_ms,
+  array_to_string(list_filter([CASE WHEN clipping_ratio > 0.01 THEN 'CLIPPING_HIGH' END, CASE WHEN rms_dbfs < -50 THEN 'LEVEL_TOO_LOW' END, CASE WHEN silence_ratio > 0.95 THEN 'MOSTLY_SILENCE' END, CASE WHEN abs(dc_offset) > 0.05 THEN 'DC_OFFSET_HIGH' END,
+    CASE WHEN duration_ms NOT BETWEEN 300 AND 30000 THEN 'DURATION_OUT_OF_RANGE' END], lambda w: w IS NOT NULL), ',') AS warnings FROM m"""
 
 
 @query(_QUALITY)
 def audio_quality(spark, d):
     e = table(spark, d, "embeddings").withColumn("q", audio.audio_quality(F.col("embedding"), 16_000))
-    return e.select("vec_id", *[F.round(f"q.{c}", 6).alias(c) for c in ("peak", "rms_dbfs", "silence_ratio", "dc_offset")])
+    return e.select("vec_id", *[F.round(f"q.{c}", 6).alias(c) for c in ("peak", "rms_dbfs", "clipping_ratio", "silence_ratio", "dc_offset", "duration_ms")], F.array_join("q.warnings", ",").alias("warnings"))
 
 
 @query("SELECT vec_id, i AS bin, round(list_min(embedding[i * len(embedding) // 7 + 1 : (i + 1) * len(embedding) // 7])::DOUBLE, 6) AS low, round(list_max(embedding[i * len(embedding) // 7 + 1 : (i + 1) * len(embedding) // 7])::DOUBLE, 6) AS high FROM embeddings, range(7) t(i)")
