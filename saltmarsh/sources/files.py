@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.governance import coverage_check
+
 #: Fixed value: files above this many bytes are not read.
 MAX_BYTES = 100 * 1024 * 1024
 
@@ -35,6 +37,18 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType, blank
     return lines.select("line", F.from_json("line", schema).alias("record"), problem.alias("problem"))
 
 
+def precomputed(lines: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, violations) of predictions made elsewhere: lines of read_predictions(blank="reject") against a manifest.
+
+    The records have utterance_id.  Rows are the manifest's entries with their record, of ids that occur once; a blank or broken line is a
+    violation, and so is an id that is missing, unexpected or there more than once.
+    """
+    good = lines.where("problem is null").select("record", "record.utterance_id")
+    once = good.groupBy("utterance_id").agg(F.count("*").alias("_n"), F.first("record").alias("record")).where("_n = 1").drop("_n")
+    broken = lines.where("problem is not null").select(F.lit("line").alias("rule"), F.col("problem").alias("key"), F.col("line").alias("detail"))
+    return manifest.join(once, "utterance_id"), broken.unionByName(coverage_check(manifest, good, "utterance_id"))
+
+
 def read_audio(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """path, length, content, sha256 and problem of files; those of more than MAX_BYTES have null content and are ``too large``.
 

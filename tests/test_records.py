@@ -77,6 +77,14 @@ def test_files(spark, tmp_path, monkeypatch):
     assert files.export_training_rows(entries, none, f"file://{tmp_path}/rows") and spark.read.json(f"file://{tmp_path}/rows/split=train").count() == 1
 
 
+def test_precomputed_predictions(spark, tmp_path):
+    (tmp_path / "p.jsonl").write_text('{"utterance_id": "a", "text": "x"}\n\n{"utterance_id": "b"}\n{"utterance_id": "b"}\n{"utterance_id": "z"}\nno\n')
+    schema = T.StructType([T.StructField("utterance_id", T.StringType()), T.StructField("text", T.StringType())])
+    rows, wrong = files.precomputed(files.read_predictions(spark, f"file://{tmp_path}/p.jsonl", schema, "reject"), spark.createDataFrame([("a",), ("b",), ("c",)], "utterance_id string"))
+    assert [(r.utterance_id, r.record.text) for r in rows.collect()] == [("a", "x")]
+    assert found(wrong.select("rule", "key")) == {("line", "blank"), ("line", "not JSON"), ("missing", "c"), ("duplicate", "b"), ("unexpected", "z")}
+
+
 def test_contracts(spark):
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StructType([T.StructField("c", T.LongType())]))])
     df = spark.createDataFrame([(1, '{"a":1,"b":{"c":1,"d":2},"e":3}'), (2, '{"a":1}'), (3, None)], "k int, j string")
