@@ -1,7 +1,8 @@
 """Neighbours and running sums in the order of a key, without bringing a table into one partition.
 
-The key's range is cut at values of the key itself, chosen by a hash: about one in ``every`` rows, fewer in very large tables so
-that the list of cuts stays below about 2 * MOST_CUTS numbers (it is part of the plan).  Rows are then dealt out by bucket.
+The key's range is cut at values of the key itself: of those that a hash chooses every FINER-th, so that buckets are about even
+and hold about ``every`` rows, more in very large tables so that the list of cuts stays below about MOST_CUTS numbers (it is part of
+the plan).  Rows are then dealt out by bucket.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVERY, MOST_CUTS = 128, 32_768
+EVERY, FINER, MOST_CUTS = 32, 8, 32_768
 
 
 def cuts(df: DataFrame, key: Column, every: int = EVERY) -> list[int]:
@@ -18,8 +19,9 @@ def cuts(df: DataFrame, key: Column, every: int = EVERY) -> list[int]:
     rows, least = keys.agg(F.count("*"), F.min("key")).first()
     if not rows:
         return []
-    one_in = max(every, rows // MOST_CUTS)
-    return sorted({least, *(r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect())})
+    one_in = max(1, every // FINER, rows // (FINER * MOST_CUTS))
+    chosen = sorted(r[0] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).distinct().collect())
+    return sorted({least, *chosen[FINER - 1 :: FINER]})
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
