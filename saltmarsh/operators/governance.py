@@ -226,17 +226,21 @@ def single_valued(df: DataFrame, *columns: str) -> DataFrame:
 def benchmark_identity(manifests: DataFrame) -> DataFrame:
     """manifests (source, utterance_id, surface_text, expressions array): per source the counts and a hash of the meaning.
 
-    The hash is over the rows, with expressions sorted; equal hashes mean the same benchmark.  It is built in two levels: rows fall
-    into 4096 buckets by the hash of their id, each hashed in order of id, and a source's hash is over its buckets' in order.
+    The hash is over the rows, with expressions sorted; equal hashes mean the same benchmark.  It is built as a tree: rows fall into
+    buckets by six hexadecimal digits of their id's hash, each hashed in order of id; these into 4096 by three digits, and a source's
+    hash is over those in order.  So no array has many more entries than the 16.7 millionth part of the rows, or than 4096.
     """
     line = F.sha2(F.to_json(F.struct("utterance_id", "surface_text", F.sort_array("expressions").alias("expressions"))), 256)
-    rows = manifests.select("source", F.col("utterance_id").cast("string").alias("id"), line.alias("line"), F.size("expressions").alias("k"))
+    rows = manifests.select("source", F.col("utterance_id").cast("string").alias("at"), line.alias("hash"), F.lit(1).cast("long").alias("n"), F.size("expressions").alias("k"))
+    digits = F.md5(F.coalesce("at", F.lit("")).cast("binary"))
 
-    def joined(*columns: str) -> Column:
-        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*columns))), lambda x: x[columns[-1]]), ""), 256)
+    def up(level: DataFrame, *by: Column) -> DataFrame:
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"])
+        return level.groupBy("source", *by).agg(F.sha2(F.array_join(hashes, ""), 256).alias("hash"), F.sum("n").alias("n"), F.sum("k").alias("k"))
 
-    buckets = rows.groupBy("source", F.substring(F.md5(F.coalesce("id", F.lit("")).cast("binary")), 1, 3).alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("k"), joined("id", "line").alias("hash"))
-    return buckets.groupBy("source").agg(F.sum("n").alias("entries"), F.sum("k").alias("expressions"), joined("bucket", "hash").alias("semantic_hash"))
+    fine = up(rows, F.left(digits, F.lit(6)).alias("bucket")).withColumnRenamed("bucket", "at")
+    coarse = up(fine, F.left("at", F.lit(3)).alias("bucket")).withColumnRenamed("bucket", "at")
+    return up(coarse).select("source", F.col("n").alias("entries"), F.col("k").alias("expressions"), F.col("hash").alias("semantic_hash"))
 
 
 def asset_for_role(assets: Column, role: str, legacy: Column) -> Column:

@@ -389,7 +389,7 @@ def field_constraints(spark, d):
     return contracts.violations(table(spark, d, "lineitem"), "l_orderkey", {"price": contracts.out_of_range(F.col("l_extendedprice"), 1000, 50000), "discount": F.col("l_discount") > 0.08})
 
 
-@query("WITH line AS (SELECT source, doc_id::VARCHAR AS id, length(lang) AS k, sha256('{\"utterance_id\":' || doc_id || ',\"surface_text\":' || to_json(text)::VARCHAR || CASE WHEN lang IS NULL THEN '' ELSE ',\"expressions\":' || to_json(list_sort(string_split(lang, '')))::VARCHAR END || '}') AS line FROM documents), bucket AS (SELECT source, left(md5(id), 3) AS bucket, count(*) AS n, sum(k) AS k, sha256(string_agg(line, '' ORDER BY id, line)) AS hash FROM line GROUP BY ALL) SELECT source, sum(n)::BIGINT AS entries, sum(k)::BIGINT AS expressions, sha256(string_agg(hash, '' ORDER BY bucket)) AS semantic_hash FROM bucket GROUP BY source")
+@query("WITH line AS (SELECT source, doc_id::VARCHAR AS id, length(lang) AS k, sha256('{\"utterance_id\":' || doc_id || ',\"surface_text\":' || to_json(text)::VARCHAR || CASE WHEN lang IS NULL THEN '' ELSE ',\"expressions\":' || to_json(list_sort(string_split(lang, '')))::VARCHAR END || '}') AS line FROM documents), fine AS (SELECT source, left(md5(id), 6) AS b6, count(*) AS n, sum(k) AS k, sha256(string_agg(line, '' ORDER BY id, line)) AS hash FROM line GROUP BY ALL), bucket AS (SELECT source, left(b6, 3) AS bucket, sum(n) AS n, sum(k) AS k, sha256(string_agg(hash, '' ORDER BY b6)) AS hash FROM fine GROUP BY ALL) SELECT source, sum(n)::BIGINT AS entries, sum(k)::BIGINT AS expressions, sha256(string_agg(hash, '' ORDER BY bucket)) AS semantic_hash FROM bucket GROUP BY source")
 def benchmark_identity(spark, d):
     m = table(spark, d, "documents").select("source", F.col("doc_id").alias("utterance_id"), F.col("text").alias("surface_text"), F.split("lang", "").alias("expressions"))
     return governance.benchmark_identity(m)
