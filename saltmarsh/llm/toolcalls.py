@@ -1,10 +1,10 @@
 """Tool calls of chat transcripts: linked to their results, ordered, validated and written as canonical JSON.
 
 Everything is Spark SQL functions.  Calls and results meet by hash join on the identifier.  A call names the earlier calls whose
-results it uses; its level in that graph, its longest path from a call that uses none, orders the calls topologically.  Chains, in
-which each call uses one other, are shortened by pointer jumping, log2(n) joins for a chain of n; calls that use several are then
-settled in order of their depth among such calls, a join for each step of it.  Arguments are checked against a JSON schema for
-each tool.
+results it uses; its level in that graph, its longest path from a call that uses none, orders the calls topologically.  Each call
+first chooses one parent, and depths along the chosen ones come from pointer jumping, log2(n) joins for a chain of n.  Calls then
+choose their highest parent, as long as that is higher than the one they have, and depths are worked out again: every pass ends
+higher, and none is needed where each call has one parent.  Arguments are checked against a JSON schema for each tool.
 
 Canonical JSON has the keys of objects in order, no white space, and every number as ECMAScript writes it, but with all of its digits:
 1e2, 100 and 100.0 are 100, and 1E-7 is 1e-7; nothing is rounded.  For this, strings and numbers are marked before Spark parses the
@@ -28,6 +28,24 @@ Schema = dict[str, Any]
 _NUMBER = r"(?<![\w.+-])(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?![\w.+-])"
 
 
+def _depths(choice: DataFrame) -> DataFrame:
+    """(call_id, level) along one chosen parent each (call_id, up): its depth, or null on or below a cycle.
+
+    up is the call reached so far, dist steps away; it is open as long as that one has a parent itself.  Each round doubles the
+    steps, so what is still open after log2(n) of them runs in a circle.
+    """
+    known = choice.select(F.col("call_id").alias("up"), F.lit(True).alias("more"))
+    state = saved(join_spread(choice, known, "up").select("call_id", "up", F.lit(1).cast("long").alias("dist"), F.col("more").isNotNull().alias("open")), "chains")
+    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
+        if state.where("open").isEmpty():
+            break
+        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("more"), F.col("open").alias("on"))
+        moved = join_spread(state.where("open"), above, "up").select("call_id", F.col("up2").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.col("on").alias("open"))
+        before, state = state, saved(state.where("not open").unionByName(moved), "chains")
+        forget(before)
+    return state.select("call_id", F.when(~F.col("open"), F.col("dist")).alias("level"))
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """(call_id, level, cyclic) of calls (call_id, parents: array of ids): level 0 for a call without a known parent, else one
     above the highest of its parents'.
@@ -36,42 +54,21 @@ def call_levels(calls: DataFrame) -> DataFrame:
     the parents of all their rows.  Null ids and null, repeated or unknown parents are left out.
     """
     ids = saved(calls.where("call_id is not null").select("call_id").distinct(), "calls")
-    edges = saved(calls.where("call_id is not null").select("call_id", F.explode("parents").alias("parent")).where("parent is not null").distinct(), "edges")
-    edges = saved(join_spread(edges, ids.select(F.col("call_id").alias("parent"), F.lit(True).alias("known")), "parent").where("known").drop("known"), "edges")
-    uses = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("parent").alias("up"))
-
-    # Calls with one parent: up is the call reached so far, dist steps away; open as long as that has one parent itself.
-    state = saved(uses.where("n = 1").select("call_id", "up", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("open")), "chains")
-    rounds = math.ceil(math.log2(state.count() + 1)) + 1
-    for _ in range(rounds):
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("more"))
-        moved = join_spread(state, above, "up").select("call_id", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("open"))
-        before, state = state, saved(moved, "chains")
-        forget(before)
-        if state.where("open").isEmpty():
+    named = saved(calls.where("call_id is not null").select("call_id", F.explode("parents").alias("parent")).where("parent is not null").distinct(), "edges")
+    edges = saved(join_spread(named, ids.select(F.col("call_id").alias("parent"), F.lit(True).alias("known")), "parent").where("known").drop("known"), "edges")
+    choice = saved(edges.groupBy("call_id").agg(F.min("parent").alias("up")), "choice")
+    while True:
+        levels = saved(_depths(choice), "levels")
+        # The highest parent of each call, a cyclic one before all others; a call whose choice is one of these stays.
+        by_parent = levels.select(F.col("call_id").alias("parent"), F.coalesce("level", F.lit(1 << 62)).alias("height"))
+        best = join_spread(edges, by_parent, "parent").groupBy("call_id").agg(F.max(F.struct(F.coalesce("height", F.lit(0)).alias("height"), "parent")).alias("best"))
+        better = saved(best.join(levels.where("level is not null"), "call_id").where("best.height >= level").select("call_id", F.col("best.parent").alias("up")), "better")
+        if better.isEmpty():
             break
-    # What is still open after so many rounds runs in a circle.
-    chain = state.where("not open").select("call_id", "up", "dist")
-    known = saved(ids.join(uses.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")), "levels")
-
-    several = edges.join(uses.where("n > 1").select("call_id"), "call_id")
-    reached = state.select(F.col("call_id").alias("parent"), "up", "dist", "open")
-    waiting = join_spread(saved(several, "several"), reached, "parent").select(
-        "call_id", F.when(~F.coalesce("open", F.lit(False)), F.coalesce("up", "parent")).alias("anchor"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.lit(None).cast("long").alias("level"),
-    )
-    waiting, newest = saved(waiting, "waiting"), known
-    while not waiting.isEmpty():
-        told = join_spread(waiting, newest.select(F.col("call_id").alias("anchor"), F.col("level").alias("now")), "anchor")
-        told = saved(told.select("call_id", "anchor", "dist", F.coalesce("level", "now").alias("level")), "waiting")
-        ready = told.groupBy("call_id").agg(F.count("*").alias("n"), F.count("level").alias("k"), F.max(F.col("level") + F.col("dist")).alias("level"))
-        newest = saved(ready.where("n = k").select("call_id", "level"), "levels")
-        if newest.isEmpty():  # the rest uses a cycle
-            break
-        known = known.unionByName(newest)
-        waiting = saved(told.join(newest.select("call_id"), "call_id", "left_anti"), "waiting")
-    levels = known.select(F.col("call_id").alias("up"), F.col("level").alias("base"))
-    settled = join_spread(saved(chain, "chains"), levels, "up").where("base is not null").select("call_id", (F.col("base") + F.col("dist")).alias("level")).unionByName(known)
-    return ids.join(settled, "call_id", "left").select("call_id", "level", F.col("level").isNull().alias("cyclic"))
+        before, choice = choice, saved(choice.join(better.select("call_id"), "call_id", "left_anti").unionByName(better), "choice")
+        forget(before)
+    out = ids.join(levels.withColumn("used", F.lit(True)), "call_id", "left")
+    return out.select("call_id", F.when(F.col("used").isNull(), 0).otherwise(F.col("level")).cast("long").alias("level"), (F.col("used").isNotNull() & F.col("level").isNull()).alias("cyclic"))
 
 
 def _outside(text: Column, inside: Column | None, outside: Column | None, joined: str) -> Column:
