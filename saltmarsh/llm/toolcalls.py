@@ -14,6 +14,7 @@ text: every number becomes a string that begins with n, and every other string b
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,22 +88,34 @@ def marked(text: Column) -> Column:
     return _outside(text, lambda p: F.concat(F.lit("s"), p), lambda p: F.regexp_replace(p, _NUMBER, '"n$1"'), '"')
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also inside a higher-order function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical_number(x: Column) -> Column:
     """A JSON number as ECMAScript writes one, with all of its digits; null where the exponent has more than 17 digits."""
     body = F.lower(F.regexp_replace(x, "^-", ""))
-    sign = F.when(F.startswith(x, F.lit("-")), "-").otherwise("")
-    mantissa = F.substring_index(body, "e", 1)
-    raised = F.when(F.contains(body, F.lit("e")), F.when(F.length(F.regexp_replace(body, "^.*e[+-]?0*", "")) < 18, F.regexp_replace(body, r"^.*e\+?", "").try_cast("long"))).otherwise(F.lit(0).cast("long"))
+    return _let(F.struct(F.when(F.startswith(x, F.lit("-")), "-").otherwise("").alias("sign"), F.substring_index(body, "e", 1).alias("mantissa"), F.when(F.contains(body, F.lit("e")), F.substring_index(body, "e", -1)).otherwise("0").alias("power")), _number)
+
+
+def _number(parts: Column) -> Column:
+    mantissa, power = parts["mantissa"], parts["power"]
     fraction = F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise("")
+    raised = F.when(F.length(F.regexp_replace(power, "^[+-]?0*", "")) < 18, F.regexp_replace(power, r"^\+", "").try_cast("long"))
     digits = F.regexp_replace(F.concat(F.substring_index(mantissa, ".", 1), fraction), "^0+", "")
-    short = F.regexp_replace(digits, "0+$", "")
-    k = F.length(short)
-    n = k + raised - F.length(fraction) + F.length(digits) - k  # the point stands behind n digits
+    found = F.struct(digits.alias("digits"), F.regexp_replace(digits, "0+$", "").alias("short"), (raised - F.length(fraction)).alias("raised"))
+    return _let(found, lambda d: _let(F.struct(d["short"].alias("short"), F.length(d["short"]).cast("long").alias("k"), (d["raised"] + F.length(d["digits"])).alias("n")), lambda v: _shown(parts["sign"], v)))
+
+
+def _shown(sign: Column, v: Column) -> Column:
+    """k digits, of which the point stands behind n."""
+    short, k, n = v["short"], v["k"], v["n"]
     power = F.concat(F.lit("e"), F.when(n > 0, "+").otherwise("-"), F.abs(n - 1).cast("string"))
     zeros = lambda m: F.repeat(F.lit("0"), F.greatest(m, F.lit(0)).cast("int"))
     number = (
         F.when((k <= n) & (n <= 21), F.concat(short, zeros(n - k)))
-        .when((n > 0) & (n <= 21), F.concat(F.left(short, n.cast("int")), F.lit("."), F.substring(short, (n + 1).cast("int"), k)))
+        .when((n > 0) & (n <= 21), F.concat(F.left(short, n.cast("int")), F.lit("."), F.substring(short, (n + 1).cast("int"), k.cast("int"))))
         .when((n > -6) & (n <= 0), F.concat(F.lit("0."), zeros(-n), short))
         .when(k == 1, F.concat(short, power)).otherwise(F.concat(F.left(short, F.lit(1)), F.lit("."), F.substring(short, 2, 1 << 30), power))
     )
@@ -182,7 +195,10 @@ def argument_errors(tool: Column, arguments: Column, schema: dict[str, Schema])
 
     A null property counts as missing.  Numbers are compared as doubles; any number of 2**53 or more counts as an integer.
     """
-    parsed = F.try_parse_json(marked(arguments))
+    return _argument_errors(tool, F.try_parse_json(marked(arguments)), schema)
+
+
+def _argument_errors(tool: Column, parsed: Column, schema: dict[str, Schema]) -> Column:
     shape = F.when(parsed.isNull(), F.array(F.lit("not JSON"))).when(~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.array(F.lit("not an object")))
     out = None
     for name, rules in sorted(schema.items()):
@@ -210,9 +226,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schema: dict[str, Sche
     own = saved(calls.select("call_id", "tool", "arguments", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")), "calls")
     known = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     facts = call_levels(own).join(known, "call_id", "left")
-    joined = join_spread(own, facts, "call_id").withColumn("errors", argument_errors(F.col("tool"), F.col("arguments"), schema))
+    joined = join_spread(own, facts, "call_id").withColumn("_parsed", F.try_parse_json(marked(F.col("arguments"))))
+    joined = joined.withColumn("errors", _argument_errors(F.col("tool"), F.col("_parsed"), schema))
     line = F.concat(
-        F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("call_id"), F.lit(',"result":'), _quoted("content"), F.lit(',"tool":'), _quoted("tool"), F.lit("}")
+        F.lit('{"arguments":'), F.coalesce(_written(F.col("_parsed")), F.lit("null")), F.lit(',"id":'), _quoted("call_id"), F.lit(',"result":'), _quoted("content"), F.lit(',"tool":'), _quoted("tool"), F.lit("}")
     )
     return joined.select(
         "call_id", F.array_join("parents", ",").alias("parents"), "tool", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
