@@ -9,7 +9,6 @@ gathering a length's pieces.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,61 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, saved, table
+from .tokens import Encoder, vocabulary
 
 LENGTH, END = 1024, 2
-TOKENIZER = "byte_bpe_50k.json"
 
-_encoders: dict[str, "Encoder"] = {}
-
-
-#: Fixed value: how a byte-level vocabulary of this family parts a text before merging.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-
-
-class Encoder:
-    """Token ids of whole texts as little-endian 32-bit numbers, those of tokenizers for a byte-level vocabulary file.
-
-    Where ids rise in the order of merges, as in this family, tiktoken gives the same ids from the same file in a third of the
-    time; texts with an added token's string, and other vocabularies, go through tokenizers itself.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = self._ranked(path)
-
-    def _ranked(self, path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        pieces, alphabet = model["model"], _byte_alphabet()
-        split = model.get("pre_tokenizer") or {}
-        if pieces.get("type") != "BPE" or model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
-            return None
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in pieces["vocab"].items() if token not in self.added}
-        merged = [pieces["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in pieces["merges"]]
-        if merged != sorted(merged) or any(bytes([b]) not in ranks for b in range(256)):
-            return None
-        return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if self.fast is None or any(a in text for a in self.added):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
-        return out
+_encoders: dict[str, Encoder] = {}
 
 
 def _pieces(path: str, length: int, end: int):
@@ -273,12 +222,6 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Plan]:
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "sequence_id", "offset"), plan
 
 
-def vocabulary(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs (doc_id, text)."""
     pieces = token_pieces(docs.select("doc_id", "text"), path or vocabulary())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, ogg, packing, sentencepiece, spotsigs, substring_dedup, toolcalls, toxicity, warc_fixity
+from . import language_id, near_dedup, ogg, packing, sentencepiece, spotsigs, substring_dedup, token_files, toolcalls, toxicity, warc_fixity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tool_calls": toolcalls.op8_tool_calls,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_warc_fixity": warc_fixity.op10_warc_fixity,
+    "op11_token_files": token_files.op11_token_files,
 }
 ORACLE_SQL = {
     "op5_spotsigs": spotsigs.OP5_SQL,
