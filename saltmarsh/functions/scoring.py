@@ -15,14 +15,15 @@ HIGH_CONFIDENCE = 0.85
 
 
 #: Of the numbers in _align: bits of the substitutions; above them two for the kind of step, above these the edits.
-_SUBS = 20
+_SUBS = 30
 
 
-def _align(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Edits and substitutions of each pair, all pairs at once over one grid padded to the longest.
+def _align(refs: list[str], hyps: list[str], edits: list[int]) -> np.ndarray:
+    """Substitutions of each pair, whose number of edits is known, all pairs at once over one grid padded to the longest.
 
     Of equally cheap steps the diagonal comes first, then the deletion, then the insertion.  The grid is filled by
     anti-diagonals, of which each is one array: edits and substitutions of a cell are one number, so that one minimum decides.
+    Only the band that a path of so few edits can touch is filled: it must leave cells to come back to the last one.
     """
     n, rows, cols = len(refs), max(map(len, refs)), max(map(len, hyps))
     r, h = np.zeros((n, rows), np.uint32), np.ones((n, cols), np.uint32)
@@ -31,49 +32,56 @@ def _align(refs: list[str], hyps: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h[i, cols - len(b) :] = np.frombuffer(b.encode("utf-32-le"), np.uint32)[::-1]  # from its end: h[:, cols - j] is character j
     nr, nh = np.array([len(x) for x in refs]), np.array([len(x) for x in hyps])
     edit, kind = 1 << (_SUBS + 2), 1 << _SUBS
+    longer = nh - nr
+    spare = (np.array(edits) - np.abs(longer)) // 2
+    low, high = int((np.minimum(longer, 0) - spare).min()), int((np.maximum(longer, 0) + spare).max())  # of j - i
+    outside = np.int64(1) << 62
     ends: dict[int, list[int]] = {}
     for i, d in enumerate((nr + nh).tolist()):
         ends.setdefault(d, []).append(i)
     found = np.zeros(n, np.int64)
     older, last, new = (np.zeros((n, rows + 1), np.int64) for _ in range(3))
     for d in range(max(ends) + 1):
-        first, end = max(1, d - cols), min(rows, d - 1)  # cells (i, d - i) off the borders
+        first, end = max(1, d - cols, -((high - d) // 2)), min(rows, d - 1, (d - low) // 2)  # cells (i, d - i) off the borders, in the band
         if first <= end:
             step = (r[:, first - 1 : end] != h[:, cols - d + first : cols - d + end + 1]) * np.int64(edit + 1)
             step += older[:, first - 1 : end]
             np.minimum(step, last[:, first - 1 : end] + (edit + kind), out=step)
             np.minimum(step, last[:, first : end + 1] + (edit + 2 * kind), out=step)
             np.bitwise_and(step, ~(3 * kind), out=new[:, first : end + 1])
-        if d <= cols:
+        for beside in (first - 1, end + 1):
+            if 0 <= beside <= rows:
+                new[:, beside] = outside
+        if d <= min(cols, high):
             new[:, 0] = d * edit
-        if d <= rows:
+        if d <= min(rows, -low):
             new[:, d] = d * edit
         if d in ends:
             found[ends[d]] = new[ends[d], nr[ends[d]]]
         older, last, new = last, new, older
-    return found >> (_SUBS + 2), found & (kind - 1)
+    return found & (kind - 1)
 
 
 _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "reference_characters")])
 
 
 @F.pandas_udf(_COUNTS)
-def _edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    refs, hyps = ref.fillna("").tolist(), hyp.fillna("").tolist()
+def _edit_counts(ref: pd.Series, hyp: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    refs, hyps, total = ref.fillna("").tolist(), hyp.fillna("").tolist(), edits.fillna(0).astype("int64").to_numpy()
     out = np.zeros((len(refs), 4), np.int32)
     # Pairs of like size share a grid; a diagonal of all has at most about half a million cells.
-    order = sorted(range(len(refs)), key=lambda i: (max(len(refs[i]), len(hyps[i])), i))
+    order = sorted(range(len(refs)), key=lambda i: (max(len(refs[i]), len(hyps[i])) // 8, total[i]))
     at = 0
     while at < len(order):
         size = max(len(refs[order[at]]), len(hyps[order[at]]), 1)
         end = at
-        while end < len(order) and max(len(refs[order[end]]), len(hyps[order[end]])) <= size + 8 and (end == at or (end - at) * (size + 8) < 500_000):
+        while end < len(order) and max(len(refs[order[end]]), len(hyps[order[end]])) <= size + 8 and total[order[end]] <= 2 * total[order[at]] + 64 and (end == at or (end - at) * (size + 8) < 500_000):
             end += 1
         group = order[at:end]
         a, b = [refs[i] for i in group], [hyps[i] for i in group]
-        edits, swapped = _align(a, b)
+        swapped = _align(a, b, total[group].tolist())
         gap = np.array([len(x) - len(y) for x, y in zip(a, b, strict=True)])
-        rest = edits - swapped  # deletions and insertions; their difference is that of the lengths
+        rest = total[group] - swapped  # deletions and insertions; their difference is that of the lengths
         out[group] = np.stack([swapped, (rest + gap) // 2, (rest - gap) // 2, np.array([len(x) for x in a])], 1)
         at = end
     return pd.DataFrame(out, columns=_COUNTS.names)
@@ -81,7 +89,8 @@ def _edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 
 def edit_counts(ref: Column, hyp: Column) -> Column:
     """Substitutions, deletions, insertions and the reference's length, of texts that are already normalised."""
-    return _edit_counts(ref, hyp)
+    ref, hyp = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
+    return _edit_counts(ref, hyp, F.levenshtein(ref, hyp))
 
 
 def rate(edits: Column, length: Column) -> Column:

@@ -4,52 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rtf
+from .percentiles import exact_percentiles
 
 
 def ratio(top: Column, bottom: Column, empty: float) -> Column:
     return F.when(F.coalesce(bottom, F.lit(0)) == 0, F.lit(empty)).otherwise(top / bottom)
 
 
-#: Parts into which exact_percentiles cuts the values of a group, by a sketch of bounded size.
-PARTS = 64
-
-
-def exact_percentiles(df: DataFrame, value: str, names: dict[str, float], *by: str) -> DataFrame:
-    """One row for each group (one in all without ``by``) with exact percentiles, linearly interpolated; null without a value.
-
-    No task holds a group's values: a sketch cuts them into PARTS, counts tell in which part a rank lies, and only those parts are
-    put in order, each by itself.
-    """
-    groups = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
-    keys = list(by) or ["_all"]
-    base = df.select(*groups, F.col(value).cast("double").alias("_v"))
-    marks = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
-    whole = base.groupBy(*keys).agg(F.count("_v").alias("_total"), F.percentile_approx("_v", marks, F.lit(20 * PARTS)).alias("_marks"))
-    counts = base.where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    same = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    dealt = counts.alias("a").join(whole.alias("b"), same).select(*[F.col(f"a.{k}") for k in keys], "_v", "_n", "_total", F.size(F.filter("_marks", lambda m: m <= F.col("_v"))).alias("_part"))
-    own = Window.partitionBy(*keys, "_part")
-    inside = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_k"))
-    before = inside.select(*keys, "_part", "_k", (F.sum("_k").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_k")).alias("_before"))
-    both = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_part"]])
-    placed = dealt.alias("a").join(before.alias("b"), both).select(*[F.col(f"a.{k}") for k in keys], "_v", "_n", "_total", F.col("a._part").alias("_part"), "_k", "_before")
-    ranks = {n: (F.lit(f) * (F.col("_total") - 1), F.floor(F.lit(f) * (F.col("_total") - 1)), F.ceil(F.lit(f) * (F.col("_total") - 1))) for n, f in names.items()}
-    wanted = reduce(lambda a, b: a | b, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")) for _, low, high in ranks.values() for r in (low, high)])
-    last = F.col("_before") + F.sum("_n").over(own.orderBy("_v"))
-    found = placed.where(wanted).withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col("_v")))
-
-    out = found.groupBy(*keys).agg(*[(at(low) + (at(high) - at(low)) * F.max(exact - low)).alias(n) for n, (exact, low, high) in ranks.items()])
-    every = whole.select(*keys).alias("a").join(out.alias("b"), same, "left")
-    return every.select(*[F.col(f"a.{k}") for k in by], *[F.col(f"b.{n}") for n in names])
-
-
 def _with_percentiles(sums: DataFrame, df: DataFrame, value: str, names: dict[str, float], *by: str) -> DataFrame:
     """One row for each group: sums of df, and beside them percentiles of a column."""
     p = exact_percentiles(df, value, names, *by)
@@ -68,27 +33,44 @@ def corpus_cer() -> Column:
 def aggregate_report(cases: DataFrame, *by: str) -> DataFrame:
     """One row (or one for each group): counts, error rate, expression rates, confident errors, latency percentiles.
 
-    cases: edits, ref_chars, high_confidence_wrong, latency_ms, expressions, preserved, overcorrected.
+    cases: edits, ref_chars, high_confidence_wrong, latency_ms, expressions, preserved, overcorrected.  Every case needs a latency: cases
+    without a number of at least 0 are counted in ``missing_latency_count`` (latency_violations() names them), and a report that has any is not to
+    be published.
     """
     sums = cases.groupBy(*by).agg(
         F.count("*").alias("utterance_count"), F.round(corpus_cer(), 6).alias("cer"),
         F.round(ratio(F.sum("preserved"), F.sum("expressions"), 1.0), 6).alias("dialect_preservation_rate"),
         F.round(ratio(F.sum("overcorrected"), F.sum("expressions"), 0.0), 6).alias("context_overcorrection_rate"),
-        F.count_if("high_confidence_wrong").alias("high_confidence_wrong_count"),
+        F.count_if("high_confidence_wrong").alias("high_confidence_wrong_count"), F.count_if(_no_latency()).alias("missing_latency_count"),
     )
     p = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
     return _with_percentiles(sums, cases, "latency_ms", p, *by).withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 6) for c in p})
 
 
+def _no_latency() -> Column:
+    return F.col("latency_ms").isNull() | F.isnan("latency_ms") | (F.col("latency_ms") < 0)
+
+
+def latency_violations(cases: DataFrame, key: str) -> DataFrame:
+    """(rule, key) of the cases without a usable latency."""
+    return cases.where(_no_latency()).select(F.lit("latency_missing").alias("rule"), F.col(key).cast("string").alias("key"))
+
+
 def latency_percentiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Exact median and 95th percentile with linear interpolation."""
     out = _with_percentiles(df.groupBy(*by).agg(F.count(value).alias("n")), df, value, {"p50": 0.5, "p95": 0.95}, *by)
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
 
 
-def group_cer(cases: DataFrame, *by: str) -> DataFrame:
-    """Error rates by every prefix of ``by`` (rollup); null stands for all."""
-    return cases.rollup(*by).agg(F.count("*").alias("cases"), F.round(corpus_cer(), 6).alias("cer"))
+def group_cer(cases: DataFrame, *by: str, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """Error rates by sets of the columns ``by``: each of ``sets``, or by default every prefix, down to none.
+
+    ``level`` tells them apart: bit i from the right is set where the i-th column from the right is summed over.  A null key with its
+    bit unset is a group of its own.
+    """
+    sets = [by[:n] for n in range(len(by) + 1)] if sets is None else sets
+    grouped = cases.groupingSets([[F.col(c) for c in s] for s in sets], *by)
+    return grouped.agg(F.count("*").alias("cases"), F.round(corpus_cer(), 6).alias("cer"), F.grouping_id().cast("long").alias("level"))
 
 
 def failure_type_counts(reviews: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Distances of texts take far longer than the texts' bytes tell, so the number of parts is stated, not left to their size.
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").withColumn("next", F.lead("text").over(w)).where("next is not null")
+    dealt = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    return dealt.withColumn("next", F.lead("text").over(w)).where("next is not null")
 
 
 def _scored(turns: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:

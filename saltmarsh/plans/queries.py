@@ -26,7 +26,7 @@ def scored(sql: str) -> Callable[[Callable], Callable]:
 
 _AGGREGATE = """count(*) AS utterance_count, round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer,
  round(sum(preserved) / sum(expressions), 6) AS dialect_preservation_rate, round(sum(overcorrected) / sum(expressions), 6) AS context_overcorrection_rate,
- count(*) FILTER (hcw) AS high_confidence_wrong_count, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms"""
+ count(*) FILTER (hcw) AS high_confidence_wrong_count, count(*) FILTER (latency_ms IS NULL) AS missing_latency_count, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms"""
 
 
 @scored(f"WITH {CASES} SELECT {_AGGREGATE} FROM scored")
@@ -51,9 +51,20 @@ def edit_counts(spark, d, cases):
     return c.select("case_id", F.expr("k.substitutions + k.deletions + k.insertions").alias("edits"), F.expr("k.insertions - k.deletions").alias("longer"))
 
 
-@scored(f"WITH {CASES} SELECT role, conv_id % 4 AS part, count(*) AS cases, round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer FROM scored GROUP BY ROLLUP (role, conv_id % 4)")
+_RATE = "round(CASE WHEN sum(ref_chars) = 0 THEN sum(edits) ELSE sum(edits) / sum(ref_chars) END, 6) AS cer"
+
+
+@scored(f"WITH {CASES} SELECT role, part, count(*) AS cases, {_RATE}, grouping_id(role, part)::BIGINT AS level FROM (SELECT *, CASE WHEN turn % 3 <> 2 THEN conv_id % 4 END AS part FROM scored) GROUP BY ROLLUP (role, part)")
 def group_cer(spark, d, cases):
-    return reports.group_cer(cases.withColumn("part", F.col("conv_id") % 4), "role", "part")
+    """By role and part, of which some cases have none: their group is not the subtotal."""
+    return reports.group_cer(cases.withColumn("part", F.when(F.col("turn") % 3 != 2, F.col("conv_id") % 4)), "role", "part")
+
+
+@scored(f"WITH {CASES} SELECT speaker, region, environment, count(*) AS cases, {_RATE}, grouping_id(speaker, region, environment)::BIGINT AS level FROM (SELECT *, role AS speaker, CASE WHEN conv_id % 7 <> 3 THEN conv_id % 7 END AS region, turn % 2 AS environment FROM scored) GROUP BY GROUPING SETS ((speaker), (region), (environment), (region, environment), ())")
+def group_cer_sets(spark, d, cases):
+    """By speaker, region, environment, the last two together, and all."""
+    keyed = cases.withColumns({"speaker": F.col("role"), "region": F.when(F.col("conv_id") % 7 != 3, F.col("conv_id") % 7), "environment": F.col("turn") % 2})
+    return reports.group_cer(keyed, "speaker", "region", "environment", sets=[("speaker",), ("region",), ("environment",), ("region", "environment"), ()])
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events GROUP BY event_type")
