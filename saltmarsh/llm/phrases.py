@@ -29,7 +29,7 @@ from .common import forget, saved, table
 SUPPORT, MOST_WORDS, TOP, INSIDE, SHARDS = 10, 3, 2000, 50, 4
 UNKNOWN = "und"
 #: Words that a task settles at once.
-SETTLED = 1 << 21
+SETTLED = 1 << 20
 #: Hashes for each range of a shuffle, about; bits of a map of frequent phrases: one for each word of the corpus, within these bounds.
 RANGE, FEWEST_BITS, MOST_BITS = 1 << 21, 20, 30
 
@@ -137,7 +137,7 @@ def _mining(k: int, ranges: int, shorter: Broadcast | None):
         if not len(keys):
             return None
         distinct, first, n = _settled(keys)
-        least = least[first].astype("<u4")
+        least = least[first]
         number, edge = _edges(distinct, ranges)
         bodies = [distinct[a:b].tobytes() + n[a:b].astype("<u4").tobytes() + least[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.diff(edge)), pa.array(bodies, pa.binary())], names=["range", "n", "body"])
@@ -158,7 +158,7 @@ def _mining(k: int, ranges: int, shorter: Broadcast | None):
                     frequent = _marked(bits, _in_shard(fewer[at], lang[row], shard[row]))
                     frequent[frequent] = _marked(bits, _in_shard(fewer[at[frequent] + 1], lang[row[frequent]], shard[row[frequent]]))
                     at, row = at[frequent], row[frequent]
-                held.append([_in_shard(grams.hashes(k)[at], lang[row], shard[row]), support[row]])
+                held.append([_in_shard(grams.hashes(k)[at], lang[row], shard[row]), support[row].astype("<u4")])
                 words += len(grams.hash)
                 if words >= SETTLED:
                     if (out := flush(held)) is not None:
@@ -208,7 +208,7 @@ def _counting(most: int, ranges: int, maps: list[Broadcast], shards: int):
         lang, begin, length = lang[first], begin[first], length[first]
         number = (distinct >> np.uint64(64 - ranges)).astype(np.int64) if ranges else np.zeros(len(distinct), np.int64)
         order = np.lexsort((lang, number))
-        number, lang, begin, length, n = number[order], lang[order], begin[order], length[order] + 1, n[order].astype("<u4")
+        number, lang, begin, length, n = number[order], lang[order], begin[order].astype(np.int64), length[order].astype(np.int64) + 1, n[order].astype("<u4")
         stop = np.cumsum(length)
         place = np.repeat(begin - (stop - length), length) + np.arange(int(stop[-1]))
         body = data[place]
@@ -226,7 +226,7 @@ def _counting(most: int, ranges: int, maps: list[Broadcast], shards: int):
             data, offsets = K.utf8(part.column(0))
             lang = part.column(1).to_numpy().view(np.uint64)
             named = part.column(2).dictionary_encode()
-            name = np.array([names.setdefault(x, len(names)) for x in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()] if len(named) else _NO_WORD
+            name = np.array([names.setdefault(x, len(names)) for x in named.dictionary.to_pylist()], np.int32)[named.indices.to_numpy()] if len(named) else np.zeros(0, np.int32)
             for i, d, off, counts in parts_of(data, offsets, most - 1):
                 grams = Grams(d, off, counts)
                 plain, begin = grams.plain()
@@ -241,7 +241,7 @@ def _counting(most: int, ranges: int, maps: list[Broadcast], shards: int):
                             rest = np.flatnonzero(~found)
                             found[rest] = _marked(bits[k - 2], _in_shard(h[rest], lang[row[rest]], s))
                         at, row, h = at[found], row[found], h[found]
-                    held.append([K.mix(h ^ K.mix(lang[row] + np.uint64(k))), name[row], size + begin[at], stop[at + k - 1] - begin[at]])
+                    held.append([K.mix(h ^ K.mix(lang[row] + np.uint64(k))), name[row], (size + begin[at]).astype(np.int32), (stop[at + k - 1] - begin[at]).astype(np.int32)])
                 texts.append(plain)
                 size += len(plain)
                 words += len(grams.hash)

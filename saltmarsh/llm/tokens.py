@@ -12,6 +12,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import text_groups
 from .textkernel import utf8
@@ -19,7 +20,7 @@ from .textkernel import utf8
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores already
 
 #: Pieces whose ids are kept between batches, and the longest of them in bytes; bounds the table.
-MOST_PIECES, LONGEST = 500_000, 64
+MOST_PIECES, LONGEST = 1_000_000, 64
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -67,80 +68,84 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, "<u4"), 0
-
-    def _through(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _in_one(self, pieces: list[bytes]) -> list[list[int]] | None:
-        """Ids of pieces that begin with a space and a visible character, from one text of them all, which is faster; parted by bytes."""
-        ids = self._through([b"".join(pieces).decode()])[0]
-        ends = np.cumsum(self.bytes_of[ids])
-        stop = np.searchsorted(ends, np.cumsum([len(p) for p in pieces]), "left") + 1
-        if len(ids) == 0 or ends[-1] != sum(map(len, pieces)):
-            return None
-        return [ids[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        plain = [p for p in pieces if len(p) > 1 and p[0] == 0x20 and _KIND[p[1]]]
-        found = (self._in_one(plain) if plain else None) or self._through([p.decode() for p in plain])
-        others = [p for p in pieces if not (len(p) > 1 and p[0] == 0x20 and _KIND[p[1]])]
-        pieces, found = plain + others, found + self._through([p.decode() for p in others])
-        at, size = len(self.place), np.array([len(x) for x in found], np.int64)
-        stop = self.used + np.cumsum(size)
-        while at + len(pieces) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        while len(pieces) and stop[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
-        self.first[at : at + len(pieces)], self.size[at : at + len(pieces)] = stop - size, size
-        flat = np.array([i for x in found for i in x], "<u4")
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def _ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.known = pa.array([], pa.large_binary())
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _through(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encoded(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and how many each has.
+
+        Most go through tokenizers as one text, each behind a token of its own where it must not follow the piece before; the ids are
+        parted by their bytes.
+        """
+        data, offsets = utf8(pieces)
+        n = np.diff(offsets)
+        first, second = data[offsets[:-1]], data[np.minimum(offsets[:-1] + 1, len(data) - 1)]
+        kind, spaced = _KIND[first], (first == 0x20) & (n > 1)
+        plain = spaced & (_KIND[second] > 0)
+        lead = np.where(plain, 0, np.where((kind > 1) & (first != 0x20) | spaced & (second >= 0x80), 1, np.where((kind == 1) & (first != 0x20), 2, 3)))
+        size = np.zeros(len(n), np.int64)
+        whole = pieces.to_pylist()
+        alone = np.flatnonzero(lead == 3).tolist()
+        together = np.flatnonzero(lead < 3)
+        text = b"".join([(b"", b" a", b" 1")[k] + whole[i] for i, k in zip(together.tolist(), lead[together].tolist(), strict=True)])
+        flat = self._through(text.decode())
+        stop = np.searchsorted(np.cumsum(self.bytes_of[flat]), np.cumsum(n[together] + 2 * (lead[together] > 0)), "left") + 1
+        begin = np.append(0, stop[:-1]) + (lead[together] > 0)
+        size[together] = stop - begin
+        own = {i: self._through(whole[i].decode()) for i in alone}
+        size[alone] = [len(x) for x in own.values()]
+        # The ids of pieces on their own go behind the others, and each piece's are then taken from its place.
+        at = np.zeros(len(n), np.int64)
+        at[together] = begin
+        at[alone] = len(flat) + np.cumsum(size[alone]) - size[alone]
+        pool, end = np.concatenate([flat, *own.values()]), np.cumsum(size)
+        return pool[np.repeat(at - (end - size), size) + np.arange(end[-1])], size
+
+    def _ids_of(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in one array, and each distinct piece's first place and number in it."""
-        if len(self.place) + len(pieces) > MOST_PIECES:
+        if len(self.known) + len(pieces) > MOST_PIECES:
             self._forget()
-        self._learn([p for p in pieces if p not in self.place and len(p) <= LONGEST])
-        long = [i for i, p in enumerate(pieces) if len(p) > LONGEST]
-        at = np.array([self.place.get(p, 0) for p in pieces], np.int64)
-        first, size = self.first[at], self.size[at]
-        if not long:
-            return self.flat, first, size
-        own = self._through([pieces[i].decode() for i in long])
-        size[long] = [len(x) for x in own]
-        first[long] = self.used + np.cumsum(size[long]) - size[long]
-        return np.concatenate([self.flat[: self.used], *[np.array(x, "<u4") for x in own]]), first, size
+        found = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(found.is_null())
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            flat, size = self._encoded(new)
+            at[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+            keep = pc.less_equal(pc.binary_length(new), LONGEST)
+            kept = keep.to_numpy(zero_copy_only=False)
+            more = np.concatenate([self.flat, flat[np.repeat(kept, size)]]), np.concatenate([self.size, size[kept]])
+            flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.known, (self.flat, self.size) = pa.concat_arrays([self.known, new.filter(keep)]), more
+        else:
+            flat, size = self.flat, self.size
+        return flat, (np.cumsum(size) - size)[at], size[at]
 
     def _joined(self, texts: list[str]) -> list[bytes]:
         data, offsets = utf8(pa.array(texts, pa.large_string()))
-        cuts = cut_places(data)
-        cuts = cuts[~np.isin(cuts, offsets)]
-        # A text begins a piece, an empty text too: each piece belongs to the text in which it starts.
-        start = np.concatenate([offsets[:-1], cuts])
-        owner = np.concatenate([np.arange(len(texts)), np.searchsorted(offsets, cuts, "right") - 1])
-        order = np.lexsort((owner, start))
-        start, owner = start[order], owner[order]
-        bounds = np.append(start, len(data)).astype(np.int64)
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+        mark = np.zeros(len(data), bool)
+        mark[cut_places(data)] = True
+        mark[offsets[:-1][offsets[:-1] < len(data)]] = True
+        bounds = np.append(np.flatnonzero(mark), len(data)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         known = pieces.dictionary_encode()
-        flat, first, size = self._ids_of(known.dictionary.to_pylist())
         at = known.indices.to_numpy()
+        flat, first, size = self._ids_of(known.dictionary)
         first, size = first[at], size[at]
         stop = np.append(0, np.cumsum(size))
         ids = flat[np.repeat(first - stop[:-1], size) + np.arange(stop[-1])]
-        edge = stop[np.searchsorted(owner, np.arange(len(texts) + 1))]
+        edge = stop[np.searchsorted(bounds, offsets)]
         return [ids[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for group in text_groups(texts, 1 << 21):
+        for group in text_groups(texts, 1 << 22):
             whole = [not self.by_piece or any(a in t for a in self.added) for t in group]
             joined = iter(self._joined([t for t, w in zip(group, whole, strict=True) if not w]) if not all(whole) else [])
-            out += [np.array(self._through([t])[0], "<u4").tobytes() if w else next(joined) for t, w in zip(group, whole, strict=True)]
+            out += [self._through(t).tobytes() if w else next(joined) for t, w in zip(group, whole, strict=True)]
         return out
 
 
