@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import score_cases
 from ..operators.reports import corpus_cer
+from ..shared import shared_path
 
 
 def ingest_predictions(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -15,27 +18,23 @@ def ingest_predictions(stream: DataFrame, lateness: str = "1 hour") -> DataFrame
     return score_cases(once)
 
 
-def ingest_once(path: str):
-    """For foreachBatch: keeps each prediction_id once for good, and what it refuses.
+def replay(arrivals: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a streaming query writes when tables arrive one after another; each is a run of its own that goes on from the last one's checkpoint.
 
-    Rows are written to ``path``/accepted or ``path``/refused, by batch, so that a batch that runs again replaces what it wrote.  Of
-    rows of one id in a batch the first by created_at and line is accepted; an id of an earlier batch is refused however late.
+    Rows have the number of their ``batch``; in update mode a later one replaces an earlier one of the same key, in complete mode all before.
+    Everything is in the shared folder, and a batch that runs again replaces what it wrote.
     """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        place = F.row_number().over(Window.partitionBy("prediction_id").orderBy("created_at", F.to_json(F.struct("*"))))
-        rows = batch.withColumn("_place", place)
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/accepted")
-        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            known = spark.read.parquet(f"{path}/accepted").where(F.col("batch") < number).select("prediction_id", F.lit(True).alias("_known"))
-            rows = rows.join(known, "prediction_id", "left")
-        else:
-            rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
-        new = (F.col("_place") == 1) & F.col("_known").isNull()
-        for name, cond in (("refused", ~new), ("accepted", new)):
-            rows.where(cond).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-
-    return run
+    spark, base = arrivals[0].sparkSession, shared_path(arrivals[0].sparkSession, "replay")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/in"))
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
 def latest_review_stream(reviews: DataFrame) -> DataFrame:

@@ -151,19 +151,6 @@ def test_report_texts(spark):
     assert [len(x.limitations) for x in reports.limitations(r).collect()] == [5, 1]
 
 
-def test_predictions_are_ingested_once(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    schema = "prediction_id string, hypothesis string, created_at timestamp"
-    batches = [[("a", "1", t), ("a", "2", t + dt.timedelta(1)), ("b", "1", t)], [("a", "3", t + dt.timedelta(900)), ("c", "1", t)], [("c", "2", t), ("d", None, None)]]
-    run = streams.ingest_once(f"file://{tmp_path}/out")
-    for number, rows in enumerate(batches):
-        run(spark.createDataFrame(rows, schema), number)
-    run(spark.createDataFrame(batches[1], schema), 1)  # a batch that runs again
-    read = lambda name: {(r.prediction_id, r.hypothesis) for r in spark.read.parquet(f"file://{tmp_path}/out/{name}").collect()}
-    assert read("accepted") == {("a", "1"), ("b", "1"), ("c", "1"), ("d", None)} and read("refused") == {("a", "2"), ("a", "3"), ("c", "2")}
-    spark.createDataFrame(batches[0], schema).write.parquet(f"file://{tmp_path}/in")
-    q = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in").writeStream.foreachBatch(streams.ingest_once(f"file://{tmp_path}/stream")).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.read.parquet(f"file://{tmp_path}/stream/accepted").count() == 2
+def test_queue_and_transcription_in_batch(spark):
     waiting = streams.review_queue_stream(spark.createDataFrame([("p", "prediction", 1), ("q", "prediction", 1), ("q", "review", None), ("r", "prediction", 0)], "prediction_id string, kind string, flags int"))
     assert {r.prediction_id for r in waiting.where("waiting").collect()} == {"p"}
