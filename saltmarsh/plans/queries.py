@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from ..functions import audio, scoring, text
+from ..functions import audio, dictionary, scoring, text
 from ..operators import calibration, contracts, gate, governance, history, reports
 from ..streaming import streams
 from . import lenses
@@ -388,6 +388,17 @@ def surface_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", text.surface_key(t).alias("surface_key"), text.pool_surface_key(t).alias("pool_key"), text.normalize_for_cer(t).alias("plain"), F.size(text.tokens_without_punct(t)).alias("tokens"))
 
 
+_LABELS = """words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), labels AS (SELECT w AS label_id, w AS surface_form, lower(w) AS first_form, substr(w, 1, 5) AS second_form FROM words WHERE w <> '')"""
+
+
+@query(f"WITH {_LABELS}, docs AS (SELECT doc_id, nfc_normalize(coalesce(text, '')) AS t FROM documents), m AS (SELECT doc_id, label_id, CASE WHEN contains(t, surface_form) THEN surface_form WHEN contains(t, first_form) THEN first_form WHEN contains(t, second_form) THEN second_form END AS form, surface_form FROM docs, labels) SELECT doc_id, label_id, CASE WHEN form = surface_form THEN 'preserved' ELSE 'overcorrected' END AS match_status, form AS matched_form FROM m WHERE form IS NOT NULL")
+def dictionary_matches(spark, d):
+    """Every document against a list of all words of the benchmark, with their lower case and their first five letters."""
+    w = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).distinct().where("w <> ''")
+    labels = w.select(F.col("w").alias("label_id"), F.col("w").alias("surface_form"), F.array(F.lower("w"), F.substring("w", 1, 5)).alias("normalized_forms"))
+    return dictionary.dictionary_matches(table(spark, d, "documents"), "doc_id", "text", labels)
+
+
 @query("SELECT 'types_without_confirmation' AS rule, event_id::VARCHAR AS key FROM events WHERE event_id % 3 = 0 AND event_type = 'error' UNION ALL SELECT 'uncertain_without_notes', event_id::VARCHAR FROM events WHERE event_type IN ('view', 'click')")
 def review_contract(spark, d):
     r = lenses.reviews(spark, d)
