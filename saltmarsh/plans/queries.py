@@ -426,3 +426,4 @@ def quality_windows(spark, d):
 
 from . import live as _live  # noqa: E402, F401  registers the queries over streams
 from . import records as _records  # noqa: E402, F401  registers the queries over records
+from . import waves as _waves  # noqa: E402, F401  registers the queries over signals in chunks
