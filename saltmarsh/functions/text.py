@@ -63,7 +63,7 @@ def tokens_without_punct(s: Column) -> Column:
 
 def split_label_terms(s: Column) -> Column:
     """The quoted terms of a list such as "a", "b"; any other text is one term without its quotes, an empty one none."""
-    quoted = F.transform(F.regexp_extract_all(s, F.lit('["“]([^"”]+)["”]'), F.lit(1)), F.trim)
+    quoted = F.transform(F.regexp_extract_all(s, F.lit('["“]([^"”]+)["”]'), F.lit(1)), lambda t: F.trim(t))
     rest = F.trim(F.regexp_replace(F.regexp_replace(s, '["“][^"”]+["”]', ""), "[,，]", ""))
     bare = F.trim(F.regexp_replace(F.trim(s), "^[\"“”']+|[\"“”']+$", ""))
     return F.when((F.size(quoted) > 0) & (rest == "") & s.isNotNull(), quoted).when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(bare))
@@ -110,5 +110,6 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def import_utterance_id(import_id: Column, prompt_id: Column, sha256: Column) -> Column:
-    return uuid5(URL_NAMESPACE, F.concat_ws(":", import_id, prompt_id, sha256))
+def import_utterance_id(import_id: Column, prompt_id: Column, sha256: Column, prefix: str | None = None) -> Column:
+    """The id of an imported recording; ``prefix``: a name space of the caller's own before the others, where its ids have one."""
+    return uuid5(URL_NAMESPACE, F.concat_ws(":", *([F.lit(prefix)] if prefix is not None else []), import_id, prompt_id, sha256))

@@ -73,9 +73,10 @@ def human_agreement(automatic: Column, verdict: Column, confirmed: Column) -> Co
 
 
 def attach_rules(labels: DataFrame, rules: DataFrame) -> DataFrame:
-    """labels with the rule of their surface form; ``rule_count`` above 1 is an error of the table of rules."""
-    one = rules.groupBy("surface_form").agg(F.first("variants").alias("variants"), F.first("standards").alias("standards"), F.count("*").alias("rule_count"))
-    return labels.join(one, "surface_form", "left")
+    """labels with the rule of their surface form; ``rule_count`` above 1 is an error of the table of rules, and the least rule as JSON is taken."""
+    rule = F.struct("variants", "standards")
+    one = rules.groupBy("surface_form").agg(F.min_by(rule, F.to_json(rule)).alias("_rule"), F.count("*").alias("rule_count"))
+    return labels.join(one.select("surface_form", "_rule.variants", "_rule.standards", "rule_count"), "surface_form", "left")
 
 
 def calibrated_aggregate(results: DataFrame) -> DataFrame:

@@ -53,6 +53,13 @@ def duplicate_surface_groups(entries: DataFrame, key: Column | None = None) -> D
     return groups.where("n > 1").withColumn("level", F.when(F.contains("splits", F.lit(",")), "error").otherwise("warning"))
 
 
+def duplicate_surface_members(entries: DataFrame, key: Column | None = None) -> DataFrame:
+    """(surface, utterance_id, split, level) of each utterance in a group of duplicate_surface_groups(), one row each, however large the group."""
+    keyed = entries.withColumn("surface", surface_key(F.col("surface_text")) if key is None else key)
+    groups = duplicate_surface_groups(entries, key).select("surface", "level")
+    return keyed.join(groups, "surface").select("surface", "utterance_id", "split", "level")
+
+
 def duplicate_lineage(entries: DataFrame) -> DataFrame:
     """Hashes in the lineage of more than one utterance."""
     rows = entries.select("utterance_id", F.explode(F.array_distinct("lineage")).alias("sha"))

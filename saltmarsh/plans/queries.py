@@ -424,6 +424,7 @@ def quality_windows(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("cases").alias("events"), F.col("p50_latency_ms").alias("p50"), F.col("p95_latency_ms").alias("p95"), "cer", F.col("high_confidence_wrong").alias("errors"))
 
 
+from . import graphs as _graphs  # noqa: E402, F401  registers the queries over closures and audits
 from . import live as _live  # noqa: E402, F401  registers the queries over streams
 from . import records as _records  # noqa: E402, F401  registers the queries over records
 from . import waves as _waves  # noqa: E402, F401  registers the queries over signals in chunks
