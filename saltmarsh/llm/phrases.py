@@ -28,8 +28,8 @@ from .common import forget, saved, table
 
 SUPPORT, MOST_WORDS, TOP, INSIDE, SHARDS = 10, 3, 2000, 50, 4
 UNKNOWN = "und"
-#: Words that a task settles at once.
-SETTLED = 1 << 20
+#: Words that a task settles at once: as hashes, and as text.
+SETTLED, SETTLED_TEXT = 1 << 20, 1 << 19
 #: Hashes for each range of a shuffle, about; bits of a map of frequent phrases: one for each word of the corpus, within these bounds.
 RANGE, FEWEST_BITS, MOST_BITS = 1 << 21, 20, 30
 
@@ -245,7 +245,7 @@ def _counting(most: int, ranges: int, maps: list[Broadcast], shards: int):
                 texts.append(plain)
                 size += len(plain)
                 words += len(grams.hash)
-                if words >= SETTLED:
+                if words >= SETTLED_TEXT:
                     if (out := flush(held, texts, list(names))) is not None:
                         yield out
                     held, texts, words, size = [], [], 0, 0
