@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm import language_id, near_dedup, packing, substring_dedup, toxicity
-from saltmarsh.llm.common import forget, saved, table
+from saltmarsh.llm.common import mark, saved, sweep, table
 
 #: A document of which the best language is less likely than this is not in a language that the model knows.
 LEAST_SCORE = 0.5
@@ -55,10 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the table of documents, each one's rows written to the shared folder and read again."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
-        if before is not None:
-            forget(before)
-        before = docs
+        own = name.replace(" ", "-").lower()
+        docs = saved(stage(spark, docs, sf_dir), own)
+        sweep(spark, since, own)  # the tables of the stage, and the rows of the one before
     return STAGES[-1][1](spark, docs, sf_dir)

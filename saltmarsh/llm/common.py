@@ -2,45 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..shared import forget_path, shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode alone, a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Paths of the tables that saved() has made and nothing has deleted yet, in order.
+_made: list[str] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder; cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by saved(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    shared.forget(df)
+
+
+def mark() -> int:
+    """A point in time for sweep()."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the tables that saved() has made since a mark(), but for those of the names in ``keep``, which a result still reads."""
+    own, _made[since:] = _made[since:], []
+    for path in own:
+        if path.rpartition("/")[2].rpartition("-")[0] in keep:
+            _made.append(path)
+        else:
+            forget_path(spark, path)
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:

@@ -25,14 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, forget, join_spread, saved, table
+from .common import batches, forget, join_spread, mark, saved, sweep, table
 from .components import connected_components
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 3
 U64 = np.uint64
 
-#: Bytes of text in a group, and of the texts whose shingles a range of the hash answers for: both bound the memory of a task.
+#: Bytes of text in a group, and of the texts whose shingles a range of the hash answers for, at least: both bound the memory of a task.
 GROUP_BYTES, RANGE_BYTES = 4 << 20, 12 << 20
+#: A group asks each range for so many shingles at least (of about six bytes of text each), or its rows would be no packs any more.
+ASKED_AT_ONCE = 64
 
 #: For the exact join: weight classes to a factor of 1 / similarity.
 CLASSES = 2
@@ -222,12 +224,22 @@ def _weighed(total: int, similarity: float, bands: int, rows: int, size: int):
     return kernel
 
 
+def dealing(volume: int) -> tuple[int, int]:
+    """Numbers of groups and of ranges for so many bytes of text.
+
+    Every group asks every range, so both sizes grow with the square root of the text once packs would have fewer than ASKED_AT_ONCE
+    shingles: 4 MB up to about 130 GB, 100 MB at 100 TB.  Shuffled rows stay in proportion to the text.
+    """
+    grow = max(1.0, (6 * ASKED_AT_ONCE * volume / (GROUP_BYTES * RANGE_BYTES)) ** 0.5)
+    return tuple(max(1, int(-(-volume // (n * grow)))) for n in (GROUP_BYTES, RANGE_BYTES))
+
+
 def weighed_texts(texts: DataFrame, total: int, size_in_bytes: int, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each distinct text of ``texts`` (node, text) that can be similar to another: what similarity needs of it.
 
     ``total`` is the number N of documents.  The shuffled texts are read twice, to ask for frequencies and to receive them.
     """
-    groups, ranges = (max(1, -(-size_in_bytes // n)) for n in (GROUP_BYTES, RANGE_BYTES))
+    groups, ranges = dealing(size_in_bytes)
     once = texts.select("node", "text").mapInArrow(batches(_one_each), "node binary, text binary, copies long")
     dealt = once.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(groups))).repartition("g")
     # Grouped by (g, node) where g is dealt out already: copies from all batches fall together without another shuffle.
@@ -355,6 +367,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     docs other than doc_id and text are not read.  Rows repeated in whole are equal texts and give a row each.  An empty table
     gives an empty table.
     """
+    since = mark()
     keyed = docs.select("doc_id", F.lower("text").cast("binary").alias("text"), text_node(F.col("text")).alias("node"))
     total, volume = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     nodes = saved(weighed_texts(keyed.where("node is not null"), total, volume, similarity, size, bands, rows), "nodes")
@@ -370,17 +383,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     rest = _unmet(members, component, nodes, total, similarity)
     more = saved(_verified(rest.join(tried, ["a", "b"], "left_anti"), nodes, total, similarity).select("a", "b"), "verified")
     if not more.isEmpty():
-        first, component = component, saved(connected_components(links.union(more)), "components")
-        forget(first)
-    for done in (nodes, members, tried, links, rest, more):
-        forget(done)
+        component = saved(connected_components(links.union(more)), "components")
+    sweep(docs.sparkSession, since, "components")
 
     # Classes of nodes first, one row each; then those of documents, of which very many may have one node.
     rows = saved(keyed.select("doc_id", "node"), "rows")
     each = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     each = saved(each.join(component, "node", "left").select("node", "least", "n", F.coalesce("component", "node").alias("class")), "classes")
     named = each.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = saved(join_spread(each, named, "class").select("node", "class_id", "class_size"), "classes")
+    of_node = saved(join_spread(each, named, "class").select("node", "class_id", "class_size"), "named")
+    sweep(docs.sparkSession, since, "rows", "named")
     out = join_spread(rows, of_node, "node")
     words = F.col("node").isNotNull()
     return out.select("doc_id", F.when(words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.lower(F.hex("node")).alias("text_id"))

@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, join_spread, saved, table
+from .common import forget, join_spread, mark, saved, sweep, table
 
 #: A JSON schema: type, properties, required, additionalProperties, items, enum, minimum, maximum, minLength, maxLength, minItems,
 #: maxItems, pattern.
@@ -67,7 +67,8 @@ def call_levels(calls: DataFrame) -> DataFrame:
         if better.isEmpty():
             break
         before, choice = choice, saved(choice.join(better.select("call_id"), "call_id", "left_anti").unionByName(better), "choice")
-        forget(before)
+        for done in (before, levels, better):
+            forget(done)
     out = ids.join(levels.withColumn("used", F.lit(True)), "call_id", "left")
     return out.select("call_id", F.when(F.col("used").isNull(), 0).otherwise(F.col("level")).cast("long").alias("level"), (F.col("used").isNotNull() & F.col("level").isNull()).alias("cyclic"))
 
@@ -223,9 +224,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schema: dict[str, Sche
     call with a null id is never linked and has no level.  Null arguments count as text that is no JSON, null parents as none.
     Empty tables give no rows.  Other columns are not read, so their names clash with nothing.
     """
+    since = mark()
     own = saved(calls.select("call_id", "tool", "arguments", F.coalesce("parents", F.array().cast("array<string>")).alias("parents")), "calls")
     known = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     facts = call_levels(own).join(known, "call_id", "left")
+    sweep(calls.sparkSession, since, "calls", "levels")
     joined = join_spread(own, facts, "call_id").withColumn("_parsed", F.try_parse_json(marked(F.col("arguments"))))
     joined = joined.withColumn("errors", _argument_errors(F.col("tool"), F.col("_parsed"), schema))
     line = F.concat(

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import mark, saved, sweep, table
 from .ordering import bucket_of, cuts
 
 FANOUT = 16
@@ -103,8 +103,9 @@ def page_records(pages: DataFrame, damaged: bool = False) -> DataFrame:
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the pages' records against a replica in which some are damaged."""
-    pages = table(spark, sf_dir, "pages")
+    pages, since = table(spark, sf_dir, "pages"), mark()
     found = audit(merkle_tree(page_records(pages)), merkle_tree(page_records(pages, damaged=True)))
+    sweep(spark, since, "audit")
     return found.withColumn("key", F.coalesce("key", F.lit(-1)))  # -1: an inner node
 
 
