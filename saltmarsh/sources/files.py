@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import stat
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.governance import coverage_check
-
-#: Fixed value: files above this many bytes are not read.
-MAX_BYTES = 100 * 1024 * 1024
+from .packages import MAX_BYTES, package_members  # noqa: F401
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -84,47 +75,6 @@ def read_prompt_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("number").agg(F.min("text").alias("text"), F.count("*").alias("n"))
 
 
-def package_members(packages: DataFrame, most_bytes: int = MAX_BYTES) -> DataFrame:
-    """(package, member, size, is_symlink, content, problem) of ZIP files given by path and content.
-
-    A member with a problem (unsafe path, duplicate, symlink, too large, damaged) has null content; a file that is no ZIP has one
-    row with a null member.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["package", "member", "size", "is_symlink", "content", "problem"]
-        for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content or b""))
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame([(path, None, None, None, None, "not a ZIP file")], columns=columns)
-                    continue
-                seen: set[str] = set()
-                for info in archive.infolist():
-                    if info.is_dir():
-                        continue
-                    name, data, problem = info.filename, None, None
-                    link = stat.S_ISLNK(info.external_attr >> 16)
-                    if name.startswith("/") or "\\" in name or ":" in name or any(s in ("", ".", "..") for s in name.split("/")):
-                        problem = "unsafe path"
-                    elif name in seen:
-                        problem = "duplicate"
-                    elif link:
-                        problem = "symlink"
-                    elif info.file_size > most_bytes:
-                        problem = "too large"
-                    else:
-                        try:
-                            data = archive.read(info)
-                        except (zipfile.BadZipFile, zlib.error, RuntimeError):
-                            problem = "damaged"
-                    seen.add(name)
-                    yield pd.DataFrame([(path, name, info.file_size, link, data, problem)], columns=columns)
-
-    return packages.select("path", "content").mapInPandas(run, "package string, member string, size long, is_symlink boolean, content binary, problem string")
-
-
 def read_collection_prompts(spark: SparkSession, path: str) -> DataFrame:
     schema = "schema_version string, prompt_id string, recommended_split string, elicitation_text string, target_expressions array<string>, scenario string, prompt_status string, approved_by string"
     return spark.read.schema(schema).json(path)
@@ -147,7 +97,7 @@ def append_immutable(df: DataFrame, path: str, key: str) -> DataFrame:
         if clash.isEmpty():
             df.dropDuplicates([key]).write.parquet(path)
         return clash.select(key)
-    have = spark.read.schema(df.schema).parquet(path)
+    have = spark.read.schema(df.schema).parquet(path).join(df.select(key).distinct(), key, "left_semi")  # only rows that come again are hashed
     old = have.select(key, row_hash(have).alias("old"))
     new = df.withColumn("_new", row_hash(df))
     inside = new.groupBy(key).agg(F.countDistinct("_new").alias("contents")).where("contents > 1").select(key)
