@@ -73,14 +73,18 @@ def leakage_check(train: DataFrame, frozen: DataFrame) -> DataFrame:
     Both: utterance_id, speaker_id, lineage (array), surface_key; frozen also benchmark_id.  Each overlap is an error that names
     the benchmark.  Four equality joins; a null or empty key never matches.
     """
-    found = []
-    for rule, column in (("utterance", "utterance_id"), ("speaker", "speaker_id"), ("surface", "surface_key")):
-        known = frozen.where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).select(column, "benchmark_id").distinct()
-        found.append(_violation(train.join(known, column), rule, F.col("utterance_id"), F.col("benchmark_id")))
-    ours = train.select("utterance_id", F.explode(F.array_distinct("lineage")).alias("sha"))
-    theirs = frozen.select("benchmark_id", F.explode("lineage").alias("sha")).distinct()
-    found.append(_violation(ours.join(theirs, "sha"), "lineage", F.col("utterance_id"), F.col("benchmark_id")).distinct())
-    return _all(found)
+    def named(lineage: Column) -> Column:
+        one = [F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("value")) for rule, c in (("utterance", "utterance_id"), ("speaker", "speaker_id"), ("surface", "surface_key"))]
+        return F.explode(F.concat(F.array(*one), F.transform(F.coalesce(lineage, F.array().cast("array<string>")), lambda s: F.struct(F.lit("lineage").alias("rule"), s.cast("string").alias("value")))))
+
+    # Each side is read once, every row as all that it may be recognised by.
+    once = F.monotonically_increasing_id().alias("_row")
+    ours = train.select("utterance_id", once, named(F.array_distinct("lineage")).alias("_x")).select("utterance_id", "_row", "_x.*").where("value <> '' or rule = 'lineage' and value is not null")
+    theirs = frozen.select("benchmark_id", named(F.col("lineage")).alias("_x")).select("benchmark_id", "_x.*").where("value <> '' or rule = 'lineage' and value is not null").distinct()
+    hits = ours.join(theirs, ["rule", "value"])
+    # Several hashes of a row may be in one benchmark, and rows of one id share theirs: that is one finding.
+    alone = F.when(F.col("rule") != "lineage", F.col("_row"))
+    return hits.select("rule", F.col("utterance_id").cast("string").alias("key"), F.col("benchmark_id").cast("string").alias("detail"), alone.alias("_row")).dropDuplicates().drop("_row")
 
 
 def exclusion_registry(*sources: tuple[DataFrame, dict[str, Column]]) -> DataFrame:

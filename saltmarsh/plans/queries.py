@@ -257,7 +257,15 @@ def _classified(cases):
     return cases.withColumn("x", calibration.classify_expression(F.col("nh"), F.substring("nr", 1, 4), variants, form(5, 2, F.lit("approved"))))
 
 
-@query()
+_AGREEMENT = rf"""WITH {CASES}, {REVIEWS}, words AS (SELECT *, regexp_extract_all(regexp_replace(nfc_normalize(reference), '\p{{P}}', '', 'g'), '\S+') <> regexp_extract_all(regexp_replace(nfc_normalize(hypothesis), '\p{{P}}', '', 'g'), '\S+') AS other FROM scored),
+k AS (SELECT *, CASE WHEN contains(nh, substr(nr, 1, 4)) OR contains(nh, substr(nr, 1, 3)) AND turn % 2 = 0 THEN 'none' WHEN contains(nh, substr(nr, 1, 3)) THEN 'unclear' WHEN contains(nh, substr(nr, 5, 2)) THEN 'standard' ELSE 'lost' END AS error FROM words),
+a AS (SELECT conv_id, error = 'standard' AS bias, edits > 0 OR error = 'lost' AS model, edits = 0 AND other AND error <> 'lost' AS decoding FROM k),
+g AS (SELECT CASE WHEN verdict = 'uncertain' THEN 'u' WHEN verdict = 'rejected' AND NOT (bias OR model OR decoding) THEN 'n' WHEN verdict = 'rejected' THEN 'f' WHEN NOT (bias OR model OR decoding) THEN 'm'
+  WHEN coalesce(failure = 'LANGUAGE_MODEL_BIAS' AND bias OR failure = 'MODEL' AND model OR failure = 'DECODING' AND decoding, false) THEN 'y' ELSE 'x' END AS g FROM a JOIN latest ON conv_id = prediction_id)
+SELECT count(*) FILTER (g = 'y') AS match, count(*) FILTER (g = 'x') AS mismatch, count(*) FILTER (g = 'm') AS missed, count(*) FILTER (g = 'f') AS false_positive, count(*) FILTER (g = 'n') AS no_error_agreement, count(*) FILTER (g = 'u') AS uncertain FROM g"""
+
+
+@query(_AGREEMENT)
 def human_agreement_summary(spark, d):
     c = _classified(lenses.cases(spark, d)).withColumn("k", scoring.edit_counts(F.col("nr"), F.col("nh")))
     observed = F.concat(F.array("x.observed_error"), calibration.edit_observations(F.col("reference"), F.col("hypothesis"), F.col("k")))
