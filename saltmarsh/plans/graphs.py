@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, text
-from ..operators import audits, closure, contracts, governance
+from ..operators import audits, closure, contracts, governance, history, report_text, reports
 from . import lenses
-from .lenses import ENTRIES, surface_sql, table
+from .lenses import CASES, ENTRIES, REVIEWS, surface_sql, table
 from .registry import query
 
 _ASSETS = """assets AS (SELECT o_custkey AS utterance_id, o_orderkey AS sha256, CASE WHEN o_orderkey % 13 = 5 THEN NULL WHEN o_orderkey % 17 = 3 THEN -1 ELSE coalesce(lag(o_orderkey) OVER w, CASE WHEN o_custkey % 4 = 1 THEN last_value(o_orderkey) OVER w END) END AS parent_sha256,
@@ -192,3 +192,32 @@ def wav_files(spark, d):
     x = files.withColumn("s", F.transform(audio.decode_pcm16(F.col("content")), lambda v: v.cast("double")))
     x = x.select("vec_id", "path", F.round(F.aggregate("s", F.lit(0.0), lambda a, v: a + v), 9).alias("total"), F.array_max(F.transform("s", F.abs)).alias("peak"))
     return x.join(audio.wav_headers(files).select("path", "error", "frames", "duration_ms"), "path").select("vec_id", "error", "frames", "duration_ms", "total", "peak")
+
+
+_REPORT = rf"""WITH {CASES}, {REVIEWS}, c AS (SELECT scored.*, verdict, failure FROM scored LEFT JOIN latest ON prediction_id = conv_id),
+e AS (SELECT role, count(*) AS n, sum(edits) / sum(ref_chars) AS cer, sum(preserved) / count(*) AS kept, sum(overcorrected) / count(*) AS lost, count(*) FILTER (hcw) AS hcw, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95,
+  count(*) FILTER (verdict IS NOT NULL) AS reviewed, count(*) FILTER (verdict = 'confirmed') AS yes, count(*) FILTER (verdict = 'rejected') AS no, count(*) FILTER (verdict = 'uncertain') AS unsure FROM c GROUP BY role),
+h AS (SELECT role, unnest(['# Human-reviewed Surface ASR Baseline Report', '## Experiment', '- Experiment: `' || role || '`', '- Benchmark: `conversations@1`', '- Model: `turns`', '- Checkpoint: `not recorded`', '- Source report: `not recorded`', '## Automatic evaluation', '- Utterances: ' || n,
+  '- CER: ' || printf('%.4f', floor(round(cer, 6) * 10000 + 0.5) / 10000), '- Dialect preservation: ' || printf('%.4f', floor(round(kept, 6) * 10000 + 0.5) / 10000), '- Context overcorrection: ' || printf('%.4f', floor(round(lost, 6) * 10000 + 0.5) / 10000), '- High-confidence wrong: ' || hcw,
+  '- Latency p50/p95: ' || printf('%.2f', floor(round(p50, 6) * 100 + 0.5) / 100) || ' / ' || printf('%.2f', floor(round(p95, 6) * 100 + 0.5) / 100) || ' ms', '## Human review', '- Latest reviews: ' || reviewed, '- All revisions: ' || n, '- Confirmed / rejected / uncertain: ' || yes || ' / ' || no || ' / ' || unsure,
+  '- Confirmed failure types: none', '## Cases', '| Reference | Hypothesis | CER | Expressions | Verdict | Failure types | Notes |', '|---|---|---:|---|---|---|---|']) AS line, unnest(range(22)) AS i FROM e)
+SELECT role AS experiment_id, 0 AS part, lpad(i::VARCHAR, 4, '0') AS position, line FROM h
+UNION ALL SELECT role, 1, case_id, '| ' || concat_ws(' | ', trim(replace(replace(reference, '|', '\|'), chr(10), ' ')), trim(replace(replace(hypothesis, '|', '\|'), chr(10), ' ')), printf('%.3f', floor(round(cer, 6) * 1000 + 0.5) / 1000), 'no expression', coalesce(verdict, 'not reviewed'), coalesce(failure, 'none'), '') || ' |' FROM c
+UNION ALL SELECT role, 2, '000' || i, ['## Limitations', '- the checkpoint is not identified', '## Decision', '`open`'][i + 1] FROM e, range(4) AS r(i)"""
+
+
+@query(_REPORT)
+def review_report(spark, d):
+    """A report on the cases of each role with their latest reviews, line by line."""
+    c = lenses.cases(spark, d)
+    r = history.latest_by(lenses.reviews(spark, d), "prediction_id", "created_at", "review_id").select("prediction_id", "verdict", "confirmed_failure_types", "notes")
+    both = c.join(r, c.conv_id == r.prediction_id, "left").withColumn("experiment_id", F.col("role"))
+    sums = reports.aggregate_report(c, "role")
+    verdicts = both.groupBy("role").agg(F.count("verdict").alias("reviewed"), F.count("*").alias("revisions"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("confirmed", "rejected", "uncertain")])
+    nothing = F.lit(None).cast("string")
+    heads = sums.join(verdicts, "role").select(
+        F.col("role").alias("experiment_id"), reports.report_title(F.col("role")).alias("title"), F.lit("conversations@1").alias("benchmark"), F.lit("turns").alias("model"), nothing.alias("checkpoint"), nothing.alias("source_report_id"), *[x for x in sums.columns if x != "role"],
+        "reviewed", "revisions", "confirmed", "rejected", "uncertain", F.array().cast("array<string>").alias("failure_types"), F.array(F.lit("the checkpoint is not identified")).alias("limitations"), F.lit("open").alias("gate_decision"),
+    )
+    rows = both.select("experiment_id", "case_id", "reference", "hypothesis", F.round("cer", 6).alias("cer"), F.array().cast("array<struct<surface_form:string,match_status:string>>").alias("matches"), "verdict", "confirmed_failure_types", "notes")
+    return report_text.review_report(heads, rows)
