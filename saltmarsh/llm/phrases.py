@@ -31,7 +31,7 @@ UNKNOWN = "und"
 #: Words that a task settles at once: as hashes, and as text.
 SETTLED, SETTLED_TEXT = 1 << 20, 1 << 19
 #: Hashes for each range of a shuffle, about; bits of a map of frequent phrases: one for each word of the corpus, within these bounds.
-RANGE, FEWEST_BITS, MOST_BITS = 1 << 21, 20, 30
+RANGE, FEWEST_BITS, MOST_BITS = 1 << 21, 20, 29
 
 #: Bytes that end a piece, and that end a word.
 PIECE = np.zeros(256, bool)
