@@ -128,3 +128,24 @@ def test_damage_and_empty_conversations(spark, tmp_path):
     got = R.op13_repair(spark, f"file://{tmp_path}")
     assert want[gone] == nothing and collected(got) == want
     assert R.repair_conversations(got.select("conv_id", F.lit(1).alias("turn"), F.lit("a").alias("role"), F.lit("b").alias("text")).limit(0)).count() == 0
+
+
+def test_tables_are_swept(spark):
+    from saltmarsh.llm import common
+
+    since = common.mark()
+    kept, gone = (common.saved(spark.range(5), n) for n in ("kept-here", "gone"))
+    common.sweep(spark, since, "kept-here")
+    assert kept.count() == 5 and common.mark() == since + 1
+    with pytest.raises(Exception):
+        gone.count()
+    common.sweep(spark, since)
+
+
+def test_groups_grow_with_the_square_root_of_the_text():
+    from saltmarsh.llm import near_dedup
+
+    assert near_dedup.dealing(0) == (1, 1) and near_dedup.dealing(10**9) == (239, 80)
+    for volume in (10**12, 10**14):
+        groups, ranges = near_dedup.dealing(volume)
+        assert volume / 6 / groups / ranges >= 0.9 * near_dedup.ASKED_AT_ONCE and volume / groups <= 150e6
