@@ -10,7 +10,6 @@ QUERIES = {
     "op3_ogg_media": ogg.op3_ogg_media,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_spotsigs": spotsigs.op5_spotsigs,
-    "spotsigs_alike_pairs": spotsigs.spotsigs_alike_pairs,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_tool_calls": toolcalls.op8_tool_calls,
@@ -22,7 +21,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op5_spotsigs": spotsigs.OP5_SQL,
-    "spotsigs_alike_pairs": spotsigs.PAIRS_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op8_tool_calls": toolcalls.OP8_SQL,
     "op10_warc_fixity": warc_fixity.OP10_SQL,

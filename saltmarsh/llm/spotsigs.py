@@ -130,12 +130,6 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-def spotsigs_alike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of different fingerprints of the documents that are at least 0.8 alike, by partitions of set length."""
-    pairs = alike_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pairs.select("a", "b", F.round("likeness", 9).alias("likeness"))
-
-
 def _set_sql(name: str, source: str) -> str:
     return f"""
 {name}_w AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source})),
@@ -161,10 +155,3 @@ SELECT p.id AS doc_id, CAST(p.n AS BIGINT) AS n_chars, sha256(c.t) AS edited_sha
   CAST({_LIKE_SQL.format(a="o.s", b="e.s")} AS DOUBLE) AS near_edited, CAST({_LIKE_SQL.format(a="o.s", b="f.s")} AS DOUBLE) AS near_next
 FROM pair p JOIN changed c ON c.id = p.id JOIN own o ON o.id = p.id JOIN edit e ON e.id = p.id JOIN own f ON f.id = p.next_id"""
 )
-PAIRS_SQL = (
-    "WITH base AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),"
-    + _set_sql("own", "base")
-    + """, sets AS (SELECT min(id) AS id, s FROM own WHERE len(s) > 0 GROUP BY s), words AS (SELECT id, len(s) AS n, unnest(s) AS w FROM sets),
-met AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS total, count(*) AS k FROM words x JOIN words y ON x.w = y.w AND x.id < y.id GROUP BY ALL)
-SELECT a, b, round(k / (total - k), 9) AS likeness FROM met WHERE k / (total - k) >= 0.8 - 1e-9"""
-)
