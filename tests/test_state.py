@@ -42,3 +42,32 @@ def test_overdue_items(spark):
     make = lambda s: state.retracting_queue(s.withWatermark("created_at", "1 hour"), wait_ms=86_400_000)
     out = streams.replay([spark.createDataFrame(r, schema) for r in arrivals], make, "append").collect()
     assert sorted((r.prediction_id, r.action) for r in out) == [("p", "enqueue"), ("p", "overdue"), ("q", "enqueue"), ("q", "retract")]
+
+
+def test_many_keys_share_a_call(spark):
+    """Python is called for buckets of keys, not for each key; whole numbers beside nulls stay exact, null keys share one."""
+    big = 2**60 + 1
+    rows = spark.range(40_000).select(F.when(F.col("id") % 5_000 != 7, F.col("id") % 5_000 + big).alias("prediction_id"), F.when(F.col("id") % 3 > 0, F.col("id") + big).alias("line"))
+    at = (F.coalesce("line", F.lit(0)) % 2) == 0
+    e = streams.replay([rows.where(at), rows.where(~at)], lambda s: state.accept_once(s, order=("line",), buckets=16), "append")
+    assert e.count() == 40_000 and e.where("accepted").count() == 5_000 and e.exceptAll(e).isEmpty()
+    assert e.select("prediction_id", "line").exceptAll(rows).isEmpty() and rows.exceptAll(e.select("prediction_id", "line")).isEmpty()
+    calls: list[int] = []
+
+    class _Handle:
+        def getValueState(self, *_):  # noqa: N802
+            class Value:
+                def get(self):
+                    calls.append(1)
+
+                def update(self, _):
+                    calls.append(1)
+
+            return Value()
+
+    import pandas as pd
+
+    p = state._Once(["x"], ["x"])
+    p.init(_Handle())
+    out = pd.concat(p.handleInputRows((0,), iter([pd.DataFrame({"key__text": [f"={i % 900}" for i in range(2000)], "x": range(2000)})]), None))
+    assert len(calls) == 2 and out.accepted.sum() == 900 and set(out[out.accepted].x) == set(range(900))
