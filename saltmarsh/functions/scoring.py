@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,6 +64,68 @@ def _align(refs: list[str], hyps: list[str], edits: list[int]) -> np.ndarray:
     return found & (kind - 1)
 
 
+#: Up to so many cells of reference times hypothesis a pair goes through _counted: its bits then take at most 25 MB.
+_CELLS = 100_000_000
+
+
+def _columns(ref: str, hyp: str) -> Iterator[tuple[int, int, int]]:
+    """For each character of hyp the column of the grid of edits as three numbers, a bit for each character of ref (Myers, Hyyrö).
+
+    Bits of the first: the cell costs as much as the one before it on the diagonal; of the others: one more, and one less, than the one above.
+    """
+    at: dict[str, int] = {}
+    for i, c in enumerate(ref):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(ref)) - 1
+    more, less = full, 0
+    for c in hyp:
+        x = at.get(c, 0) | less
+        same = ((((x & more) + more) ^ more) | x) & full
+        right = ((less | (full & ~(more | same))) << 1) | 1
+        more, less = (((more & same) << 1) | ~(right | same)) & full, right & same
+        yield same, more, less
+
+
+def _counted(ref: str, hyp: str) -> tuple[int, int, int]:
+    """Substitutions, deletions and insertions of a cheapest path; of equally cheap steps back the diagonal comes first, then the deletion."""
+    if ref == hyp:
+        return 0, 0, 0
+    columns = [(same, more) for same, more, _ in _columns(ref, hyp)]
+    i, j, swapped, gone, come = len(ref), len(hyp), 0, 0, 0
+    while i and j:
+        same, more = columns[j - 1]
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+        elif not same >> (i - 1) & 1:
+            i, j, swapped = i - 1, j - 1, swapped + 1
+        elif more >> (i - 1) & 1:
+            i, gone = i - 1, gone + 1
+        else:
+            j, come = j - 1, come + 1
+    return swapped, gone + i, come + j
+
+
+def _distance(ref: str, hyp: str) -> int:
+    """The edits alone."""
+    if ref == hyp:
+        return 0
+    more, less = (1 << len(ref)) - 1, 0
+    for _, more, less in _columns(ref, hyp):  # noqa: B007
+        pass
+    return len(hyp) + more.bit_count() - less.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def _distances(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else _distance(a, b) for a, b in zip(ref, hyp, strict=True)], dtype="Int32")
+
+
+def edit_distance(ref: Column, hyp: Column) -> Column:
+    """The edits as F.levenshtein counts them, 64 characters of the reference at once; equal texts have none and stay in the JVM."""
+    other = ref != hyp
+    return F.when(ref == hyp, 0).otherwise(_distances(F.when(other, ref), F.when(other, hyp)))
+
+
 _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "reference_characters")])
 
 
@@ -69,8 +133,14 @@ _COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutio
 def _edit_counts(ref: pd.Series, hyp: pd.Series, edits: pd.Series) -> pd.DataFrame:
     refs, hyps, total = ref.fillna("").tolist(), hyp.fillna("").tolist(), edits.fillna(0).astype("int64").to_numpy()
     out = np.zeros((len(refs), 4), np.int32)
-    # Pairs of like size share a grid; a diagonal of all has at most about half a million cells.
-    order = sorted(range(len(refs)), key=lambda i: (max(len(refs[i]), len(hyps[i])) // 8, total[i]))
+    far = []
+    for i, (a, b) in enumerate(zip(refs, hyps, strict=True)):
+        if len(a) * len(b) > _CELLS:
+            far.append(i)
+        else:
+            out[i] = *_counted(a, b), len(a)
+    # Longer pairs of like size share a grid; a diagonal of all has at most about half a million cells.
+    order = sorted(far, key=lambda i: (max(len(refs[i]), len(hyps[i])) // 8, total[i]))
     at = 0
     while at < len(order):
         size = max(len(refs[order[at]]), len(hyps[order[at]]), 1)
@@ -90,7 +160,7 @@ def _edit_counts(ref: pd.Series, hyp: pd.Series, edits: pd.Series) -> pd.DataFra
 def edit_counts(ref: Column, hyp: Column) -> Column:
     """Substitutions, deletions, insertions and the reference's length, of texts that are already normalised."""
     ref, hyp = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
-    return _edit_counts(ref, hyp, F.levenshtein(ref, hyp))
+    return _edit_counts(ref, hyp, F.when(F.length(ref).cast("long") * F.length(hyp) > _CELLS, F.levenshtein(ref, hyp)))
 
 
 def rate(edits: Column, length: Column) -> Column:
