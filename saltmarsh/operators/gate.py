@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scoring import rate
+from ..functions.scoring import edit_distance, rate
 from ..functions.text import normalize_for_cer
 from .governance import evaluation_set_check
 
@@ -113,7 +113,7 @@ def compare_arms(manifest: DataFrame, pretrained: DataFrame, fine_tuned: DataFra
 
     for arm in ARMS:
         text = F.coalesce(F.col(f"{arm}_text"), F.lit(""))
-        rows = rows.withColumn(f"{arm}_edits", F.levenshtein("_r", normalize_for_cer(text))).withColumn(f"{arm}_cer", rate(F.col(f"{arm}_edits"), F.col("reference_characters")))
+        rows = rows.withColumn(f"{arm}_edits", edit_distance(F.col("_r"), normalize_for_cer(text))).withColumn(f"{arm}_cer", rate(F.col(f"{arm}_edits"), F.col("reference_characters")))
         rows = rows.withColumn(f"{arm}_preserved", kept(text)).withColumn(f"{arm}_empty", F.trim(text) == "")
     before, after = F.col("pretrained_cer"), F.col("fine_tuned_cer")
     outcome = F.when(after < before, "improved").when(after > before, "worsened").otherwise("equal")
