@@ -7,21 +7,30 @@ known without them).
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Texts that are Python objects at once.
+_SLICE = 200
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
+def _each(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    parts = [pa.array([None if x is None else change(x) for x in texts.slice(at, _SLICE).to_pylist()], texts.type) for at in range(0, len(texts), _SLICE)]
+    return pa.concat_arrays(parts) if parts else texts
 
-@F.pandas_udf(T.StringType())
-def _folded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+@F.arrow_udf(T.StringType())
+def _nfc(s: pa.Array) -> pa.Array:
+    return _each(s, lambda x: x if unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+
+
+@F.arrow_udf(T.StringType())
+def _folded(s: pa.Array) -> pa.Array:
+    return _each(s, lambda x: unicodedata.normalize("NFKC", x).casefold())
 
 
 def _ascii(s: Column) -> Column:
