@@ -271,8 +271,9 @@ def duplicates(df: DataFrame, *key: str) -> DataFrame:
 
 def lineage_chain(assets: DataFrame) -> DataFrame:
     """Assets (utterance_id, role, sha256, parent_sha256) whose parent is no asset of the utterance, and repeated roles."""
-    a = assets.where("parent_sha256 is not null").alias("a")
-    parents = assets.select(F.col("utterance_id").alias("u"), F.col("sha256").alias("p")).distinct()
+    a = assets.where("parent_sha256 is not null").select("utterance_id", "sha256", "parent_sha256").alias("a")
+    parents = assets.select(F.col("utterance_id").alias("u"), F.col("sha256").alias("p"))
     orphans = a.join(parents, (F.col("a.utterance_id") == F.col("u")) & (F.col("a.parent_sha256") == F.col("p")), "left_anti")
-    twice = assets.withColumn("n", F.count("*").over(Window.partitionBy("utterance_id", "role"))).where("n > 1")
-    return _violation(orphans, "parent_missing", F.col("utterance_id"), F.col("sha256")).unionByName(_violation(twice, "role_repeated", F.col("utterance_id"), F.col("role")).distinct())
+    # Counted, so that no group's rows are held or sorted.
+    twice = assets.groupBy("utterance_id", "role").count().where("count > 1")
+    return _violation(orphans, "parent_missing", F.col("utterance_id"), F.col("sha256")).unionByName(_violation(twice, "role_repeated", F.col("utterance_id"), F.col("role")))

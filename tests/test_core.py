@@ -307,3 +307,11 @@ def test_streams(spark, tmp_path):
     once = lambda s: streams.ingest_predictions(s.withColumns({"reference": F.lit("ab"), "hypothesis": F.lit("ac"), "confidence": F.lit(0.9)}))
     assert sorted((r.prediction_id, r.cer) for r in run(once, "append")) == [("p1", 0.5), ("p2", 0.5)]
     assert {r.events for r in run(lambda s: streams.session_metrics(s, "prediction_id"), "complete")} == {2, 1}
+
+
+def test_repeated_roles_are_counted_not_sorted(spark):
+    rows = [(1, "a", "x", None), (1, "a", "x", None), (1, "a", "y", "x"), (2, "a", "z", "x"), (None, "b", "z", "z"), (None, "b", "y", None), (3, None, None, None), (3, None, "q", "q")]
+    found = governance.lineage_chain(spark.createDataFrame(rows, "utterance_id int, role string, sha256 string, parent_sha256 string"))
+    assert sorted((r.rule, r.key or "", r.detail or "") for r in found.collect()) == [("parent_missing", "", "z"), ("parent_missing", "2", "z"), ("role_repeated", "", "b"), ("role_repeated", "1", "a"), ("role_repeated", "3", "")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
