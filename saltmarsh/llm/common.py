@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import shared
 from ..shared import forget_path, shared_path
@@ -65,18 +66,44 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 1000)
 
 
 def batches(kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: applies kernel to each batch that has rows, or to each ``rows`` of its rows, to bound what it holds."""
+    """For mapInArrow: applies kernel to each batch that has rows, or to each ``rows`` of its rows, to bound what it holds.
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    After a task's last batch the worker, which waits for other tasks then, gives unused memory back.
+    """
+
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             step = rows or max(part.num_rows, 1)
             for at in range(0, part.num_rows, step):
                 if (out := kernel(part.slice(at, step))) is not None:
                     yield out
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(parts)
+        pa.default_memory_pool().release_unused()
+
     return run
 
 
+def with_answers(docs: DataFrame, text: Column, kernel: Callable[[pa.Array], pa.StructArray], answers: str, rows: int = 1000) -> DataFrame:
+    """docs with the columns ``answers`` (as in DDL) that kernel finds from the texts alone; columns of these names are replaced.
+
+    Only ``text`` goes to Python and only the answers come back: the rows wait in the JVM.  Python works on ``rows`` texts at once.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = pa.concat_arrays([kernel(texts.slice(at, rows)) for at in range(0, max(len(texts), 1), rows)])
+        pa.default_memory_pool().release_unused()
+        return out
+
+    kind = T.StructType.fromDDL(answers)
+    others = [c for c in docs.columns if c not in kind.names]
+    # Not deterministic: or a filter on the answers would move below this and have them found twice.
+    found = F.arrow_udf(run, kind).asNondeterministic()
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), found(text).alias("found"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "found.*")
+
+
 def text_groups(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in order, in groups of at most about ``limit`` characters; a longer text is a group of its own."""
     group: list[str] = []

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, table
+from .common import batches, table, with_answers
 from .sparse import Ftrl, Rows
 
 ORDERS, BITS, PER_LANGUAGE, EPOCHS = (1, 2, 3), 15, 600, 4
@@ -214,11 +214,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``und`` with score 0 where text is null, empty or has no letter, and everywhere if the model has seen no language.  Rows
     repeated in whole get the same answer each; an empty table gives an empty table.
     """
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    row = docs.select(F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column(0)
+    def kernel(texts: pa.Array) -> pa.StructArray:
         known = texts.is_valid().to_numpy(zero_copy_only=False)
         if model.languages:
             p = model.probabilities(texts)
@@ -227,10 +224,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             score = np.where(known, p[np.arange(len(p)), best], 0.0)
         else:
             names, score = pa.array([UNKNOWN] * len(texts), pa.string()), np.zeros(len(texts))
-        return pa.RecordBatch.from_arrays([part.column(1), names, pa.array(score)], names=["row", "lang_pred", "score"])
+        return pa.StructArray.from_arrays([names, pa.array(score)], ["lang_pred", "score"])
 
-    out = row.mapInArrow(batches(kernel), f"row {row.schema['row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "lang_pred", "score")
+    return with_answers(docs, F.when(F.col("text").rlike(r"\p{L}"), F.lower("text")), kernel, "lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

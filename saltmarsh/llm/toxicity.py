@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import batches, forget, saved, table
+from .common import batches, forget, saved, table, with_answers
 from .sparse import Ftrl, Rows
 
 BITS, PREFIXES, TOXIC_ROWS, CLEAN_ROWS, EPOCHS = 20, (5, 6, 7), 2500, 10_000, 4
@@ -191,22 +191,18 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
     Columns of these names are replaced.  Null or empty text, or text without letters, has the grade of no evidence.  Rows
     repeated in whole get the same answer each; an empty table gives an empty table.
     """
-    new = ("severity", "grade", "toxic")
-    others = [c for c in docs.columns if c not in new]
-    row = docs.select(F.lower("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
     some = np.flatnonzero(model.weights)
     packed = some, model.weights[some], len(model.weights), model.thresholds, model.bits, model.prefixes
 
-    def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
+    def kernel(texts: pa.Array) -> pa.StructArray:
         at, value, size, thresholds, bits, prefixes = packed
         weights = np.zeros(size)
         weights[at] = value
-        above = SeverityModel(weights, thresholds, bits, prefixes).above(part.column(0))
+        above = SeverityModel(weights, thresholds, bits, prefixes).above(texts)
         exact = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1), axis=1)
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array(above.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)], names=["row", *new])
+        return pa.StructArray.from_arrays([pa.array(above.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)], ["severity", "grade", "toxic"])
 
-    out = row.mapInArrow(batches(kernel), f"row {row.schema['row'].dataType.simpleString()}, severity double, grade int, toxic boolean")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in others], *new)
+    return with_answers(docs, F.lower("text"), kernel, "severity double, grade int, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
