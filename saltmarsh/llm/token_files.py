@@ -72,7 +72,7 @@ def encode_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, np
     distance = filled - least[:, None]
     at = min(BLOCK - 1, max(0, int(np.ceil(share * BLOCK)) - 1))
     width = bits(np.partition(distance, at, 1)[:, at]) if count else np.zeros(0, np.int64)
-    outside = bits(distance) > width[:, None]
+    outside = distance >> width[:, None] > 0
     exceptions = outside.sum(1)
     size = 8 + 16 * width + 5 * exceptions
     start = np.append(0, np.cumsum(size))
