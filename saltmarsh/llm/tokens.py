@@ -69,7 +69,7 @@ def cut_places(data: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each piece, which has a byte at least: whether it is letters alone, with or without one space before them."""
+    """Of each piece, which has at least one byte: whether it is letters alone, with or without one space before them."""
     letter = _LETTER[data]
     letter[1:] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
     first, n = offsets[:-1], np.diff(offsets)
@@ -122,6 +122,9 @@ class Pieces:
     def __len__(self) -> int:
         return self.hash.n
 
+    def all(self) -> pa.LargeBinaryArray:
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.offsets.all()), pa.py_buffer(self.data.all())])
+
     def find(self, pieces: pa.LargeBinaryArray, hashed: np.ndarray) -> np.ndarray:
         """Each piece's number, or -1."""
         out = np.full(len(pieces), -1, np.int64)
@@ -134,8 +137,7 @@ class Pieces:
             open_ = open_[~same]
             slot[open_] = (slot[open_] + 1) % SLOTS
         found = np.flatnonzero(out >= 0)
-        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.offsets.all()), pa.py_buffer(self.data.all())])
-        same = pc.equal(own.take(pa.array(out[found])), pieces.take(pa.array(found)))
+        same = pc.equal(self.all().take(pa.array(out[found])), pieces.take(pa.array(found)))
         out[found[~same.to_numpy(zero_copy_only=False)]] = -1
         return out
 
@@ -170,16 +172,29 @@ class Encoder:
             model = json.load(f)
         parts = model.get("pre_tokenizer") or {}
         self.by_piece = model["model"].get("type") == "BPE" and parts.get("type") == "ByteLevel" and not parts.get("add_prefix_space") and parts.get("use_regex", True) and not model.get("normalizer")
+        self.by_piece = self.by_piece and all(chr(c) in model["model"]["vocab"] for c in _CHARACTERS)  # a byte without a token would be dropped
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)  # a byte-level token has a character for each byte
         if self.by_piece:
             for token, i in model["model"]["vocab"].items():
                 self.bytes_of[i] = len(token)
         self._forget()
 
-    def _forget(self) -> None:
-        self.known = Pieces()
+    def _forget(self, keep: bool = False) -> None:
+        """Begins the table of pieces again, with those of the old one that came a second time if they are half of it at most."""
+        again = np.flatnonzero(self.used[: len(self.known)]) if keep else np.zeros(0, np.int64)
+        old = (self.known, self.first.all(), self.size.all(), self.flat.all()) if 0 < len(again) <= MOST_PIECES // 2 else None
+        self.known, self.used = Pieces(), np.zeros(MOST_PIECES, bool)
         self.first, self.size = Grown("<i8"), Grown("<i8")
         self.flat, self.kept = Grown("<u4"), 0
+        if old:
+            known, first, size, flat = old
+            first, size = first[again], size[again]
+            end = np.cumsum(size)
+            self.known.add(known.all().take(pa.array(again)), known.hash.all()[again])
+            self.first.add(end - size)
+            self.size.add(size)
+            self.flat.add(flat[np.repeat(first - (end - size), size) + np.arange(end[-1])])
+            self.kept = self.flat.n
 
     def _through(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -188,9 +203,9 @@ class Encoder:
         """Ids of pieces of words(), one after another, and how many each has."""
         data, offsets = utf8(pieces)
         text = np.insert(_CHARACTERS[data], offsets[1:-1], 0).tobytes().decode("utf-32-le")
-        tokens = list(map(self.model.tokenize, text.split("\0")))
-        ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4")
-        return ids, np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.fromiter(map(attrgetter("id"), chain.from_iterable(map(self.model.tokenize, text.split("\0")))), "<u4")
+        stop = np.searchsorted(np.cumsum(self.bytes_of[flat]), offsets[1:], "left") + 1
+        return flat, np.diff(stop, prepend=0)
 
     def _encoded(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after another, and how many each has."""
@@ -238,10 +253,11 @@ class Encoder:
     def _ids_of(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in one array, and each distinct piece's first place and number in it.
 
-        New pieces are kept, but for long ones, whose ids stand behind the others until the next call.
+        New pieces are kept, but for long ones and those that the table has no room for, whose ids stand behind the others until
+        the next call.
         """
         if len(self.known) + len(pieces) > MOST_PIECES:
-            self._forget()
+            self._forget(len(pieces) <= MOST_PIECES // 2)
         self.flat.n = self.kept
         data, offsets = utf8(pieces)
         short, hashed = np.flatnonzero(np.diff(offsets) <= LONGEST), np.zeros(len(pieces), np.uint64)
@@ -251,6 +267,7 @@ class Encoder:
         number[short] = self.known.find(brief, hashed[short])
         found, new = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
         first, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        self.used[number[found]] = True
         first[found], size[found] = self.first.all()[number[found]], self.size.all()[number[found]]
         if len(new):
             long = np.diff(offsets)[new] > LONGEST
@@ -258,7 +275,7 @@ class Encoder:
             flat, size[new] = self._encoded(pieces.take(pa.array(new)))
             first[new] = self.kept + np.cumsum(size[new]) - size[new]
             self.flat.add(flat)
-            keep = new[: np.count_nonzero(~long)]
+            keep = new[: min(np.count_nonzero(~long), MOST_PIECES - len(self.known))]
             self.known.add(pieces.take(pa.array(keep)), hashed[keep])
             self.first.add(first[keep])
             self.size.add(size[keep])

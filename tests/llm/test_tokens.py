@@ -78,3 +78,16 @@ def test_a_full_table_is_begun_again(theirs, monkeypatch):
     for _ in range(40):
         same(mine, theirs, [" ".join(rng.choice(["é", "long" * 30, "1", "''"]) + str(rng.randrange(30)) for _ in range(10))])
         assert len(mine.known) <= 50 and mine.kept == mine.size.all().sum()
+    # One text of more pieces than the table takes.
+    same(mine, theirs, [" ".join(f"w{i} {'é' * 40}{i}" for i in range(400)), "w1 w2"])
+    assert len(mine.known) <= 50
+
+
+def test_pieces_that_come_again_stay(theirs, monkeypatch):
+    monkeypatch.setattr(T, "MOST_PIECES", 50)
+    mine, merged = T.Encoder(T.vocabulary()), []
+    own = mine._merged
+    monkeypatch.setattr(mine, "_merged", lambda pieces: merged.extend(pieces.to_pylist()) or own(pieces))
+    for i in range(60):
+        same(mine, theirs, [f" élan word {chr(97 + i // 26)}q{chr(97 + i % 26)}x"])
+    assert merged.count(b" word") == merged.count(" élan".encode()) == 1 and len(merged) > 60
